@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import quality, toxicity
+from . import chat, quality, toxicity, urls
 
-MODULES = (quality, toxicity)
+MODULES = (quality, toxicity, chat, urls)
 
 
 def queries() -> dict:
