@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, quality, toxicity, urls
+from . import chat, quality, toxicity, urls, weighted
 
-MODULES = (quality, toxicity, chat, urls)
+MODULES = (quality, toxicity, weighted, chat, urls)
 
 
 def queries() -> dict:
