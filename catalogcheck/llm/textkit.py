@@ -159,3 +159,7 @@ def segment_sums(values: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
 
 def as_strings(items: list) -> pa.Array:
     return pa.array(items, pa.string())
+
+def shared_folder(spark) -> str:
+    """The folder that driver and executors share: the cluster's checkpoint folder, or one for local runs."""
+    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
