@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, quality, toxicity, urls, weighted
+from . import chat, packing, quality, repeats, toxicity, urls, weighted
 
-MODULES = (quality, toxicity, weighted, chat, urls)
+MODULES = (quality, toxicity, weighted, repeats, chat, packing, urls)
 
 
 def queries() -> dict:

@@ -163,3 +163,61 @@ def as_strings(items: list) -> pa.Array:
 def shared_folder(spark) -> str:
     """The folder that driver and executors share: the cluster's checkpoint folder, or one for local runs."""
     return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+
+
+#: Bits of a membership filter; fixed, so that what is sent to the tasks doesn't grow with the data. In a larger
+#: corpus the filter passes more rows that the following join or sort drops: it saves work, it decides nothing.
+FILTER_BITS = 26
+
+
+def filter_places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    h = mix(h.astype(np.uint64))
+    shift = np.uint64(64 - FILTER_BITS)
+    return h >> shift, mix(h + np.uint64(1)) >> shift
+
+
+def may_hold(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether the filter may hold each value; never False for a value it was built from."""
+    a, b = filter_places(h)
+
+    def on(p):
+        return (bits[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1)
+
+    return (on(a) & on(b)).astype(bool)
+
+
+def membership_filter(values) -> np.ndarray:
+    """A fixed-size bit filter of a DataFrame's single long column, built on the executors.
+
+    Tasks turn values into (word, bits); bit_or merges them, at most 2 ** (FILTER_BITS - 6) rows in all.
+    """
+    from pyspark.sql import functions as F
+
+    def run(batches):
+        for batch in batches:
+            h = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            p = np.concatenate(filter_places(h))
+            word, bit = p >> np.uint64(6), np.uint64(1) << (p & np.uint64(63))
+            kinds, at = np.unique(word, return_inverse=True)
+            out = np.zeros(len(kinds), np.uint64)
+            np.bitwise_or.at(out, at, bit)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int32)), pa.array(out.view(np.int64))], ["word", "bits"])
+
+    merged = values.mapInArrow(run, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << FILTER_BITS - 6, np.uint64)
+    out[merged.column("word").to_numpy()] = merged.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def new_folder(spark, name: str) -> str:
+    """A fresh folder for a written table, in the shared place."""
+    import uuid
+
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df, name: str):
+    """The frame written as Parquet in the shared folder and read again: its lineage ends there."""
+    folder = new_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
