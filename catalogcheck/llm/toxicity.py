@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 
-SAMPLE_DOCS, SAMPLE_CHARS, TRAIN_DOCS = 8000, 20_000, 1600
+SAMPLE_DOCS, SAMPLE_CHARS, TRAIN_DOCS = 4000, 8000, 1200
 HASH_BITS, EPOCHS, RATE, DECAY = 18, 40, 0.5, 1e-3
 #: A feature marks toxic tokens from this log-likelihood ratio, precision and share of the toxic documents on.
 LEAST_G2, LEAST_PRECISION, LEAST_SHARE = 22.0, 0.9, 0.01
@@ -216,7 +216,12 @@ def train(texts: pa.Array, toxic: np.ndarray):
     bad, good = np.flatnonzero(toxic == 1)[: TRAIN_DOCS // 2], np.flatnonzero(toxic == 0)[: TRAIN_DOCS // 2]
     use = np.isin(row, np.concatenate([bad, good]))
     model = fit_chain(feats[use], first[use], gold[use])
-    return model, fit_curve(np.log1p(toxic_words(model.marginals(feats, first), row, len(toxic))), toxic)
+    count = np.zeros(len(toxic))
+    edges = [*range(0, len(toxic), 500), len(toxic)]
+    for low, high in zip(edges, edges[1:], strict=False):  # whole documents at a time, for the driver's memory
+        part = slice(*np.searchsorted(row, [low, high]))
+        count[low:high] = toxic_words(model.marginals(feats[part], first[part]), row[part] - low, high - low)
+    return model, fit_curve(np.log1p(count), toxic)
 
 
 def toxic_words(chance: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
