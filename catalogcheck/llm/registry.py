@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, packing, quality, repeats, toxicity, urls, weighted
+from . import chat, ngram_join, packing, quality, repeats, toxicity, urls, weighted
 
-MODULES = (quality, toxicity, weighted, repeats, chat, packing, urls)
+MODULES = (quality, toxicity, ngram_join, weighted, repeats, chat, packing, urls)
 
 
 def queries() -> dict:
