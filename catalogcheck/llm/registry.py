@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, ngram_join, packing, pii, quality, repeats, toxicity, urls, weighted
+from . import chat, ngram_join, packing, pieces, pii, quality, repeats, toxicity, urls, weighted
 
-MODULES = (quality, toxicity, ngram_join, weighted, repeats, pii, chat, packing, urls)
+MODULES = (quality, toxicity, ngram_join, weighted, repeats, pieces, pii, chat, packing, urls)
 
 
 def queries() -> dict:

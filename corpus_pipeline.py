@@ -1,26 +1,31 @@
-"""The corpus pipeline: every stage takes (spark, docs, sf_dir) and its result is the next stage's documents."""
+"""The corpus pipeline: every stage takes (spark, docs, sf_dir) and its result is the next stage's documents.
 
-from __future__ import annotations
+Quality rules drop documents, the n-gram Jaccard join keeps one of each group of near copies, suffix-array dedup cuts
+repeated bytes out of the texts, personal data is masked, and what is left is packed into sequences.
+"""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catalogcheck.llm import quality
+from catalogcheck.llm import ngram_join, packing, pii, quality, repeats
+from catalogcheck.llm import textkit as tk
 
 STAGES = [
     ("quality_rules", quality.stage),
+    ("ngram_jaccard_join", ngram_join.stage),
+    ("suffix_dedup", repeats.stage),
+    ("personal_data", pii.stage),
+    ("best_fit_packing", packing.stage),
 ]
 
-#: Compression ratios, random fields and packing have no SQL form; tests hold run() against brute force.
+#: Compression ratios, random fields and packing have no SQL form; a test holds run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written as Parquet in the shared folder and read again."""
-    folder = f"{spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = tk.written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
