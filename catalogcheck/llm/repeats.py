@@ -35,7 +35,7 @@ from . import suffixes
 from . import textkit as tk
 
 LENGTH, ANCHOR = 200, 24
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES, STEP = 1 << 19, 1 << 19
 #: An anchor is dealt to SALTS tasks from this many occurrences on; at most MOST_HOT anchors can pass.
 HOT, MOST_HOT, SALTS = 20_000, 100_000, 32
 _PLACE_BITS = np.uint64(28)
@@ -58,19 +58,20 @@ def stretches(data: np.ndarray, offsets: np.ndarray):
     size = np.diff(offsets)
     if not (size >= LENGTH).any():
         return none
-    n, m = len(data), len(data) - ANCHOR + 1
-    place = np.arange(m)
-    h = tk.span_hashes(data, place, place + ANCHOR)
-    least = window_least(h >> _PLACE_BITS << _PLACE_BITS | place.astype(np.uint64), LENGTH - ANCHOR + 1)
-    anchor = (least & ((np.uint64(1) << _PLACE_BITS) - np.uint64(1))).astype(np.int64)
-    row = np.repeat(np.arange(len(size)), size)[: len(anchor)]
-    inside = np.flatnonzero(np.arange(len(anchor)) + LENGTH <= offsets[row + 1])
-    begins = np.append(True, (np.diff(anchor[inside]) != 0) | (np.diff(row[inside]) != 0))
+    h = tk.window_hashes(data, ANCHOR)
+    packed = h >> _PLACE_BITS << _PLACE_BITS
+    packed |= np.arange(len(h), dtype=np.uint64)
+    anchor = (window_least(packed, LENGTH - ANCHOR + 1) & ((np.uint64(1) << _PLACE_BITS) - np.uint64(1))).astype(np.int64)
+    ends = np.repeat(offsets[1:], size)[: len(anchor)]
+    inside = np.flatnonzero(np.arange(LENGTH, LENGTH + len(anchor)) <= ends)
+    held, ends = anchor[inside], ends[inside]
+    begins = np.append(True, (held[1:] != held[:-1]) | (ends[1:] != ends[:-1]))
     first = inside[begins]
     count = np.diff(np.append(np.flatnonzero(begins), len(inside)))
     at = anchor[first]
+    row = np.searchsorted(offsets, first, "right") - 1
     whole = tk.mix(tk.span_hashes(data, first, first + count - 1 + LENGTH) + (at - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return row[first], first - offsets[row[first]], count, first, h[at], whole
+    return row, first - offsets[row], count, first, h[at], whole
 
 
 def longs(h: np.ndarray) -> pa.Array:
@@ -90,7 +91,7 @@ def anchor_counts(docs: DataFrame) -> DataFrame:
     """key, n: how often each anchor occurs."""
 
     def run(batches):
-        for batch in tk.steps(batches):
+        for batch in tk.steps(batches, size=STEP):
             *_, key, _ = stretches(*tk.text_bytes(batch.column(0)))
             yield pa.RecordBatch.from_arrays([longs(key)], ["key"])
 
@@ -101,7 +102,7 @@ def occurrences(docs: DataFrame, repeated) -> DataFrame:
     """key, whole, rid, start, count of all stretches whose anchor may be repeated."""
 
     def run(batches):
-        for batch in tk.steps(batches):
+        for batch in tk.steps(batches, size=STEP):
             row, start, count, _, key, whole = stretches(*tk.text_bytes(batch.column(1)))
             rid = batch.column(0).to_numpy()[row]
             k = tk.may_hold(repeated.value, key)
@@ -114,7 +115,7 @@ def stretch_bytes(docs: DataFrame, repeated, chosen) -> DataFrame:
     """key, whole, rid, start, count, bytes of the stretches that may be representatives."""
 
     def run(batches):
-        for batch in tk.steps(batches):
+        for batch in tk.steps(batches, size=STEP):
             data, offsets = tk.text_bytes(batch.column(1))
             row, start, count, first, key, whole = stretches(data, offsets)
             rid = batch.column(0).to_numpy()[row]

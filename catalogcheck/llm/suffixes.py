@@ -11,6 +11,9 @@ import numpy as np
 
 from . import textkit as tk
 
+#: Bytes that a group of suffixes skips at once where all of them go on alike.
+STRIDE = 48
+
 
 def ascending(data: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than the next one; the end of the string is smaller than any byte."""
@@ -38,32 +41,42 @@ def sort_directly(data: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     """``at`` in the order of the strings of ``depth`` bytes that start there (the end counts as zero bytes, before all)."""
     if not len(at):
         return at
-    padded = np.zeros(len(data) + depth + 16, np.uint64)
+    padded = np.zeros(len(data) + depth + STRIDE + 16, np.uint64)
     padded[: len(data)] = data
-    whole = tk.span_hashes(data, at, np.minimum(at + depth, len(data)))
+    total = tk.running_hash(padded[: len(data) + depth + STRIDE].astype(np.uint8))
+    back = tk.powers(len(total), tk._INVERSE)
+
+    def hashed(place, width):
+        return (total[place + width] - total[place]) * back[place]
+
     key = _words_at(padded, at)
     order = np.argsort(key, kind="stable")
     key = key[order]
-    group = np.cumsum(np.append(0, (key[1:] != key[:-1]).astype(np.int64)))
-    done = 8
-    while done < depth:
-        # groups that aren't of one string yet
-        edge = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-        h = whole[order]
-        mixed = np.minimum.reduceat(h, edge) != np.maximum.reduceat(h, edge)
-        open_ = np.flatnonzero(np.repeat(mixed, np.diff(np.append(edge, len(group)))))
-        if not len(open_):
+    edge = np.append(True, key[1:] != key[:-1])
+    slot, group, done = np.arange(len(at)), np.cumsum(edge), np.full(len(at), 8)
+    whole = hashed(at, depth)  # groups of one string to the full depth need no more sorting
+    while len(slot):
+        first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        size = np.diff(np.append(first, len(group)))
+        h = whole[order[slot]]
+        mixed = np.minimum.reduceat(h, first) != np.maximum.reduceat(h, first)
+        live = np.repeat(mixed, size)
+        slot, group, done = slot[live], group[live], done[live]
+        if not len(slot):
             break
-        sub = order[open_]
+        first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        size = np.diff(np.append(first, len(group)))
+        sub = order[slot]
+        # where all of a group go on alike for a stride, skip it
+        h = hashed(at[sub] + done, STRIDE)
+        skip = np.repeat(np.minimum.reduceat(h, first) == np.maximum.reduceat(h, first), size)
+        done[skip] += STRIDE
         key = _words_at(padded, at[sub] + done)
-        again = np.lexsort((key, group[open_]))
-        order[open_] = sub[again]
-        key, held = key[again], group[open_]
-        split = np.zeros(len(group), np.int64)
-        split[open_[1:]] = (key[1:] != key[:-1]) & (held[1:] == held[:-1])
-        new = np.append(0, (group[1:] != group[:-1]).astype(np.int64)) | split
-        group = np.cumsum(new)
+        again = np.lexsort((key, group))
+        order[slot] = sub[again]
+        key = key[again]
         done += 8
+        group = np.cumsum(np.append(True, (group[1:] != group[:-1]) | (key[1:] != key[:-1])))
     return at[order]
 
 

@@ -65,6 +65,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64))
+
+
 def _powers(n: int, mult: int) -> np.ndarray:
     out = np.full(n + 1, mult, np.uint64)
     out[0] = 1
@@ -91,12 +94,26 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     Prefix sums of byte times power of an odd number modulo 2 ** 64, brought back to the span's start, with the
     span's length mixed in.
     """
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(mix(data.astype(np.uint64) + np.uint64(1)) * powers(len(data), _MULT)[: len(data)], out=total[1:])
+    total = running_hash(data)
     h = (total[end] - total[start]) * powers(len(data), _INVERSE)[start]
     return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def running_hash(data: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * powers(len(data), _MULT)[: len(data)], out=total[1:])
+    return total
+
+
+def window_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """The hash of the ``width`` bytes from every place that has as many."""
+    total = running_hash(data)
+    h = total[width:] - total[:-width]
+    h *= powers(len(data), _INVERSE)[: len(h)]
+    h += np.uint64(width) * np.uint64(0xD6E8FEB86659FD93)
+    return mix(h)
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word (maximal run without ASCII white space) and the row that it stands in."""
     solid = np.zeros(len(data) + 2, np.int8)
