@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple = ()
+from ..operators import evidence, ledger, measure, structural, triage
+from ..streaming import ledger as stream
+
+MODULES = (structural, triage, measure, ledger, evidence, stream)
 
 
 def queries() -> dict:
@@ -16,4 +19,5 @@ def oracles() -> dict:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet").groupBy("p_brand").count()
+    """Catalog to ranked review queue: structural checks, identities, clusters, expected value, rank."""
+    return triage.audit_run(spark, sf_dir)
