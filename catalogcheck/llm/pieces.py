@@ -31,7 +31,7 @@ MODEL = "piece_bpe_32k.model"
 SPACE, BYTE_COST, UNUSED = "▁", 10.0, -1e8
 #: A non-character that stands for U+2581 of the text itself until it becomes byte pieces.
 HELD = "\ufffe"
-REMEMBERED, SHORT = 300_000, 48
+REMEMBERED, SHORT = 1_000_000, 48
 
 
 def model_path() -> str:
@@ -53,7 +53,8 @@ class Vocabulary:
         self.byte_score = floor - round(BYTE_COST * 2**20)
         self.byte_id = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == "byte"}
         self.longest = max(map(len, self.score), default=1)
-        self.beginnings = {p[:n] for p in self.score for n in range(1, len(p) + 1)}
+        # every beginning of a piece: its entry if it is one itself, else None
+        self.beginnings = {p[:n]: None for p in self.score for n in range(1, len(p) + 1)} | self.score
         self.bytes_of = [b""] * len(pieces)
         for i, (p, _, kind) in enumerate(pieces):
             self.bytes_of[i] = bytes([int(p[3:5], 16)]) if kind == "byte" else p.replace(SPACE, " ").encode() if kind == "piece" else b""
@@ -104,12 +105,13 @@ class StreamingViterbi:
             for i in range(self.seen, end):
                 at = best[i]
                 for n in range(i + 1, min(i + longest, size) + 1):
-                    piece = text[i:n]
-                    if piece not in beginnings:
+                    got = beginnings.get(text[i:n], 0)
+                    if got:
+                        total = at + got[1]
+                        if best[n] is None or total > best[n]:
+                            best[n], back[n] = total, (i, got[2])
+                    elif got == 0:
                         break
-                    got = score.get(piece)
-                    if got is not None and (best[n] is None or at + got[1] > best[n]):
-                        best[n], back[n] = at + got[1], (i, got[2])
                 n = i + 1
                 if text[i] not in score:
                     raw = text[i].encode() if text[i] != HELD else SPACE.encode()
