@@ -86,7 +86,7 @@ class Chain:
         blocks = -(-n // width)
         emit = np.ones(blocks * width)
         emit[:n] = np.exp(score)
-        reset = np.zeros(blocks * width, bool)
+        reset = np.ones(blocks * width, bool)  # what fills the last block is a chain of its own
         reset[:n] = first
         emit, reset = (np.ascontiguousarray(x.reshape(blocks, width).T) for x in (emit, reset))
         a = np.exp(self.trans)
