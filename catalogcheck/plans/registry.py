@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import evidence, ledger, measure, structural, triage
+from ..operators import catalog, evidence, ledger, measure, structural, triage
 from ..streaming import ledger as stream
 
-MODULES = (structural, triage, measure, ledger, evidence, stream)
+MODULES = (catalog, structural, triage, measure, ledger, evidence, stream)
 
 
 def queries() -> dict:
