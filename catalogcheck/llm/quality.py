@@ -142,8 +142,13 @@ def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the rules keep, columns unchanged."""
     tk.bounded_arrow(spark)
-    kept = quality_rules(docs).filter("kept")
-    return kept.select(*docs.columns)
+    k = docs.columns.index("text")
+
+    def run(batches):
+        for batch in tk.steps(batches):
+            yield batch.filter(measure(batch.column(k))[-1])
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 QUERIES = {"op1_quality_rules": op1_quality_rules}
