@@ -65,7 +65,8 @@ def prior_weight(groups: DataFrame) -> DataFrame:
     """One row: the weight of a level's prior, from groups (n, k, parent rate ``up``).
 
     The spread of group rates around their parents' rates beyond binomial noise gives the correlation rho within
-    groups; a beta prior of weight (1 - rho) / rho has it. rho is kept within 0.001 to 0.5.
+    groups; a beta prior of weight (1 - rho) / rho has it. rho is kept within 0.001 to 0.5, and is 0.1 where no
+    group has two labelled pages.
     """
     n, k, up = F.col("n"), F.col("k"), F.col("up")
     sums = groups.filter(n > 0).agg(
@@ -73,9 +74,9 @@ def prior_weight(groups: DataFrame) -> DataFrame:
         F.sum(up * (1 - up)).alias("noise"),
         F.sum((n - 1) * up * (1 - up)).alias("room"),
     )
-    rho = F.when(F.col("room") > 0, (F.col("s") - F.col("noise")) / F.col("room")).otherwise(0.5)
+    rho = F.when(F.col("room") > 0, (F.col("s") - F.col("noise")) / F.col("room")).otherwise(0.1)
     rho = F.round(F.least(F.greatest(rho, F.lit(0.001)), F.lit(0.5)), 9)
-    return sums.select(((1 - F.coalesce(rho, F.lit(0.5))) / F.coalesce(rho, F.lit(0.5))).alias("m"))
+    return sums.select(((1 - F.coalesce(rho, F.lit(0.1))) / F.coalesce(rho, F.lit(0.1))).alias("m"))
 
 
 def shrink(groups: DataFrame, rate: str) -> DataFrame:
@@ -134,13 +135,13 @@ WITH p AS (
 ), s AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY ALL
 ), g AS (SELECT round((sum(k) + 1) / (sum(n) + 2), 12) AS up FROM s
 ), s1 AS (SELECT s.*, up FROM s, g
-), sm AS (SELECT round(least(greatest(coalesce(CASE WHEN sum((n - 1) * up * (1 - up)) > 0 THEN (sum(n * (k / n - up) * (k / n - up)) - sum(up * (1 - up))) / sum((n - 1) * up * (1 - up)) END, 0.5), 0.001), 0.5), 9) AS rho FROM s1 WHERE n > 0
+), sm AS (SELECT round(least(greatest(coalesce(CASE WHEN sum((n - 1) * up * (1 - up)) > 0 THEN (sum(n * (k / n - up) * (k / n - up)) - sum(up * (1 - up))) / sum((n - 1) * up * (1 - up)) END, 0.1), 0.001), 0.5), 9) AS rho FROM s1 WHERE n > 0
 ), s2 AS (SELECT suffix, round((k + (1 - rho) / rho * up) / (n + (1 - rho) / rho), 12) AS up FROM s1, sm
 ), d1 AS (SELECT d.*, up FROM d JOIN s2 USING (suffix)
-), dm AS (SELECT round(least(greatest(coalesce(CASE WHEN sum((n - 1) * up * (1 - up)) > 0 THEN (sum(n * (k / n - up) * (k / n - up)) - sum(up * (1 - up))) / sum((n - 1) * up * (1 - up)) END, 0.5), 0.001), 0.5), 9) AS rho FROM d1 WHERE n > 0
+), dm AS (SELECT round(least(greatest(coalesce(CASE WHEN sum((n - 1) * up * (1 - up)) > 0 THEN (sum(n * (k / n - up) * (k / n - up)) - sum(up * (1 - up))) / sum((n - 1) * up * (1 - up)) END, 0.1), 0.001), 0.5), 9) AS rho FROM d1 WHERE n > 0
 ), d2 AS (SELECT domain, round((k + (1 - rho) / rho * up) / (n + (1 - rho) / rho), 12) AS up FROM d1, dm
 ), h3 AS (SELECT h2.*, up FROM h2 JOIN d2 USING (domain)
-), hm AS (SELECT round(least(greatest(coalesce(CASE WHEN sum((n - 1) * up * (1 - up)) > 0 THEN (sum(n * (k / n - up) * (k / n - up)) - sum(up * (1 - up))) / sum((n - 1) * up * (1 - up)) END, 0.5), 0.001), 0.5), 9) AS rho FROM h3 WHERE n > 0
+), hm AS (SELECT round(least(greatest(coalesce(CASE WHEN sum((n - 1) * up * (1 - up)) > 0 THEN (sum(n * (k / n - up) * (k / n - up)) - sum(up * (1 - up))) / sum((n - 1) * up * (1 - up)) END, 0.1), 0.001), 0.5), 9) AS rho FROM h3 WHERE n > 0
 ), h4 AS (SELECT host, round((k + (1 - rho) / rho * up) / (n + (1 - rho) / rho), 12) AS rate, n + (1 - rho) / rho AS weight FROM h3, hm
 ), h5 AS (SELECT host, round(rate, 9) AS rate, round(rate - 1.645 * sqrt(rate * (1 - rate) / (weight + 1)), 9) AS low FROM h4
 ), r AS (
