@@ -13,7 +13,7 @@ shingles that fall together look more frequent, which costs work, not results: a
 
 Equal sets collapse to one before anything else. Within a combination's bucket, sets are compared with its first set
 (its leader), not with each other: what links to the leader is one component already. Only pairs of a bucket whose
-components still differ are compared further, each round with the next few leaders, until no such pair is left.
+components still differ are compared further, each round those of the next few leaders, until no such pair is left.
 Buckets of frequent classes, the only ones that can be very large, are first split by hash and their leaders compared
 after that. Every candidate pair is verified on the full sets.
 
@@ -24,6 +24,7 @@ a null id is carried through like any other; an empty table gives no rows; other
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 import numpy as np
@@ -42,7 +43,7 @@ TABLE_PARTS = 64
 #: Length bands (from, groups of each frequent class); a set of 1.25 times a band's end is in both bands.
 BANDS = tuple((8 * 4**i, 4**i) for i in range(12))
 #: Leaders of a bucket's further rounds; parts of a large bucket.
-LEADERS, PARTS = 16, 64
+LEADERS, PARTS = 32, 64
 TOKEN_BYTES = 5
 
 
@@ -214,6 +215,60 @@ def indexed(docs: DataFrame, classes, shared) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "bucket long, whole long, set long")
 
 
+def bitmap(h: np.ndarray) -> bytes:
+    """The set's hashes as bits, about one bit for each member (a power of two, 64 at least)."""
+    width = 1 << max(6, int(len(h) - 1).bit_length())
+    bits = np.zeros(width, bool)
+    bits[(h & np.uint64(width - 1)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
+def may_be_similar(a: bytes, b: bytes, na: int, nb: int) -> bool:
+    """False only if the sets can't be similar: bits that differ are members that differ, at least one each."""
+    x, y = (np.frombuffer(m, np.uint8) for m in (a, b))
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    most = (na + nb - int(np.bitwise_count(x ^ y).sum())) // 2
+    return 100 * most >= PERCENT * (na + nb - most)
+
+
+def set_bitmaps(docs: DataFrame, wanted) -> DataFrame:
+    """set, n, bits of the sets that may be wanted; once in each task."""
+
+    def run(batches):
+        seen: set[int] = set()
+        for batch in tk.steps(batches):
+            h, at, edges = document_sets(batch.column(0))
+            whole = set_hashes(h, at, edges)
+            out = []
+            for i in np.flatnonzero((np.diff(edges) > 0) & tk.may_hold(wanted.value, whole)):
+                if (key := int(whole[i])) not in seen:
+                    seen.add(key)
+                    out.append((int(whole[i : i + 1].view(np.int64)[0]), int(edges[i + 1] - edges[i]), bitmap(h[edges[i] : edges[i + 1]])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["set", "n", "bits"])
+
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "set long, n int, bits binary")
+
+
+def possible(pairs: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """The pairs (a, b, ...) whose lengths and bitmaps don't rule out that they are similar."""
+    extra = [c for c in pairs.columns if c not in ("a", "b")]
+    left = pairs.join(bitmaps.toDF("a", "na", "x"), "a").join(bitmaps.toDF("b", "nb", "y"), "b").filter(close_in_length("na", "nb"))
+    left = left.select("a", "b", *extra, "x", "y", "na", "nb")
+    width = 2 + len(extra)
+
+    def run(batches):
+        for batch in batches:
+            x, y, na, nb = (batch.column(width + i) for i in range(4))
+            keep = [may_be_similar(p.as_buffer(), q.as_buffer(), m, n) for p, q, m, n in zip(x, y, na.to_pylist(), nb.to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:width]], batch.schema.names[:width])
+
+    return left.mapInArrow(run, pairs.schema)
+
+
 def set_members(docs: DataFrame, wanted) -> DataFrame:
     """set, n, members (sorted hashes, TOKEN_BYTES each) of the sets that may be wanted; once in each task."""
 
@@ -257,55 +312,90 @@ def close_in_length(a: str, b: str):
     return 100 * F.least(F.col(a), F.col(b)) >= PERCENT * F.greatest(F.col(a), F.col(b))
 
 
-def crowds(led: DataFrame) -> DataFrame:
+def different(filed: DataFrame) -> DataFrame:
     """whole, set of the buckets with two sets or more; of buckets with the same sets, one."""
-    filed = led.select(F.coalesce("whole", "bucket").alias("whole"), "set").distinct()
     about = filed.groupBy("whole").agg(F.count("*").alias("n"), F.min("set").alias("least"), F.max("set").alias("most"), F.sum(F.expr("xxhash64(set) div 1048576")).alias("mark"))
     kept = about.filter("n > 1").groupBy("n", "least", "most", "mark").agg(F.min("whole").alias("whole")).select("whole")
     return filed.join(kept, "whole", "left_semi")
 
 
+def by_length(crowd: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Buckets cut by length: bands of factor 1.25, each set in its own and the next, so that sets close enough in
+    length to be similar still meet."""
+    band = F.floor(F.log("n") / F.log(F.lit(100 / PERCENT))).cast("int")
+    both = crowd.join(sizes, "set").select("whole", "set", "n", F.explode(F.array(band, band + 1)).alias("band"))
+    filed = both.select(F.xxhash64("whole", "band").alias("whole"), "set", "n")
+    return different(filed.select("whole", "set")).join(sizes, "set")
+
+
 def set_links(docs: DataFrame, classes: np.ndarray) -> DataFrame:
     """node, root: the component of every set that is similar to another one."""
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(classes)  # fixed size
     shared = spark.sparkContext.broadcast(tk.membership_filter(shared_combinations(docs, known)))  # fixed size
-    led = indexed(docs, known, shared)
-    led = tk.written(led.withColumn("leader", F.min("set").over(Window.partitionBy("bucket"))), "buckets")
+    own = Window.partitionBy("bucket")
+    # one exchange, by bucket: copies of a set from several tasks collapse, and every row learns its bucket's ends
+    led = indexed(docs, known, shared).repartition("bucket").dropDuplicates(["bucket", "set"])
+    led = led.withColumns({"leader": F.min("set").over(own), "most": F.max("set").over(own)})
+    led = tk.written(led.filter("leader <> most OR whole IS NOT NULL").drop("most"), "buckets")
+    tk.release(spark)
     in_part = led.filter("set <> leader").select(F.col("leader").alias("a"), F.col("set").alias("b"))
     # the leaders of a large bucket's parts (at most PARTS), against the least of them
     leaders = led.filter("whole IS NOT NULL AND set = leader").select("whole", "set").distinct()
     leaders = leaders.withColumn("first", F.min("set").over(Window.partitionBy("whole"))).filter("set <> first")
-    pairs = tk.written(in_part.union(leaders.select(F.col("first").alias("a"), F.col("set").alias("b"))).distinct(), "pairs")
-    crowd = tk.written(crowds(led), "crowd")
-    wanted = spark.sparkContext.broadcast(tk.membership_filter(pairs.select("a").union(pairs.select("b")).union(crowd.select("set")).distinct()))  # fixed size
-    members = tk.written(set_members(docs, wanted).dropDuplicates(["set"]), "members")
-    sizes = members.select("set", "n")
-
-    def sized(p: DataFrame) -> DataFrame:
-        return p.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").filter(close_in_length("na", "nb")).select("a", "b")
-
-    links = tk.written(verified(sized(pairs), members), "links")
-    done = 0
-    while True:
-        label = components(links)
-        filed = crowd.join(label.withColumnRenamed("node", "set"), "set", "left").select("whole", "set", F.coalesce("root", "set").alias("root"))
-        mixed = filed.groupBy("whole").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("whole")
-        # the place of a set in its bucket; pairs with the first ``done`` sets have been compared
-        open_ = filed.join(mixed, "whole", "left_semi").withColumn("place", F.row_number().over(Window.partitionBy("whole").orderBy("set")) - 1)
-        open_ = tk.written(open_.filter(F.col("place") >= done), "open")
-        heads = open_.filter(F.col("place") < done + LEADERS).select("whole", F.col("set").alias("a"), F.col("root").alias("ra"), F.col("place").alias("pa"))
-        rest = open_.select("whole", F.col("set").alias("b"), F.col("root").alias("rb"), F.col("place").alias("pb"))
-        further = heads.join(rest, "whole").filter((F.col("pb") > F.col("pa")) & (F.col("ra") != F.col("rb")))
-        further = tk.written(sized(further.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")), "pairs")
-        found = tk.written(verified(further, members), "links")
-        none = found.isEmpty()
-        if not none:
-            links = tk.written(links.union(found), "links")
+    pairs = in_part.union(leaders.select(F.col("first").alias("a"), F.col("set").alias("b"))).groupBy("a", "b").agg(F.count("*").alias("times"))
+    pairs = tk.written(pairs, "pairs")
+    crowd = tk.written(different(led.select(F.coalesce("whole", "bucket").alias("whole"), "set").distinct()), "crowd")
+    tk.release(spark)
+
+    def filter_of(frames):
+        return spark.sparkContext.broadcast(tk.membership_filter(frames.distinct()))  # fixed size
+
+    bitmaps = set_bitmaps(docs, filter_of(pairs.select("a").union(pairs.select("b")).union(crowd.select("set"))))
+    bitmaps = tk.written_by_key(bitmaps.dropDuplicates(["set"]), "bitmaps", "set")
+    pairs = tk.written(possible(pairs, bitmaps), "pairs")
+    crowd = tk.written(by_length(crowd, bitmaps.select("set", "n")), "crowd")
+    tk.release(spark)
+
+    def fetched(p: DataFrame) -> DataFrame:
+        members = set_members(docs, filter_of(p.select("a").union(p.select("b"))))
+        return tk.written_by_key(members.dropDuplicates(["set"]), "members", "set")
+
+    members = fetched(pairs)
+    tk.release(spark)
+    # first each set against the leader that it shares most buckets with: that links most of what will be linked
+    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", "b")
+    links = tk.written(verified(best, members), "links")
+    tk.release(spark)
+    label = components(links)
+    pairs = pairs.select("a", "b")
+    apart = pairs.join(best, ["a", "b"], "left_anti")
+    apart = apart.join(label.toDF("a", "ra"), "a", "left").join(label.toDF("b", "rb"), "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    links = tk.written(links.union(verified(apart, members)), "links")
+    tk.release(spark)
+    label = components(links)
+    filed = crowd.join(label.withColumnRenamed("node", "set"), "set", "left").select("whole", "set", "n", F.coalesce("root", "set").alias("root"))
+    mixed = filed.groupBy("whole").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("whole")
+    place = F.row_number().over(Window.partitionBy("whole").orderBy("n", "set")) - 1
+    open_ = tk.written(filed.join(mixed, "whole", "left_semi").withColumn("place", place), "open")
+    # every pair of a bucket whose components differ is offered once, by its earlier set: LEADERS sets a round
+    offered, done = [], 0
+    while not open_.filter(F.col("place") >= done + 1).isEmpty():
+        late = open_.filter(F.col("place") >= done)
+        heads = late.filter(F.col("place") < done + LEADERS).select("whole", F.col("set").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("place").alias("pa"))
+        rest = late.select("whole", F.col("set").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("place").alias("pb"))
+        further = heads.join(rest, "whole").filter((F.col("pb") > F.col("pa")) & (F.col("ra") != F.col("rb")) & close_in_length("na", "nb"))
+        offered.append(tk.written(possible(further.select("a", "b").distinct(), bitmaps), "offered"))
+        tk.release(spark)
         done += LEADERS
-        if open_.filter(F.col("place") >= done).isEmpty():
-            return label if none else components(links)
-        pairs = tk.written(pairs.union(further), "pairs")
+    if offered:
+        further = tk.written(functools.reduce(DataFrame.union, offered).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+        if not further.isEmpty():
+            found = tk.written(verified(further, fetched(further)), "links")
+            tk.release(spark)
+            if not found.isEmpty():
+                label = components(tk.written(links.union(found), "links"))
+    return label
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

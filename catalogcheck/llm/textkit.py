@@ -238,3 +238,23 @@ def written(df, name: str):
     folder = new_folder(df.sparkSession, name)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def written_by_key(df, name: str, key: str):
+    """Like ``written``, as a table bucketed by a column: later joins on it don't shuffle this side."""
+    import uuid
+
+    spark = df.sparkSession
+    count = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    table = f"{name}_{uuid.uuid4().hex}"
+    out = df.repartition(count, key).write.format("parquet").bucketBy(count, key).sortBy(key)
+    out.option("path", new_folder(spark, name)).saveAsTable(table)
+    return spark.table(table)
+
+
+def release(spark) -> None:
+    """Let Spark delete the shuffle files of finished steps now, which it does once their plans are collected."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
