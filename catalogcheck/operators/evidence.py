@@ -52,11 +52,14 @@ def tokens(texts: DataFrame, key: str) -> DataFrame:
 
 
 def retrieve(queries: DataFrame, classes: DataFrame, k: int = 5) -> DataFrame:
-    """Classes by IDF-weighted overlap with each query, over the query's weight; the first k."""
+    """Classes by IDF-weighted overlap with each query, over the query's weight; the first k.
+
+    A query is its distinct known tokens, dealt once by document: weights, scores and places then need no further exchange.
+    """
     c = tokens(classes, "item_id")
     n = classes.count()
     idf = c.groupBy("token").agg(F.round(F.log(1 + F.lit(n) / F.count("*")), 6).alias("idf"))
-    q = tokens(queries, "doc_id").join(idf, "token")
+    q = tokens(queries, "doc_id").join(idf, "token").repartition("doc_id")
     weight = q.groupBy("doc_id").agg(F.sum("idf").alias("weight"))
     score = q.join(c, "token").groupBy("doc_id", "item_id").agg(F.sum("idf").alias("s")).join(weight, "doc_id")
     score = score.select("doc_id", "item_id", F.round(F.col("s") / F.col("weight"), 4).alias("score"))
@@ -65,8 +68,8 @@ def retrieve(queries: DataFrame, classes: DataFrame, k: int = 5) -> DataFrame:
 
 
 def _queries(s, d):
-    """The first thirty words of every document as a class query."""
-    return T.table(s, d, "documents").select("doc_id", F.array_join(F.slice(F.split("text", " "), 1, 30), " ").alias("text"))
+    """The whole text of every document as a class query."""
+    return T.table(s, d, "documents").select("doc_id", "text")
 
 
 def resolve_class(s, d) -> DataFrame:
@@ -148,7 +151,7 @@ QUERIES = {
     "udf_embedding_retrieve": lambda s, d: embedding_search(T.table(s, d, "embeddings")).select("query_id", "vec_id", "place"),
     "src_code_hierarchy": lambda s, d: T.table(s, d, "nation").join(T.table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.format_string("%02d%02d", "r_regionkey", "n_nationkey").alias("code"), F.format_string("%02d", "r_regionkey").alias("parent"), F.col("n_name").alias("title")),
     "join_crosswalk_validate": lambda s, d: T.table(s, d, "supplier").join(T.table(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left").select("s_suppkey", F.when(F.col("n_nationkey").isNull(), "unknown_code").when(F.col("s_acctbal") < 0, "one_sided").alias("problem")).filter("problem IS NOT NULL"),
-    "join_split_leak": lambda s, d: T.table(s, d, "documents").select("doc_id", "source").join(T.table(s, d, "labels").filter("doc_id % 5 = 0").select("doc_id"), "doc_id", "left_semi").groupBy("source").agg(F.count("*").alias("leaks")),
+    "join_split_leak": lambda s, d: T.table(s, d, "documents").select("doc_id", "source").join(T.table(s, d, "labels").select("doc_id"), "doc_id", "left_semi").groupBy("source").agg(F.count("*").alias("leaks")),
     "set_frozen_split": lambda s, d: T.table(s, d, "documents").select("doc_id").exceptAll(T.table(s, d, "labels").select("doc_id")).agg(F.count("*").alias("held_out"), F.sum("doc_id").alias("mark")),
     "set_run_diff": lambda s, d: (lambda a, b: a.exceptAll(b).withColumn("side", F.lit("first")).unionByName(b.exceptAll(a).withColumn("side", F.lit("second"))))(T.table(s, d, "part").select("p_partkey", "p_size"), T.table(s, d, "part").select("p_partkey", (F.col("p_size") + (F.col("p_partkey") % 50 == 0).cast("int")).alias("p_size"))),
 }

@@ -151,7 +151,7 @@ QUERIES = {
     "agg_progress": agg_progress,
     "join_reversal": join_reversal,
     "audit_adjudicate": audit_adjudicate,
-    "audit_history": lambda s, d: _events(s, d).filter("sku = 'U7'").select("event_id", "ts", "kind", "attr"),
+    "audit_history": lambda s, d: _events(s, d).select("sku", "event_id", "ts", "kind", "attr").orderBy("sku", "ts", "event_id"),
     "audit_claim_chains": lambda s, d: chain_faults(T.view(s, d, "fx_chain")),
     "audit_chain_depth": lambda s, d: chain_depths(T.view(s, d, "fx_chain")).groupBy("conv_id").agg(F.max("depth").alias("depth"), F.count("*").alias("reached")),
     "win_revision_chain": lambda s, d: revisions(T.table(s, d, "documents")),
