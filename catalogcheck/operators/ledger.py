@@ -38,15 +38,22 @@ def chain_faults(claims: DataFrame) -> DataFrame:
     return out.fillna(0, ["forks", "dangling", "heads"])
 
 
-def chain_depths(claims: DataFrame, most: int = 64) -> DataFrame:
-    """Depth of every claim reachable from a root, by a bounded recursive walk; what a cycle holds is not reachable."""
-    return claims.sparkSession.sql(
-        f"""WITH RECURSIVE walk(conv_id, claim, depth) AS (
-          SELECT conv_id, claim, 1 FROM {{claims}} WHERE supersedes IS NULL
-          UNION ALL SELECT c.conv_id, c.claim, depth + 1 FROM {{claims}} c JOIN walk w ON c.conv_id = w.conv_id AND c.supersedes = w.claim WHERE depth < {most})
-        SELECT conv_id, claim, depth FROM walk""",
-        claims=claims,
-    )
+def chain_depths(claims: DataFrame) -> DataFrame:
+    """Depth of every claim reachable from a root; what a cycle or a missing claim holds is not reachable.
+
+    Pointer jumping: each round every open claim takes over its target's target and steps, so rounds grow with the
+    logarithm of the depth. Depths of a chain have no gaps, so a round that reaches no claim is the last. Each round is
+    written to the shared folder.
+    """
+    state = T.written(claims.select("conv_id", "claim", F.col("supersedes").alias("up"), F.lit(1).cast("long").alias("depth")), "chains")
+    while True:
+        x, y = state.filter("up IS NOT NULL").alias("x"), state.alias("y")
+        met = x.join(y, (F.col("x.conv_id") == F.col("y.conv_id")) & (F.col("x.up") == F.col("y.claim")))
+        moved = T.written(met.select("x.conv_id", "x.claim", "y.up", (F.col("x.depth") + F.col("y.depth")).alias("depth")), "chains")
+        found = moved.filter("up IS NULL")
+        if found.isEmpty():
+            return state.filter("up IS NULL").select("conv_id", "claim", "depth")
+        state = state.filter("up IS NULL").union(moved)
 
 
 def revisions(docs: DataFrame) -> DataFrame:

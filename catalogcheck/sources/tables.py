@@ -7,6 +7,7 @@ each view is SQL that Spark and the checking engine read alike. ``{name}`` stand
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -101,6 +102,14 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **parts)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The frame written as Parquet in the folder that driver and executors share, and read again: its lineage ends there."""
+    spark = df.sparkSession
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def with_views(query: str) -> str:
     """The query with the views that it names put before it, for an engine that has the tables registered."""
     need: list[str] = []

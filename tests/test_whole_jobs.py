@@ -49,3 +49,19 @@ def test_history_of_every_sku(spark, folder):
 def test_leaks_of_every_label(spark, folder):
     d = folder(documents=([(5, "s"), (6, "s"), (7, "t"), (8, "t")], "doc_id long, source string"), labels=([(5,), (6,), (7,)], "doc_id long"))
     assert {r["source"]: r["leaks"] for r in run(spark, "join_split_leak", d)} == {"s": 2, "t": 1}
+
+
+def test_chains_of_any_depth(spark, folder):
+    """A line of 150 turns, a fork of two lines, and a cycle, which no root reaches."""
+    turns = [(10, t) for t in range(150)] + [(7, t) for t in range(100)] + [(13, t) for t in range(131)]
+    d = folder(conversations=(turns, "conv_id long, turn long"))
+    got = {r["conv_id"]: (r["depth"], r["reached"]) for r in run(spark, "audit_chain_depth", d)}
+    assert got == {10: (150, 150), 13: (66, 131)}
+
+
+def test_a_cycle_and_a_missing_target_end_the_walk(spark):
+    from catalogcheck.operators import ledger
+
+    rows = [(1, "a", None), (1, "b", "a"), (1, "c", "d"), (1, "d", "e"), (1, "e", "c"), (1, "f", "e"), (1, "g", "nowhere"), (1, "h", "h"), (2, "b", "a")]
+    out = ledger.chain_depths(spark.createDataFrame(rows, "conv_id long, claim string, supersedes string"))
+    assert sorted(map(tuple, out.collect())) == [(1, "a", 1), (1, "b", 2)]
