@@ -18,8 +18,9 @@ Buckets of frequent classes, the only ones that can be very large, are first spl
 after that. Every candidate pair is verified on the full sets.
 
 Defined results: without words or text a document has no shingles and is its own component; with fewer than five
-words the whole sequence is the one shingle; documents of one id are one node; rows repeated whole give equal rows;
-a null id is carried through like any other; an empty table gives no rows; other columns are not read.
+words the whole sequence is the one shingle; different texts of one id are nodes of their own; rows repeated whole
+give equal rows; a null id is carried through like any other; an empty table gives no rows; the query doesn't read other
+columns.
 """
 
 from __future__ import annotations
@@ -69,8 +70,9 @@ def set_hashes(h: np.ndarray, at: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.where(size > 0, tk.mix(total + size.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)), np.uint64(0))
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set for every document, and rows of the frequency table (part, counts) beside them."""
+def counted(docs: DataFrame, row=None) -> DataFrame:
+    """doc_id, row, n_shingles, set for every document (``row``: the column given, a long), and rows of the frequency
+    table (part, counts) beside them."""
 
     def run(batches):
         table = np.zeros(1 << TABLE_BITS, np.int64)
@@ -79,13 +81,14 @@ def counted(docs: DataFrame) -> DataFrame:
             h, at, edges = document_sets(batch.column(1))
             table += np.bincount((h >> shift).astype(np.int64), minlength=len(table))
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(edges)), pa.array(set_hashes(h, at, edges).view(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["doc_id", "n_shingles", "set", "part", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(edges)), pa.array(set_hashes(h, at, edges).view(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["doc_id", "row", "n_shingles", "set", "part", "counts"])
         for part, counts in enumerate(np.split(table, TABLE_PARTS)):
             low = zstandard.compress(np.minimum(counts, 0xFFFF_FFFF).astype("<u4").tobytes(), 1)
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([part], pa.int32()), pa.array([low], pa.binary())], ["doc_id", "n_shingles", "set", "part", "counts"])
+            yield pa.RecordBatch.from_arrays([*[pa.array([None], pa.int64())] * 4, pa.array([part], pa.int32()), pa.array([low], pa.binary())], ["doc_id", "row", "n_shingles", "set", "part", "counts"])
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_shingles long, set long, part int, counts binary")
+    row = F.lit(0).cast("long") if row is None else row
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row.alias("row"))
+    return source.mapInArrow(run, "doc_id long, row long, n_shingles long, set long, part int, counts binary")
 
 
 def frequency_classes(parts: DataFrame) -> np.ndarray:
@@ -398,15 +401,18 @@ def set_links(docs: DataFrame, classes: np.ndarray) -> DataFrame:
     return label
 
 
+def linked(docs: DataFrame, row=None) -> tuple[DataFrame, DataFrame]:
+    """The documents (doc_id, row, n_shingles, set), and set, root of the sets that are similar to another one."""
+    both = tk.written(counted(docs, row), "sets")
+    classes = frequency_classes(both.filter("part IS NOT NULL").select("part", "counts"))
+    return both.filter("part IS NULL").select("doc_id", "row", "n_shingles", "set"), set_links(docs, classes).withColumnRenamed("node", "set")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
-    spark = docs.sparkSession
-    both = tk.written(counted(docs), "sets")
-    own = both.filter("part IS NULL").select("doc_id", "n_shingles", "set")
-    classes = frequency_classes(both.filter("part IS NOT NULL").select("part", "counts"))
-    label = set_links(docs, classes)
+    own, label = linked(docs)
     firsts = own.filter("n_shingles > 0").groupBy("set").agg(F.min("doc_id").alias("first"))
-    rooted = firsts.join(label.withColumnRenamed("node", "set"), "set", "left").select("set", F.coalesce("root", "set").alias("root"), "first")
+    rooted = firsts.join(label, "set", "left").select("set", F.coalesce("root", "set").alias("root"), "first")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select("set", "component_id")
     return own.join(named, "set", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
@@ -418,11 +424,19 @@ def op3_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component, the document of least id; of rows with that id, one."""
+    """Pipeline stage: of each component, the row of least id (null ids last), then of least hash; of rows repeated
+    whole, one. A row's key is its id, whether that is null, and a hash of all its columns."""
     tk.bounded_arrow(spark)
-    found = near_duplicates(docs)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").select(*docs.columns)
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    own, label = linked(docs, row)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "row")
+    # the least key of each set first: a set with very many copies is one row of each task
+    firsts = own.filter("n_shingles > 0").groupBy("set").agg(F.min(key).alias("key"))
+    least = firsts.join(label, "set", "left").groupBy(F.coalesce("root", "set").alias("root")).agg(F.min("key").alias("key")).select("key")
+    kept = least.union(own.filter("n_shingles = 0").select(key.alias("key")).distinct()).select(F.col("key.none").alias("__none"), F.col("key.id").alias("__id"), F.col("key.row").alias("__row"))
+    number = F.col("doc_id").cast("long")
+    keyed = docs.withColumns({"__none": number.isNull(), "__id": F.coalesce(number, F.lit(0)), "__row": row}).dropDuplicates(["__none", "__id", "__row"])
+    return keyed.join(kept, ["__none", "__id", "__row"], "left_semi").select(*docs.columns)
 
 
 QUERIES = {"op3_ngram_jaccard_join": op3_ngram_jaccard_join}
