@@ -8,7 +8,8 @@ one integer) finds the fullest combination that fits; equal bins are taken as of
 Pieces get a rank among those of their length (counted per length and hash bucket, so that a length shared by a third
 of all pieces is ranked by many tasks) and the plan maps length and rank to a sequence and an offset.
 
-Defined results: a null or empty text is the closing id alone; equal texts and repeated rows are packed each; an
+Defined results: ids are those of ``Tokenizer.encode(text, add_special_tokens=False)``, so an added token that stands in a
+text is its one id; a null or empty text is the closing id alone; equal texts and repeated rows are packed each; an
 empty table gives no rows; other columns are not read.
 """
 
@@ -66,14 +67,15 @@ def apart(data: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray)
 
 
 class WordEncoder:
-    """Ids of texts through a tokenizer that splits at white space, asking it once for each distinct word."""
+    """Ids of texts through a tokenizer that splits at white space, asking it once for each distinct word. Texts that
+    hold one of its added tokens, which have ids of their own, go to it whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[int, bytes] = {}
         self.between = np.array(self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids, "<u4")
 
@@ -93,12 +95,30 @@ class WordEncoder:
         start = np.concatenate([[0], mark[:-1] + wide])
         return [ids[a:b].tobytes() for a, b in zip(start, mark, strict=True)]
 
+    def with_added(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Rows whose lower-case bytes hold an added token in lower case, so every row that may hold one."""
+        raw, rows = data.tobytes(), set()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                row = int(np.searchsorted(offsets, at, "right")) - 1
+                inside = at + len(token) <= offsets[row + 1]
+                if inside:
+                    rows.add(row)
+                at = raw.find(token, int(offsets[row + 1]) if inside else at + 1)
+        return np.array(sorted(rows), np.int64)
+
     def ids(self, column) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the column laid end to end, each row closed by CLOSING_ID, and the rows' offsets in them."""
         data, offsets = tk.text_bytes(column)
         rows = len(offsets) - 1
         data = tk.lower(data)  # the tokenizer does so too
-        start, end, row = apart(data, *tk.words(data, offsets))
+        start, end, row = tk.words(data, offsets)
+        held = self.with_added(data, offsets)
+        if len(held):
+            own = ~np.isin(row, held)
+            start, end, row = start[own], end[own], row[own]
+        start, end, row = apart(data, start, end, row)
         kinds, first, which = np.unique(tk.span_hashes(data, start, end), return_index=True, return_inverse=True) if len(start) else (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 2)
         if len(self.known) > REMEMBERED:
             self.known = {}
@@ -114,13 +134,18 @@ class WordEncoder:
         size = np.array([len(c) // 4 for c in coded], np.int64)
         place = np.concatenate([[0], np.cumsum(size)])[:-1] if len(size) else size
         each = size[which] if len(which) else np.zeros(0, np.int64)
-        total = np.bincount(row, weights=each, minlength=rows).astype(np.int64) + 1
+        whole = [np.array(self.tokenizer.encode(column[int(r)].as_py(), add_special_tokens=False).ids, "<u4") for r in held]
+        extra = np.zeros(rows, np.int64)
+        extra[held] = [len(x) for x in whole]
+        total = np.bincount(row, weights=each, minlength=rows).astype(np.int64) + extra + 1
         edges = np.concatenate([[0], np.cumsum(total)])
         out = np.full(edges[-1], CLOSING_ID, "<u4")
         if len(each):
             before = np.cumsum(each) - each
             source = np.arange(each.sum()) + np.repeat(place[which] - before, each)
-            out[np.arange(each.sum()) + np.repeat(row, each)] = flat[source]
+            out[np.arange(each.sum()) + np.repeat(row + (np.cumsum(extra) - extra)[row], each)] = flat[source]
+        for r, x in zip(held, whole, strict=True):
+            out[edges[r] : edges[r] + len(x)] = x
         return out, edges
 
 
