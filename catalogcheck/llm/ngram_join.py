@@ -1,51 +1,59 @@
 """N-gram Jaccard join: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Token-combination prefixes. Every shingle has a class by how frequent it is: rare ones are indexed singly, frequent ones
-in combinations of two, very frequent ones of three. A set's shingles are ordered by class and hash, and its prefix
-is extended until a similar set must share a combination inside it: with x shingles of a group that is indexed in
-combinations of k, a set that shares none of them misses x - (k - 1) of that group, so once these add up to more
-than the 20 % it may miss, some combination is shared. Frequent classes are cut into groups by hash (more groups for
-longer sets, the same number for all sets of a length band; a set near a band's edge is indexed in both bands), which
-keeps the number of combinations near the number of shingles.
-
-Classes come from a count of all shingles of all documents in a table of fixed size (a shingle counts under its hash;
-shingles that fall together look more frequent, which costs work, not results: any order and any classes are exact).
-
-Equal sets collapse to one before anything else. Within a combination's bucket, sets are compared with its first set
-(its leader), not with each other: what links to the leader is one component already. Only pairs of a bucket whose
-components still differ are compared further, each round those of the next few leaders, until no such pair is left.
-Buckets of frequent classes, the only ones that can be very large, are first split by hash and their leaders compared
-after that. Every candidate pair is verified on the full sets.
+Equal sets collapse to one before anything is compared, and every pair is verified on the full sets of 64-bit shingle
+hashes before it counts as a link.
+
+1. Open sets. In one order of all shingles (by hash), two similar sets share the first shingles that they have in
+   common, so a similar set shares some of the first ``may_miss(n) + extension(n)`` shingles of each: at least
+   ``extension`` of the smallest size that a partner can have. These prefixes, a quarter of all shingles, are counted
+   over the corpus; a set with too few shared ones has no partner. What is left is open, and its shingles are written once.
+2. Token-combination prefixes. The shingles of the open sets are counted exactly and ordered by frequency, those of one set
+   alone first. A set's prefix is extended until a similar set must share a combination inside it: shingles of fewer than
+   LEAST[0] sets are indexed singly, more frequent ones in combinations of two, very frequent ones of three. With x
+   shingles of a group that is indexed in combinations of k, a set that shares none of them misses x - (k - 1) of
+   that group, so once these add up to more than the 20 % it may miss, some combination is shared. Frequent classes are
+   cut into groups by hash (more groups for longer sets, the same number for all sets of a length band; a set near a
+   band's edge is indexed in both bands), which keeps the number of combinations near the number of shingles.
+3. Buckets. A bucket is cut into narrow bands of lengths, where a combination counts only as far down the prefix as partners
+   of these lengths need. Buckets with the same sets collapse to one; a bucket of two is a pair. Larger ones are compared inside
+   tasks, in blocks of at most 2 * BLOCK sets, on bitmaps that can only rule pairs out. No pairs leave the task but a spanning forest: the likeliest pairs that join the block's sets. They are verified, which settles
+   the components but for pairs that failed.
+4. What is left. Buckets whose sets are still of different components are compared once more: pairs of different components that
+   no bitmap rules out are verified too. A forest can hide only
+   pairs inside one component, so no link between components is lost.
+
+In a group of very many texts that are nearly but not quite similar, step 4 still verifies each pair that the bitmaps leave
+(similarities from about 0.78): exact results need some proof for every such pair.
 
 Defined results: without words or text a document has no shingles and is its own component; with fewer than five
 words the whole sequence is the one shingle; different texts of one id are nodes of their own; rows repeated whole
-give equal rows; a null id is carried through like any other; an empty table gives no rows; the query doesn't read other
-columns.
+give equal rows; a null id is carried through like any other; an empty table gives no rows; very long texts are sets like
+any other, read whole; the query doesn't read other columns.
 """
 
 from __future__ import annotations
 
-import functools
 import itertools
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .graph import components
 
 SHINGLE, PERCENT = 5, 80
-#: Counters of the frequency table; class k + 1 begins at LEAST[k] occurrences and SHARE[k] times the mean counter.
-TABLE_BITS, LEAST, SHARE = 21, (64, 1024), (4.0, 64.0)
-TABLE_PARTS = 64
+#: Class k + 1 of a shingle begins at LEAST[k] open sets that hold it.
+LEAST = (64, 1024)
 #: Length bands (from, groups of each frequent class); a set of 1.25 times a band's end is in both bands.
-BANDS = tuple((8 * 4**i, 4**i) for i in range(12))
-#: Leaders of a bucket's further rounds; parts of a large bucket.
-LEADERS, PARTS = 32, 64
-TOKEN_BYTES = 5
+BANDS = tuple((8 * 2**i, 2**i) for i in range(24))
+#: Factor of the finer length bands that buckets are cut by.
+FINE = 1.1
+#: Sets of one side of a block.
+BLOCK = 512
+#: Sets that a task remembers, to send each once.
+REMEMBERED = 1 << 18
 
 
 def document_sets(column):
@@ -70,78 +78,130 @@ def set_hashes(h: np.ndarray, at: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.where(size > 0, tk.mix(total + size.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)), np.uint64(0))
 
 
+def may_miss(n: int) -> int:
+    """How many members of a set of n a similar set may lack: the overlap is at least 80 % of the union, so of n."""
+    return n - (PERCENT * n + 99) // 100
+
+
+def extension(n: int) -> int:
+    """How many shingles the prefix of an n-shingle set has beyond those that a similar set may lack."""
+    return 1 + n // 20
+
+
+def bands_of(n: int) -> list[tuple[int, int]]:
+    """(number, groups) of the bands that a set of n shingles is indexed in; band 0 has single shingles only."""
+    out = [(0, 0)] if n < BANDS[0][0] * 1.25 else []
+    for i, (low, groups) in enumerate(BANDS):
+        high = BANDS[i + 1][0] if i + 1 < len(BANDS) else float("inf")
+        if low <= n < high * 1.25:
+            out.append((i + 1, groups))
+    return out
+
+
 def counted(docs: DataFrame, row=None) -> DataFrame:
-    """doc_id, row, n_shingles, set for every document (``row``: the column given, a long), and rows of the frequency
-    table (part, counts) beside them."""
+    """doc_id, row, n_shingles, set, prefix for every document (``row``: the column given, a long).
+
+    ``prefix`` holds the first hashes of the set, 8 bytes each; it is null where the task has sent the set before.
+    """
 
     def run(batches):
-        table = np.zeros(1 << TABLE_BITS, np.int64)
-        shift = np.uint64(64 - TABLE_BITS)
+        seen: set[int] = set()
         for batch in tk.steps(batches):
             h, at, edges = document_sets(batch.column(1))
-            table += np.bincount((h >> shift).astype(np.int64), minlength=len(table))
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(edges)), pa.array(set_hashes(h, at, edges).view(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["doc_id", "row", "n_shingles", "set", "part", "counts"])
-        for part, counts in enumerate(np.split(table, TABLE_PARTS)):
-            low = zstandard.compress(np.minimum(counts, 0xFFFF_FFFF).astype("<u4").tobytes(), 1)
-            yield pa.RecordBatch.from_arrays([*[pa.array([None], pa.int64())] * 4, pa.array([part], pa.int32()), pa.array([low], pa.binary())], ["doc_id", "row", "n_shingles", "set", "part", "counts"])
+            size, whole = np.diff(edges), set_hashes(h, at, edges)
+            prefix: list = [None] * batch.num_rows
+            for i in np.flatnonzero(size):
+                if (key := int(whole[i])) not in seen:
+                    seen.add(key)
+                    n = int(size[i])
+                    prefix[i] = h[edges[i] : edges[i] + min(n, may_miss(n) + extension(n))].tobytes()
+            if len(seen) > REMEMBERED:
+                seen = set()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size), pa.array(whole.view(np.int64)), pa.array(prefix, pa.binary())], ["doc_id", "row", "n_shingles", "set", "prefix"])
 
     row = F.lit(0).cast("long") if row is None else row
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row.alias("row"))
-    return source.mapInArrow(run, "doc_id long, row long, n_shingles long, set long, part int, counts binary")
+    return source.mapInArrow(run, "doc_id long, row long, n_shingles long, set long, prefix binary")
+
 
+def joined_tokens(column) -> tuple[np.ndarray, np.ndarray]:
+    """All hashes of a column of binary sets end to end, and the row of each."""
+    raw = [x.as_buffer() for x in column]
+    size = np.array([len(x) // 8 for x in raw], np.int64)
+    return np.frombuffer(b"".join(raw), np.uint64), np.repeat(np.arange(len(raw)), size)
 
-def frequency_classes(parts: DataFrame) -> np.ndarray:
-    """The class (1, 2, 3) of every counter, from the tables of all tasks."""
 
-    def add(batches):
-        total: dict[int, np.ndarray] = {}
+def open_sets(sets: DataFrame) -> DataFrame:
+    """set: those with as many shared hashes in their prefix as a similar set would share (and perhaps some others)."""
+
+    def tokens(batches):
         for batch in batches:
-            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(zstandard.decompress(counts), "<u4").astype(np.int64)
-                total[part] = total[part] + x if part in total else x
-        for part, x in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["part", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(joined_tokens(batch.column(0))[0].view(np.int64))], ["token"])
 
-    summed = parts.repartition(TABLE_PARTS, "part").mapInArrow(add, "part int, counts binary").toArrow()  # fixed size
-    table = np.zeros((TABLE_PARTS, (1 << TABLE_BITS) // TABLE_PARTS), np.int64)
-    for part, counts in zip(summed.column(0).to_pylist(), summed.column(1).to_pylist(), strict=True):
-        table[part] += np.frombuffer(counts, np.int64)
-    table = table.reshape(-1)
-    mean = table.sum() / len(table)
-    return (1 + sum((table >= max(least, share * mean)).astype(np.int8) for least, share in zip(LEAST, SHARE, strict=True))).astype(np.uint8)
+    held = sets.filter("prefix IS NOT NULL")
+    shared = tk.written(held.select("prefix").mapInArrow(tokens, "token long").groupBy("token").agg(F.count("*").alias("times")).filter("times > 1").select("token"), "shared")
+    bits = held.sparkSession.sparkContext.broadcast(tk.membership_filter(shared))  # fixed size
 
+    def maybe(batches):
+        for batch in batches:
+            token, at = joined_tokens(batch.column(2))
+            k = tk.may_hold(bits.value, token)
+            least = np.array([extension(-(-PERCENT * n // 100)) for n in batch.column(1).to_pylist()], np.int32)
+            # sets that can't reach their number even with the filter's mistakes stay here
+            k &= (np.bincount(at[k], minlength=batch.num_rows) >= least)[at]
+            at = at[k]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(token[k].view(np.int64)), pa.array(least[at])], ["set", "token", "least"])
 
-def may_miss(n: int) -> int:
-    """How many members of a set of n a similar set may lack: the overlap is at least 80 % of the union, so of n."""
-    return n - (PERCENT * n + 99) // 100
+    found = held.select("set", "n_shingles", "prefix").mapInArrow(maybe, "set long, token long, least int")
+    return found.join(shared, "token", "left_semi").groupBy("set").agg(F.count("*").alias("n"), F.max("least").alias("least")).filter("n >= least").select("set")
 
 
-def bands_of(n: int) -> list[tuple[int, int]]:
-    """(number, groups) of the bands that a set of n shingles is indexed in; band 0 has single shingles only."""
-    out = [(0, 0)] if n < BANDS[0][0] * 1.25 else []
-    for i, (low, groups) in enumerate(BANDS):
-        high = BANDS[i + 1][0] if i + 1 < len(BANDS) else float("inf")
-        if low <= n < high * 1.25:
-            out.append((i + 1, groups))
-    return out
+def set_members(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """set, n, members (ascending hashes, 8 bytes each) of the wanted sets, as a table bucketed by set."""
+    bits = docs.sparkSession.sparkContext.broadcast(tk.membership_filter(wanted))  # fixed size
 
+    def run(batches):
+        seen: set[int] = set()
+        for batch in tk.steps(batches):
+            h, at, edges = document_sets(batch.column(0))
+            whole = set_hashes(h, at, edges)
+            out = []
+            for i in np.flatnonzero((np.diff(edges) > 0) & tk.may_hold(bits.value, whole)):
+                if (key := int(whole[i])) not in seen:
+                    seen.add(key)
+                    out.append((int(whole[i : i + 1].view(np.int64)[0]), int(edges[i + 1] - edges[i]), h[edges[i] : edges[i + 1]].tobytes()))
+            if len(seen) > REMEMBERED:
+                seen = set()
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["set", "n", "members"])
 
-def signatures(h: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, whether from a frequent class) of every combination in the extended prefix of one set, in all its bands.
+    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "set long, n int, members binary")
+    return tk.written_by_key(found.join(wanted, "set", "left_semi").dropDuplicates(["set"]), "members", "set")
 
-    ``h`` are the set's hashes in ascending order, ``kind`` their classes.
+
+def least_common(total):
+    """How many members two sets of ``total`` members together must have in common to be similar."""
+    return -(-PERCENT * total // (100 + PERCENT))
+
+
+def signatures(h: np.ndarray, kind: np.ndarray, alone: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, level) of every combination in the extended prefix of one set, in all its bands.
+
+    ``h`` are the set's hashes in the order of all shingles, ``kind`` their classes; ``alone`` more come before them, which
+    no other set holds. A combination of level x is in the prefix that a partner needs who lets the set miss x members
+    or more, so two similar sets share one whose levels are at most what each of them misses of the other.
     """
-    n = len(h)
-    need = may_miss(n) + 1
-    out_h, out_f = [], []
+    n = len(h) + alone
+    need = may_miss(n) + 1 - alone
+    if need <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    out_h, out_l = [], []
     for band, groups in bands_of(n):
         salt = np.uint64(band * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-        k = kind if groups else np.ones(n, np.uint8)
-        at = np.flatnonzero(k == 1)[:need]
-        single = h[at]
+        k = kind if groups else np.ones(len(h), np.uint8)
+        single = h[np.flatnonzero(k == 1)[:need]]
         out_h.append(tk.mix(single ^ salt))
-        out_f.append(kind[at] > 1)
+        out_l.append(alone + np.arange(len(single)))
         missing = need - len(single)
         for size in (2, 3):
             if missing <= 0:
@@ -152,260 +212,240 @@ def signatures(h: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]
             order = np.argsort(group, kind="stable")
             rank = np.empty(len(member), np.int64)
             sorted_group = group[order]
-            first = np.searchsorted(sorted_group, sorted_group)
-            rank[order] = np.arange(len(member)) - first
+            rank[order] = np.arange(len(member)) - np.searchsorted(sorted_group, sorted_group)
             gain = np.cumsum(rank >= size - 1)
             take = int(np.searchsorted(gain, missing)) + 1
-            member, group = member[:take], group[:take]
-            missing -= int(gain[min(take, len(gain)) - 1]) if len(gain) else 0
+            member, group, gain = member[:take], group[:take], gain[:take]
+            level = need + alone - missing + np.append(0, gain)[: len(gain)]
+            missing -= int(gain[-1]) if len(gain) else 0
             order = np.argsort(group, kind="stable")
-            member, group = member[order], group[order]
-            for block in np.split(member, np.flatnonzero(group[1:] != group[:-1]) + 1) if len(member) else []:
-                if len(block) >= size:
-                    pick = np.array(list(itertools.combinations(range(len(block)), size)))
+            member, group, level = member[order], group[order], level[order]
+            for at in np.split(np.arange(len(member)), np.flatnonzero(group[1:] != group[:-1]) + 1) if len(member) else []:
+                if len(at) >= size:
+                    pick = at[np.array(list(itertools.combinations(range(len(at)), size)))]
                     mixed = np.zeros(len(pick), np.uint64)
                     for j in range(size):
-                        mixed = tk.mix(mixed * np.uint64(0x9E3779B97F4A7C15) + block[pick[:, j]])
+                        mixed = tk.mix(mixed * np.uint64(0x9E3779B97F4A7C15) + member[pick[:, j]])
                     out_h.append(tk.mix(mixed ^ salt + np.uint64(size)))
-                    out_f.append(np.ones(len(pick), bool))
-    return np.concatenate(out_h), np.concatenate(out_f)
-
-
-def combinations_of(batches, classes: np.ndarray):
-    """(sig, set, frequent) arrays of every different set of a task, each set once."""
-    shift = np.uint64(64 - TABLE_BITS)
-    seen: set[int] = set()
-    for batch in tk.steps(batches):
-        h, at, edges = document_sets(batch.column(0))
-        whole = set_hashes(h, at, edges)
-        kind = classes[(h >> shift).astype(np.int64)]
-        sig, owner, frequent = [], [], []
-        for i in np.flatnonzero(np.diff(edges)):
-            if (key := int(whole[i])) not in seen:
-                seen.add(key)
-                s, f = signatures(h[edges[i] : edges[i + 1]], kind[edges[i] : edges[i + 1]])
-                sig.append(s)
-                frequent.append(f)
-                owner.append(np.full(len(s), i))
-        if sig:
-            yield np.concatenate(sig), whole[np.concatenate(owner)], np.concatenate(frequent)
-
-
-def shared_combinations(docs: DataFrame, classes) -> DataFrame:
-    """sig: the combinations that were met more than once."""
-
-    def run(batches):
-        for sig, _, _ in combinations_of(batches, classes.value):
-            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64))], ["sig"])
+                    out_l.append(level[pick[:, -1]])  # that of its last member
+    return np.concatenate(out_h), np.concatenate(out_l)
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "sig long").groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1").select("sig")
 
+def indexed(members: DataFrame) -> DataFrame:
+    """bucket, set, n, level: the sets filed under every combination of their prefixes."""
 
-def indexed(docs: DataFrame, classes, shared) -> DataFrame:
-    """bucket, whole, set: the sets filed under every combination that may be shared.
+    def tokens(batches):
+        for batch in batches:
+            token, at = joined_tokens(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(token.view(np.int64))], ["set", "token"])
 
-    A combination of a frequent class is cut by the set's hash into PARTS buckets, and ``whole`` names it; it is null
-    where the bucket is whole.
-    """
+    each = members.select("set", "members").mapInArrow(tokens, "set long, token long")
+    counts = each.groupBy("token").agg(F.count("*").cast("int").alias("times")).filter("times > 1")
+    shared = each.join(counts, "token").groupBy("set").agg(F.sort_array(F.collect_list(F.struct("times", "token"))).alias("tokens"))  # at most the set's own shingles
+    both = shared.join(members.select("set", "n"), "set").select("set", "n", F.col("tokens.times").alias("times"), F.col("tokens.token").alias("token"))
 
     def run(batches):
-        for sig, whole, frequent in combinations_of(batches, classes.value):
-            k = tk.may_hold(shared.value, sig)
-            sig, whole, frequent = sig[k], whole[k], frequent[k]
-            bucket = np.where(frequent, tk.mix(sig + (whole % np.uint64(PARTS) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)), sig)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(sig.view(np.int64), mask=~frequent), pa.array(whole.view(np.int64))], ["bucket", "whole", "set"])
-
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "bucket long, whole long, set long")
+        for batch in batches:
+            sig, level, owner = [], [], []
+            for i, (n, times, token) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True)):
+                t = times.values.to_numpy()
+                kind = (1 + (t >= LEAST[0]) + (t >= LEAST[1])).astype(np.uint8)
+                x, y = signatures(token.values.to_numpy().view(np.uint64), kind, n - len(t))
+                sig.append(x)
+                level.append(y)
+                owner.append(np.full(len(x), i))
+            if sig:
+                at = pa.array(np.concatenate(owner))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(level).astype(np.int32))], ["bucket", "set", "n", "level"])
+
+    return both.mapInArrow(run, "bucket long, set long, n int, level int")
+
+
+def by_length(filed: DataFrame) -> DataFrame:
+    """bucket, set, n, level, own: buckets cut by length, each set in its own band and, as the smaller partner, in the bands
+    above it that reach up to 1.25 times its length; there only with levels that such a partner allows."""
+    band = F.floor(F.log("n") / F.log(F.lit(FINE))).cast("int")
+    last = int(np.ceil(np.log(100 / PERCENT) / np.log(FINE)))
+    both = filed.select("bucket", "set", "n", "level", band.alias("band"), F.explode(F.sequence(F.lit(0), F.lit(last))).alias("up"))
+    least = F.pow(F.lit(FINE), F.col("band") + F.col("up")) * (1 - 1e-9)  # the partner's length
+    allowed = F.col("n") - F.lit(PERCENT / (100 + PERCENT)) * (F.col("n") + least) + 1e-6
+    kept = both.filter((F.col("up") == 0) | (F.col("level") <= allowed))
+    return kept.select(F.xxhash64("bucket", F.col("band") + F.col("up")).alias("bucket"), "set", "n", "level", (F.col("up") == 0).alias("own"))
+
+
+def different(filed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of buckets (bucket, set, n, level, own) with the same sets, one: the pairs (a, b) that are all of a bucket, and the larger
+    buckets, with their size; a set's level is the least that it has in one of those that became one."""
+    marks = {"mark": F.bit_xor(F.xxhash64("set", "own")), "mark2": F.sum(F.expr("xxhash64(set, own, 1) div 1048576"))}
+    about = filed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("set").alias("least"), F.max("set").alias("most"), F.max("own").alias("owned"), *[c.alias(k) for k, c in marks.items()])
+    about = tk.written(about.filter("size > 1 AND owned"), "about")
+    twos = about.filter("size = 2").select(F.col("least").alias("a"), F.col("most").alias("b")).distinct()
+    larger = about.filter("size > 2")
+    one = larger.groupBy("size", "least", "most", *marks).agg(F.min("bucket").alias("one"))
+    named = larger.join(one, ["size", "least", "most", *marks]).select("bucket", "one", "size")
+    return twos, filed.join(named, "bucket").groupBy(F.col("one").alias("bucket"), "size", "set", "n", "own").agg(F.min("level").alias("level"))
 
 
 def bitmap(h: np.ndarray) -> bytes:
-    """The set's hashes as bits, about one bit for each member (a power of two, 64 at least)."""
-    width = 1 << max(6, int(len(h) - 1).bit_length())
+    """The set's hashes as bits, at most half a member a bit (a power of two, 512 at least)."""
+    width = 1 << max(9, int(2 * len(h) - 1).bit_length())
     bits = np.zeros(width, bool)
     bits[(h & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits).tobytes()
 
 
-def may_be_similar(a: bytes, b: bytes, na: int, nb: int) -> bool:
-    """False only if the sets can't be similar: bits that differ are members that differ, at least one each."""
-    x, y = (np.frombuffer(m, np.uint8) for m in (a, b))
-    while len(x) > len(y):
-        x = x[: len(x) // 2] | x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] | y[len(y) // 2 :]
-    most = (na + nb - int(np.bitwise_count(x ^ y).sum())) // 2
-    return 100 * most >= PERCENT * (na + nb - most)
-
-
-def set_bitmaps(docs: DataFrame, wanted) -> DataFrame:
-    """set, n, bits of the sets that may be wanted; once in each task."""
-
-    def run(batches):
-        seen: set[int] = set()
-        for batch in tk.steps(batches):
-            h, at, edges = document_sets(batch.column(0))
-            whole = set_hashes(h, at, edges)
-            out = []
-            for i in np.flatnonzero((np.diff(edges) > 0) & tk.may_hold(wanted.value, whole)):
-                if (key := int(whole[i])) not in seen:
-                    seen.add(key)
-                    out.append((int(whole[i : i + 1].view(np.int64)[0]), int(edges[i + 1] - edges[i]), bitmap(h[edges[i] : edges[i + 1]])))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["set", "n", "bits"])
-
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "set long, n int, bits binary")
-
-
-def possible(pairs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """The pairs (a, b, ...) whose lengths and bitmaps don't rule out that they are similar."""
-    extra = [c for c in pairs.columns if c not in ("a", "b")]
-    left = pairs.join(bitmaps.toDF("a", "na", "x"), "a").join(bitmaps.toDF("b", "nb", "y"), "b").filter(close_in_length("na", "nb"))
-    left = left.select("a", "b", *extra, "x", "y", "na", "nb")
-    width = 2 + len(extra)
+def with_bitmaps(members: DataFrame) -> DataFrame:
+    """set, bits, as a table bucketed by set."""
 
     def run(batches):
         for batch in batches:
-            x, y, na, nb = (batch.column(width + i) for i in range(4))
-            keep = [may_be_similar(p.as_buffer(), q.as_buffer(), m, n) for p, q, m, n in zip(x, y, na.to_pylist(), nb.to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:width]], batch.schema.names[:width])
-
-    return left.mapInArrow(run, pairs.schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bitmap(np.frombuffer(x.as_buffer(), np.uint64)) for x in batch.column(1)], pa.binary())], ["set", "bits"])
+
+    return tk.written_by_key(members.select("set", "members").mapInArrow(run, "set long, bits binary"), "bitmaps", "set")
+
+
+def folded(bits: list) -> np.ndarray:
+    """Bitmaps as rows of 64-bit words, all as narrow as the narrowest of them."""
+    raw = [np.frombuffer(b, np.uint64) for b in bits]
+    width = min(map(len, raw))
+    return np.stack([np.bitwise_or.reduce(r.reshape(-1, width), 0) for r in raw])
+
+
+def overlaps(bits: np.ndarray, a: np.ndarray, b: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """How many members the sets of each pair, of ``total`` members together, have in common at most: bits that differ are
+    members that differ, at least one each."""
+    out = np.empty(len(a), np.int64)
+    step = max(1, (1 << 19) // bits.shape[1])
+    for i in range(0, len(a), step):
+        out[i : i + step] = np.bitwise_count(bits[a[i : i + step]] ^ bits[b[i : i + step]]).sum(1, dtype=np.int64)
+    return (total - out) // 2
+
+
+class Block:
+    """The sets of one block of one bucket; only pairs of the two sides, or of the one side, are its own."""
+
+    def __init__(self, rows: list[tuple]):
+        sets, n, level, own, side, bits, root = zip(*rows, strict=True)
+        self.sets, n, level, own, side, root = (np.array(x) for x in (sets, n, level, own, side, root))
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        one = not len(right)
+        right = left if one else right
+        most = least_common(n[left][:, None] + n[right][None])
+        fit = (n[left] - level[left])[:, None] >= most
+        fit &= (n[right] - level[right])[None] >= most
+        fit &= own[left][:, None] | own[right][None]
+        fit &= root[left][:, None] != root[right][None]
+        a, b = np.nonzero(np.triu(fit, 1) if one else fit)
+        a, b = left[a], right[b]
+        total = n[a] + n[b]
+        most = overlaps(folded(bits), a, b, total) if len(a) else total
+        k = np.flatnonzero(most >= least_common(total))
+        self.a, self.b, self.likeness = a[k], b[k], most[k] / (total - most)[k]
+
+    def forest(self) -> list[tuple[int, int]]:
+        """The likeliest pairs that join the sets which no bitmap keeps apart."""
+        root = list(range(len(self.sets)))
+
+        def find(i):
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        out = []
+        order = np.argsort(-self.likeness, kind="stable")
+        for i, j in zip(self.a[order].tolist(), self.b[order].tolist(), strict=True):
+            x, y = find(i), find(j)
+            if x != y:
+                root[y] = x
+                out.append((i, j))
+                if len(out) + 1 == len(root):
+                    break
+        return out
+
+    def pairs(self) -> list[tuple[int, int]]:
+        return list(zip(self.a.tolist(), self.b.tolist(), strict=True))
+
+
+def compared(filed: DataFrame, bitmaps: DataFrame, forest: bool) -> DataFrame:
+    """a, b (a < b): the pairs that the blocks of ``filed`` (bucket, size, set, n, level, own, root) offer, of
+    sets with different ``root``."""
+    spark = filed.sparkSession
+    count = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # a bucket of more than 2 * BLOCK sets is dealt to parts; every two parts meet in a block of their own
+    parts = F.when(F.col("size") > 2 * BLOCK, F.ceil(F.col("size") / BLOCK)).otherwise(1).cast("int")
+    dealt = filed.join(bitmaps, "set").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    dealt = dealt.select("bucket", "set", "n", "level", "own", "bits", "root", "part", other)
+    dealt = dealt.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other"), "side": F.when(F.col("part") > F.col("other"), 1).otherwise(0)})
+    dealt = dealt.repartition(count, "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "set")
+    dealt = dealt.select("bucket", "low", "high", "set", "n", "level", "own", "side", "bits", "root")
 
+    def run(batches):
+        key, rows = None, []
 
-def set_members(docs: DataFrame, wanted) -> DataFrame:
-    """set, n, members (sorted hashes, TOKEN_BYTES each) of the sets that may be wanted; once in each task."""
+        def flush():
+            if len(rows) < 2:
+                return
+            block = Block(rows)
+            pairs = block.forest() if forest else block.pairs()
+            if pairs:
+                a, b = (block.sets[[p[i] for p in pairs]] for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    def run(batches):
-        seen: set[int] = set()
-        for batch in tk.steps(batches):
-            h, at, edges = document_sets(batch.column(0))
-            whole = set_hashes(h, at, edges)
-            out = []
-            for i in np.flatnonzero((np.diff(edges) > 0) & tk.may_hold(wanted.value, whole)):
-                if (key := int(whole[i])) not in seen:
-                    seen.add(key)
-                    out.append((int(whole[i : i + 1].view(np.int64)[0]), int(edges[i + 1] - edges[i]), h[edges[i] : edges[i + 1]].astype(">u8").view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES].tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["set", "n", "members"])
+        for batch in batches:
+            cols = [c.to_pylist() for c in batch.columns]
+            for bucket, low, high, *row in zip(*cols, strict=True):
+                if (bucket, low, high) != key:
+                    yield from flush()
+                    key, rows = (bucket, low, high), []
+                rows.append(row)
+        yield from flush()
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "set long, n int, members binary")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
-def similar(a: bytes, b: bytes) -> bool:
-    both = [np.frombuffer(x, np.uint8).reshape(-1, TOKEN_BYTES) for x in (a, b)]
-    x, y = (np.pad(m, ((0, 0), (8 - TOKEN_BYTES, 0))).reshape(-1).view(">u8") for m in both)
+def similar(a, b) -> bool:
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     common = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * common >= PERCENT * (len(x) + len(y) - common)
 
 
 def verified(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """The pairs (a, b) of sets that are similar."""
-    left = pairs.join(members.select(F.col("set").alias("a"), F.col("members").alias("x")), "a")
-    both = left.join(members.select(F.col("set").alias("b"), F.col("members").alias("y")), "b").select("a", "b", "x", "y")
+    """The pairs (a, b) of sets, and whether they are similar."""
+    sized = pairs.join(members.select(F.col("set").alias("a"), F.col("n").alias("na"), F.col("members").alias("x")), "a")
+    both = sized.join(members.select(F.col("set").alias("b"), F.col("n").alias("nb"), F.col("members").alias("y")), "b")
+    both = both.filter(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")).select("a", "b", "x", "y")
 
     def run(batches):
         for batch in batches:
             keep = [similar(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
-
-    return both.mapInArrow(run, "a long, b long")
-
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(keep, pa.bool_())], ["a", "b", "similar"])
 
-def close_in_length(a: str, b: str):
-    return 100 * F.least(F.col(a), F.col(b)) >= PERCENT * F.greatest(F.col(a), F.col(b))
+    return both.mapInArrow(run, "a long, b long, similar boolean")
 
 
-def different(filed: DataFrame) -> DataFrame:
-    """whole, set of the buckets with two sets or more; of buckets with the same sets, one."""
-    about = filed.groupBy("whole").agg(F.count("*").alias("n"), F.min("set").alias("least"), F.max("set").alias("most"), F.sum(F.expr("xxhash64(set) div 1048576")).alias("mark"))
-    kept = about.filter("n > 1").groupBy("n", "least", "most", "mark").agg(F.min("whole").alias("whole")).select("whole")
-    return filed.join(kept, "whole", "left_semi")
-
-
-def by_length(crowd: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Buckets cut by length: bands of factor 1.25, each set in its own and the next, so that sets close enough in
-    length to be similar still meet."""
-    band = F.floor(F.log("n") / F.log(F.lit(100 / PERCENT))).cast("int")
-    both = crowd.join(sizes, "set").select("whole", "set", "n", F.explode(F.array(band, band + 1)).alias("band"))
-    filed = both.select(F.xxhash64("whole", "band").alias("whole"), "set", "n")
-    return different(filed.select("whole", "set")).join(sizes, "set")
-
-
-def set_links(docs: DataFrame, classes: np.ndarray) -> DataFrame:
+def set_links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """node, root: the component of every set that is similar to another one."""
-    spark = docs.sparkSession
-    known = spark.sparkContext.broadcast(classes)  # fixed size
-    shared = spark.sparkContext.broadcast(tk.membership_filter(shared_combinations(docs, known)))  # fixed size
-    own = Window.partitionBy("bucket")
-    # one exchange, by bucket: copies of a set from several tasks collapse, and every row learns its bucket's ends
-    led = indexed(docs, known, shared).repartition("bucket").dropDuplicates(["bucket", "set"])
-    led = led.withColumns({"leader": F.min("set").over(own), "most": F.max("set").over(own)})
-    led = tk.written(led.filter("leader <> most OR whole IS NOT NULL").drop("most"), "buckets")
-    tk.release(spark)
-    in_part = led.filter("set <> leader").select(F.col("leader").alias("a"), F.col("set").alias("b"))
-    # the leaders of a large bucket's parts (at most PARTS), against the least of them
-    leaders = led.filter("whole IS NOT NULL AND set = leader").select("whole", "set").distinct()
-    leaders = leaders.withColumn("first", F.min("set").over(Window.partitionBy("whole"))).filter("set <> first")
-    pairs = in_part.union(leaders.select(F.col("first").alias("a"), F.col("set").alias("b"))).groupBy("a", "b").agg(F.count("*").alias("times"))
-    pairs = tk.written(pairs, "pairs")
-    crowd = tk.written(different(led.select(F.coalesce("whole", "bucket").alias("whole"), "set").distinct()), "crowd")
-    tk.release(spark)
-
-    def filter_of(frames):
-        return spark.sparkContext.broadcast(tk.membership_filter(frames.distinct()))  # fixed size
-
-    bitmaps = set_bitmaps(docs, filter_of(pairs.select("a").union(pairs.select("b")).union(crowd.select("set"))))
-    bitmaps = tk.written_by_key(bitmaps.dropDuplicates(["set"]), "bitmaps", "set")
-    pairs = tk.written(possible(pairs, bitmaps), "pairs")
-    crowd = tk.written(by_length(crowd, bitmaps.select("set", "n")), "crowd")
-    tk.release(spark)
-
-    def fetched(p: DataFrame) -> DataFrame:
-        members = set_members(docs, filter_of(p.select("a").union(p.select("b"))))
-        return tk.written_by_key(members.dropDuplicates(["set"]), "members", "set")
-
-    members = fetched(pairs)
-    tk.release(spark)
-    # first each set against the leader that it shares most buckets with: that links most of what will be linked
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", "b")
-    links = tk.written(verified(best, members), "links")
-    tk.release(spark)
-    label = components(links)
-    pairs = pairs.select("a", "b")
-    apart = pairs.join(best, ["a", "b"], "left_anti")
-    apart = apart.join(label.toDF("a", "ra"), "a", "left").join(label.toDF("b", "rb"), "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-    links = tk.written(links.union(verified(apart, members)), "links")
-    tk.release(spark)
+    members = set_members(docs, tk.written(open_sets(sets), "open"))
+    twos, crowd = different(tk.written(by_length(indexed(members)), "buckets"))
+    crowd = tk.written(crowd, "crowd")
+    bitmaps = with_bitmaps(members)
+    offered = compared(crowd.withColumn("root", F.col("set")), bitmaps, True)
+    first = tk.written(verified(tk.written(twos.union(offered).distinct(), "pairs"), members), "verified")
+    links = first.filter("similar").select("a", "b")
     label = components(links)
-    filed = crowd.join(label.withColumnRenamed("node", "set"), "set", "left").select("whole", "set", "n", F.coalesce("root", "set").alias("root"))
-    mixed = filed.groupBy("whole").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("whole")
-    place = F.row_number().over(Window.partitionBy("whole").orderBy("n", "set")) - 1
-    open_ = tk.written(filed.join(mixed, "whole", "left_semi").withColumn("place", place), "open")
-    # every pair of a bucket whose components differ is offered once, by its earlier set: LEADERS sets a round
-    offered, done = [], 0
-    while not open_.filter(F.col("place") >= done + 1).isEmpty():
-        late = open_.filter(F.col("place") >= done)
-        heads = late.filter(F.col("place") < done + LEADERS).select("whole", F.col("set").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("place").alias("pa"))
-        rest = late.select("whole", F.col("set").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("place").alias("pb"))
-        further = heads.join(rest, "whole").filter((F.col("pb") > F.col("pa")) & (F.col("ra") != F.col("rb")) & close_in_length("na", "nb"))
-        offered.append(tk.written(possible(further.select("a", "b").distinct(), bitmaps), "offered"))
-        tk.release(spark)
-        done += LEADERS
-    if offered:
-        further = tk.written(functools.reduce(DataFrame.union, offered).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-        if not further.isEmpty():
-            found = tk.written(verified(further, fetched(further)), "links")
-            tk.release(spark)
-            if not found.isEmpty():
-                label = components(tk.written(links.union(found), "links"))
-    return label
+    rooted = crowd.join(label.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("bucket")
+    offered = compared(rooted.join(mixed, "bucket", "left_semi"), bitmaps, False).distinct().join(first, ["a", "b"], "left_anti")
+    found = tk.written(verified(tk.written(offered, "pairs"), members).filter("similar").select("a", "b"), "verified")
+    return label if found.isEmpty() else components(links.union(found))
 
 
 def linked(docs: DataFrame, row=None) -> tuple[DataFrame, DataFrame]:
     """The documents (doc_id, row, n_shingles, set), and set, root of the sets that are similar to another one."""
     both = tk.written(counted(docs, row), "sets")
-    classes = frequency_classes(both.filter("part IS NOT NULL").select("part", "counts"))
-    return both.filter("part IS NULL").select("doc_id", "row", "n_shingles", "set"), set_links(docs, classes).withColumnRenamed("node", "set")
+    return both.drop("prefix"), set_links(docs, both).withColumnRenamed("node", "set")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

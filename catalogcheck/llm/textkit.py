@@ -86,17 +86,38 @@ def powers(n: int, mult: int) -> np.ndarray:
 
 
 _INVERSE = pow(_MULT, -1, 1 << 64)
+#: Longer spans are hashed in pieces of this many bytes, and then the pieces' hashes as a span of their own.
+_PIECE = 256
+_LOW_BYTES = np.array([(1 << 8 * i) - 1 for i in range(8)], np.uint64)
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span of bytes; equal byte strings have equal hashes wherever they stand.
 
-    Prefix sums of byte times power of an odd number modulo 2 ** 64, brought back to the span's start, with the
-    span's length mixed in.
+    Blocks of eight bytes go through the finaliser one after the other, so no sum of them decides.
     """
-    total = running_hash(data)
-    h = (total[end] - total[start]) * powers(len(data), _INVERSE)[start]
-    return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    size = end - start
+    h = mix(size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x2545F4914F6CDD1D))
+    far = np.flatnonzero(size > _PIECE)
+    at, left, active = start, size, np.arange(len(size))
+    if len(far):
+        pieces = -(-size[far] // _PIECE)
+        edges = np.concatenate([[0], np.cumsum(pieces)])
+        low = np.repeat(start[far], pieces) + (np.arange(edges[-1]) - np.repeat(edges[:-1], pieces)) * _PIECE
+        inner = span_hashes(data, low, np.minimum(low + _PIECE, np.repeat(end[far], pieces))).view(np.uint8)
+        h[far] = mix(h[far] ^ span_hashes(inner, edges[:-1] * 8, edges[1:] * 8))
+        active = np.flatnonzero(size <= _PIECE)
+        at, left = start[active], size[active]
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    blocks = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    while len(active := active[go := left > 0]):
+        at, left = at[go], left[go]
+        block = blocks[at]
+        short = left < 8
+        block[short] &= _LOW_BYTES[left[short]]
+        h[active] = mix(h[active] ^ block)
+        at, left = at + 8, left - 8
+    return h
 
 
 def running_hash(data: np.ndarray) -> np.ndarray:
@@ -110,7 +131,7 @@ def window_hashes(data: np.ndarray, width: int) -> np.ndarray:
     total = running_hash(data)
     h = total[width:] - total[:-width]
     h *= powers(len(data), _INVERSE)[: len(h)]
-    h += np.uint64(width) * np.uint64(0xD6E8FEB86659FD93)
+    h += np.full(1, width, np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     return mix(h)
 
 

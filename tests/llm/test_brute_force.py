@@ -100,11 +100,9 @@ def plain_components(texts):
 
 @pytest.mark.parametrize("frequent", [False, True])
 def test_ngram_join(spark, texts, monkeypatch, frequent):
-    if frequent:  # nearly every shingle is of a frequent class, buckets are cut, leaders are few
-        monkeypatch.setattr(ngram_join, "LEAST", (3, 12))
-        monkeypatch.setattr(ngram_join, "SHARE", (0.0, 0.0))
-        monkeypatch.setattr(ngram_join, "PARTS", 2)
-        monkeypatch.setattr(ngram_join, "LEADERS", 2)
+    if frequent:  # nearly every shared shingle is of a frequent class, buckets are dealt to many blocks
+        monkeypatch.setattr(ngram_join, "LEAST", (3, 5))
+        monkeypatch.setattr(ngram_join, "BLOCK", 2)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.op3_ngram_jaccard_join(spark, SMALL).collect()}
     assert got == plain_components(texts)
 
@@ -121,7 +119,15 @@ def test_similar_sets_share_a_combination():
             continue
         share = int(rng.integers(1, 4))
         kinds = [(1 + (x % np.uint64(share)) % np.uint64(3)).astype(np.uint8) for x in (a, b)]
-        x, y = (set(ngram_join.signatures(s, k)[0].tolist()) for s, k in zip((a, b), kinds, strict=True))
+        both = np.intersect1d(a, b)
+
+        def found(s, k, alone=0):
+            """The combinations that a partner of this similarity needs."""
+            return {x for x, level in zip(*map(np.ndarray.tolist, ngram_join.signatures(s, k, alone)), strict=True) if level <= len(s) + alone - len(both)}
+
+        assert found(a, kinds[0]) & found(b, kinds[1])
+        # shingles of one set alone come first; the others keep their order
+        x, y = (found(s[np.isin(s, both)], k[np.isin(s, both)], len(s) - len(both)) for s, k in zip((a, b), kinds, strict=True))
         assert x & y
 
 
