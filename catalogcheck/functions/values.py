@@ -68,7 +68,8 @@ def folded(v: Column) -> Column:
 
 
 def quantity(v: Column) -> Column:
-    """struct(dim, unit, scale, mag, half), all null unless the value is a number with a known unit."""
+    """struct(dim, unit, scale, mag, half), all null unless the value is a number with a known unit; ``mag`` alone is null
+    for a number too large to hold."""
     unit = F.regexp_extract(v, _QUANTITY, 5)
     fits = v.rlike(_QUANTITY) & unit.isin(list(UNITS))
     fraction = F.regexp_extract(v, _QUANTITY, 4)
@@ -85,7 +86,7 @@ def quantity(v: Column) -> Column:
         whole(lookup({u: d for u, (d, _) in UNITS.items()}, unit)).alias("dim"),
         whole(unit).alias("unit"),
         whole(scale).alias("scale"),
-        whole(sign * F.call_function("div", digits * one, tens)).alias("mag"),
+        whole(sign * F.call_function("div", F.try_multiply(digits, one), tens)).alias("mag"),
         whole(F.call_function("div", one, tens * 2)).alias("half"),
     )
 
@@ -111,7 +112,8 @@ def normalised(attr: Column, v: Column) -> Column:
     kind = lookup({k: t for k, (t, _) in ATTRIBUTES.items()}, attr)
     q, n, p = quantity(v), count_of(v), packaging(v)
     understood = F.when(kind == "quantity", q["mag"].isNotNull()).when(kind == "count", n.isNotNull()).when(kind == "packaging", p["qty"].isNotNull())
-    refusal = F.when(v.isNull(), "absent").when(~present(v), "empty").when(~F.coalesce(understood, F.lit(False)), "no_grammar_match")
+    too_large = (kind == "quantity") & q["dim"].isNotNull() & q["mag"].isNull()
+    refusal = F.when(v.isNull(), "absent").when(~present(v), "empty").when(too_large, "out_of_range").when(~F.coalesce(understood, F.lit(False)), "no_grammar_match")
     ok = refusal.isNull()
     return F.struct(
         F.when(ok, kind).alias("kind"),

@@ -22,7 +22,7 @@ MATERIALS = {
 
 
 def shared(spark, name: str) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/{name}-{uuid.uuid4().hex}"
+    return f"{T.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _rows(s, d):
@@ -147,7 +147,7 @@ def policy(s, d) -> DataFrame:
 
 def volatile_free(s, d) -> DataFrame:
     """A digest of the outcomes without their ids and clocks that doesn't depend on row order."""
-    o = S.all_outcomes(_cells(s, d)).select("attr", "check", "outcome", "value", "proposed")
+    o = S.all_outcomes(S.written_cells(s, d)).select("attr", "check", "outcome", "value", "proposed")
     return o.groupBy("check").agg(F.count("*").alias("n"), F.bit_xor(F.crc32(F.concat_ws("|", "attr", "outcome", "value", F.coalesce("proposed", F.lit(""))))).alias("digest"))
 
 

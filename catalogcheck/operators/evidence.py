@@ -115,10 +115,10 @@ def table_lookup(s, d) -> DataFrame:
 
 
 _W = "w AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), ' ')) AS word, generate_subscripts(string_split(coalesce(text, ''), ' '), 1) - 1 AS pos FROM documents)"
-_A = r"a AS (SELECT doc_id, pos AS anchor_pos FROM w WHERE lower(regexp_replace(word, '[.,]', '', 'g')) = 'from'), v AS (SELECT doc_id, pos, word FROM w WHERE regexp_matches(regexp_replace(word, '[.,]', '', 'g'), '^[a-z]{2}$')), f AS (SELECT v.doc_id, anchor_pos, pos, word, abs(pos - anchor_pos) AS distance FROM v JOIN a ON v.doc_id = a.doc_id AND abs(pos - anchor_pos) <= 8 AND pos <> anchor_pos AND floor(pos / 200) = floor(anchor_pos / 200))"
+_A = r"a AS (SELECT doc_id, pos AS anchor_pos FROM w WHERE lower(regexp_replace(word, '[.,]', '', 'g')) = 'from'), v AS (SELECT doc_id, pos, word FROM w WHERE regexp_matches(regexp_replace(word, '[.,]', '', 'g'), '^[a-z]{2}$')), f AS (SELECT v.doc_id, anchor_pos, pos, word, abs(pos - anchor_pos) AS distance FROM v JOIN (SELECT doc_id, anchor_pos, unnest(range(anchor_pos - 8, anchor_pos + 9)) AS at FROM a) b ON v.doc_id = b.doc_id AND v.pos = b.at WHERE pos <> anchor_pos AND floor(pos / 200) = floor(anchor_pos / 200))"
 _R = """c AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS token FROM benchmark),
 idf AS (SELECT token, round(ln(1 + (SELECT count(*) FROM benchmark) / count(*)), 6) AS idf FROM c GROUP BY 1),
-q AS (SELECT doc_id, token, idf FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(array_to_string(string_split(text, ' ')[1:30], ' ')), '[a-z0-9]+'))) AS token FROM documents) JOIN idf USING (token)),
+q AS (SELECT doc_id, token, idf FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS token FROM documents) JOIN idf USING (token)),
 sc AS (SELECT doc_id, item_id, round(sum(idf) / any_value(weight), 4) AS score FROM q JOIN c USING (token) JOIN (SELECT doc_id, sum(idf) AS weight FROM q GROUP BY 1) USING (doc_id) GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS place FROM sc)"""
 _CELLS = """cells AS (SELECT o_custkey AS doc_id, o_orderkey AS row, col, header, CASE WHEN col = 0 AND o_orderkey % 3 = 1 THEN NULL ELSE CASE col WHEN 0 THEN o_orderstatus WHEN 1 THEN o_orderpriority ELSE CAST(o_orderkey AS VARCHAR) END END AS text FROM orders, (VALUES (0, 'status'), (1, 'priority'), (2, 'key')) h(col, header)),
@@ -164,7 +164,7 @@ ORACLES = {
     "win_nearest_value": f"WITH {_W}, {_A} SELECT doc_id, anchor_pos, arg_min(word, (distance, pos)) AS value, count(DISTINCT word) AS candidates FROM f GROUP BY 1, 2",
     "audit_derive_window": f"WITH {_W}, {_A} SELECT doc_id, anchor_pos, CASE WHEN count(DISTINCT word) = 1 THEN min(word) END AS value, CASE WHEN count(DISTINCT word) > 1 THEN 'several_values' END AS declined FROM f GROUP BY 1, 2",
     "audit_raw_confidence": f"WITH {_W}, {_A} SELECT doc_id, anchor_pos, pos, round(0.3 / (1 + 0.25 * distance) / sqrt(count(*) OVER (PARTITION BY doc_id, anchor_pos)), 6) AS confidence FROM f",
-    "join_counter_evidence": f"WITH {_W}, {_A.replace('^[a-z]{2}$', '^(with|avec|mit|con)$').replace('<= 8', '<= 40')} SELECT doc_id, anchor_pos, pos, distance FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, anchor_pos ORDER BY distance, pos) <= 3",
+    "join_counter_evidence": f"WITH {_W}, {_A.replace('^[a-z]{2}$', '^(with|avec|mit|con)$').replace('range(anchor_pos - 8, anchor_pos + 9)', 'range(anchor_pos - 40, anchor_pos + 41)')} SELECT doc_id, anchor_pos, pos, distance FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, anchor_pos ORDER BY distance, pos) <= 3",
     "join_merged_cell": f"WITH {_CELLS} SELECT * FROM m",
     "join_table_cell": f"WITH {_CELLS} SELECT m.doc_id, k.text AS key, m.text, m.merged FROM m JOIN m k ON m.doc_id = k.doc_id AND m.row = k.row AND k.header = 'key' WHERE m.header = 'status'",
     "audit_class_retrieve": f"WITH {_R} SELECT doc_id, item_id, score FROM r WHERE place <= 5",
@@ -174,7 +174,7 @@ ORACLES = {
     "udf_embedding_retrieve": "WITH p AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 4) AS cosine FROM embeddings v JOIN embeddings q ON q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id) SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS place FROM p QUALIFY place <= 5",
     "src_code_hierarchy": "SELECT printf('%02d%02d', r_regionkey, n_nationkey) AS code, printf('%02d', r_regionkey) AS parent, n_name AS title FROM nation JOIN region ON n_regionkey = r_regionkey",
     "join_crosswalk_validate": "SELECT s_suppkey, CASE WHEN n_nationkey IS NULL THEN 'unknown_code' WHEN s_acctbal < 0 THEN 'one_sided' END AS problem FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey WHERE n_nationkey IS NULL OR s_acctbal < 0",
-    "join_split_leak": "SELECT source, count(*) AS leaks FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE doc_id % 5 = 0) GROUP BY 1",
+    "join_split_leak": "SELECT source, count(*) AS leaks FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY 1",
     "set_frozen_split": "SELECT count(*) AS held_out, CAST(sum(doc_id) AS BIGINT) AS mark FROM (SELECT doc_id FROM documents EXCEPT ALL SELECT doc_id FROM labels)",
     "set_run_diff": "WITH a AS (SELECT p_partkey, p_size FROM part), b AS (SELECT p_partkey, CAST(p_size + CASE WHEN p_partkey % 50 = 0 THEN 1 ELSE 0 END AS INT) AS p_size FROM part) SELECT *, 'first' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'second' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)",
 }

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..sources import tables as T
+from .numbering import numbered
 
 DECISIONS = ("accept", "keep", "escalate")
+#: Name space of event identifiers (fixed value).
 EVENT_SPACE = "2d9f6e01-4a5b-5c6d-8e7f-90a1b2c3d4e5"
 
 
@@ -60,8 +62,12 @@ def revisions(docs: DataFrame) -> DataFrame:
     """Per source, documents in arrival order; bytes seen before are no new revision, each new one supersedes the last."""
     hashed = docs.select("source", "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
     first = hashed.groupBy("source", "sha").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("fetches"))
-    w = Window.partitionBy("source").orderBy("doc_id")
-    return first.select("source", "doc_id", "sha", "fetches", F.lag("sha").over(w).alias("supersedes"), F.row_number().over(w).alias("revision"), F.lead("sha").over(w).isNull().alias("is_current"))
+    placed = T.written(numbered(first, ("source", "doc_id", "sha")), "revisions")
+    ends = placed.groupBy("source").agg(F.min("place").alias("low"), F.max("place").alias("high"))
+    before = placed.select((F.col("place") + 1).alias("place"), F.col("source").alias("of"), F.col("sha").alias("last"))
+    out = placed.join(ends, placed["source"].eqNullSafe(ends["source"])).drop(ends["source"]).join(before, "place", "left")
+    supersedes = F.when(F.col("source").eqNullSafe(F.col("of")), F.col("last"))
+    return out.select("source", "doc_id", "sha", "fetches", supersedes.alias("supersedes"), (F.col("place") - F.col("low") + 1).cast("int").alias("revision"), (F.col("place") == F.col("high")).alias("is_current"))
 
 
 def session_gaps(events: DataFrame, minutes: int = 30) -> DataFrame:
@@ -76,9 +82,9 @@ def session_gaps(events: DataFrame, minutes: int = 30) -> DataFrame:
 def reviewer_report(events: DataFrame) -> DataFrame:
     """Seconds per decision by kind: mean, median and the rule of exclusive quartiles by rank."""
     e = decisions(events).filter("seconds IS NOT NULL")
-    w = Window.partitionBy("kind").orderBy("seconds", "event_id")
-    e = e.withColumns({"k": F.row_number().over(w), "n": F.count("*").over(Window.partitionBy("kind"))})
-    e = e.filter("n >= 3")
+    e = numbered(e, ("kind", "seconds", "event_id"))
+    kinds = e.groupBy("kind").agg(F.min("place").alias("low"), F.count("*").alias("n"))  # a row for each of DECISIONS
+    e = e.join(F.broadcast(kinds), "kind").withColumn("k", F.col("place") - F.col("low") + 1).filter("n >= 3")
 
     def at(q: float):
         pos = (F.col("n") + 1) * q
@@ -180,9 +186,9 @@ ORACLES = {k: T.with_views(q) for k, q in {
     "agg_progress": f"{_QUEUE} SELECT count(kind) AS decided, count(*) AS total FROM q LEFT JOIN ({_LATEST}) l USING (sku, attr)",
     "join_reversal": f"WITH l AS ({_LATEST}) SELECT sku, attr, ts FROM l WHERE kind = 'accept' AND NOT EXISTS (SELECT 1 FROM fx_ledger b WHERE b.kind = 'batch' AND b.sku = l.sku AND b.attr = l.attr AND b.ts > l.ts)",
     "audit_adjudicate": f"{_QUEUE}, m AS ({_LATEST}) SELECT q.sku, q.attr, kind, n AS signatures, CASE WHEN q.attr = 'a0' AND n < 2 THEN 'refused_single_signature' ELSE 'recorded' END AS result FROM q JOIN m USING (sku, attr)",
-    "audit_history": "SELECT event_id, ts, kind, attr FROM fx_ledger WHERE sku = 'U7'",
+    "audit_history": "SELECT sku, event_id, ts, kind, attr FROM fx_ledger",
     "audit_claim_chains": "SELECT conv_id, count(*) AS claims, count_if(supersedes IS NULL) AS roots, (SELECT count(*) FROM (SELECT supersedes FROM fx_chain f WHERE f.conv_id = c.conv_id AND supersedes IS NOT NULL GROUP BY 1 HAVING count(*) > 1)) AS forks, (SELECT count(*) FROM fx_chain f WHERE f.conv_id = c.conv_id AND supersedes IS NOT NULL AND supersedes NOT IN (SELECT claim FROM fx_chain g WHERE g.conv_id = c.conv_id)) AS dangling, (SELECT count(*) FROM fx_chain f WHERE f.conv_id = c.conv_id AND claim NOT IN (SELECT supersedes FROM fx_chain g WHERE g.conv_id = c.conv_id AND supersedes IS NOT NULL)) AS heads FROM fx_chain c GROUP BY conv_id",
-    "audit_chain_depth": "WITH RECURSIVE fx AS (SELECT * FROM ({chain})), walk(conv_id, claim, depth) AS (SELECT conv_id, claim, 1 FROM fx WHERE supersedes IS NULL UNION ALL SELECT c.conv_id, c.claim, depth + 1 FROM fx c JOIN walk w ON c.conv_id = w.conv_id AND c.supersedes = w.claim WHERE depth < 64) SELECT conv_id, max(depth) AS depth, count(*) AS reached FROM walk GROUP BY 1".replace("{chain}", T.FX_CHAIN.replace("{conversations}", "conversations")),
+    "audit_chain_depth": "WITH RECURSIVE fx AS (SELECT * FROM ({chain})), walk(conv_id, claim, depth) AS (SELECT conv_id, claim, 1 FROM fx WHERE supersedes IS NULL UNION ALL SELECT c.conv_id, c.claim, depth + 1 FROM fx c JOIN walk w ON c.conv_id = w.conv_id AND c.supersedes = w.claim) SELECT conv_id, max(depth) AS depth, count(*) AS reached FROM walk GROUP BY 1".replace("{chain}", T.FX_CHAIN.replace("{conversations}", "conversations")),
     "win_revision_chain": f"{_REV} SELECT source, doc_id, sha, fetches, lag(sha) OVER w AS supersedes, row_number() OVER w AS revision, lead(sha) OVER w IS NULL AS is_current FROM h WINDOW w AS (PARTITION BY source ORDER BY doc_id)",
     "win_revision_integrity": "SELECT sha256(coalesce(text, '')) AS sha, count(DISTINCT source) AS sources, count(*) AS n FROM documents GROUP BY 1 HAVING count(DISTINCT source) > 1",
     "win_dup_sku_first": "SELECT mpn, arg_min(feed_row, (feed_row, feed_line)) AS feed_row, arg_min(feed_line, (feed_row, feed_line)) AS feed_line, count(*) - 1 AS repeats FROM cat_rows GROUP BY 1",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import tables as T
+from .numbering import numbered
 
 Z = 1.96
 
@@ -42,19 +43,10 @@ def f1(rows: DataFrame, hit: Column, by: list[str]) -> DataFrame:
 
 
 def ordered_prefix(rows: DataFrame) -> DataFrame:
-    """Rows with their place by confidence (descending, then id) and the running number of wrong ones.
-
-    The confidences are few (a fixed grid), so totals per confidence are accumulated first and rows are numbered
-    inside their confidence; no window holds all rows in one task.
-    """
+    """Rows with their place by confidence (descending, then id) and the running number of wrong ones."""
     wrong = (~F.coalesce("right", F.lit(False))).cast("long")
-    rows = rows.withColumn("bad", wrong)
-    per = rows.groupBy("confidence").agg(F.count("*").alias("n"), F.sum("bad").alias("e"))
-    w = Window.orderBy(F.desc("confidence"))
-    per = per.select("confidence", (F.sum("n").over(w) - F.col("n")).alias("n0"), (F.sum("e").over(w) - F.col("e")).alias("e0"))
-    inside = Window.partitionBy("confidence").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({"k": F.count("*").over(inside), "e": F.sum("bad").over(inside)})
-    return rows.join(per, "confidence").select("id", "confidence", "right", "flagged", "wrong", (F.col("n0") + F.col("k")).alias("place"), (F.col("e0") + F.col("e")).alias("errors"))
+    out = numbered(rows.withColumn("bad", wrong), ("confidence", "id"), ("confidence",), ("bad",))
+    return out.select("id", "confidence", "right", "flagged", "wrong", "place", F.col("sum_bad").alias("errors"))
 
 
 def _eval(s, d):

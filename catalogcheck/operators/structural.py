@@ -27,62 +27,91 @@ def sibling_groups(rows: DataFrame) -> DataFrame:
 
 
 def value_counts(cells: DataFrame) -> DataFrame:
-    return cells.filter(F.trim("value") != "").groupBy(*GROUP, "value").agg(F.count("*").alias("n"))
+    """How often each group states each value, blank cells among them; one row for each value leaves a task."""
+    return cells.filter("value IS NOT NULL AND manufacturer IS NOT NULL AND mpn IS NOT NULL").groupBy(*GROUP, "value").agg(F.count("*").alias("n"))
+
+
+def with_modal(counted: DataFrame) -> DataFrame:
+    """Every counted value beside its group's modal one (ties: shortest, then last), the modal count, the runner-up's and the
+    number of stated values: one exchange by group, over distinct values only."""
+    stated = F.trim("value") != ""
+    order = Window.partitionBy(*GROUP).orderBy(F.desc(stated), F.desc("n"), F.length("value"), F.desc("value"))
+    all_ = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    out = counted.withColumns({
+        "modal": F.first(F.when(stated, F.col("value"))).over(all_), "modal_n": F.first(F.when(stated, F.col("n"))).over(all_),
+        "runner_up": F.coalesce(F.nth_value(F.when(stated, F.col("n")), 2).over(all_), F.lit(0)), "n_values": F.count(F.when(stated, F.lit(1))).over(all_),
+    })
+    return out.filter("modal IS NOT NULL")
 
 
 def modal_values(cells: DataFrame) -> DataFrame:
-    """Per group: the modal raw value (ties: shortest, then last), its count, the runner-up's count, distinct values."""
-    best = F.struct("n", (-F.length("value")).alias("len"), F.col("value").alias("v"))
-    counted = value_counts(cells)
-    top = counted.groupBy(*GROUP).agg(F.max(best).alias("top"), F.count("*").alias("n_values"), F.get(F.sort_array(F.collect_list("n"), asc=False), 1).alias("second"))
-    return top.select(*GROUP, F.col("top.v").alias("modal"), F.col("top.n").alias("modal_n"), F.coalesce("second", F.lit(0)).alias("runner_up"), "n_values")
+    """Per group: the modal raw value, its count, the runner-up's count, distinct values."""
+    return with_modal(value_counts(cells)).filter("value = modal").select(*GROUP, "modal", "modal_n", "runner_up", "n_values")
 
 
-def judged_values(cells: DataFrame) -> DataFrame:
-    """Every stated value of a group against the modal one: relation, class, severity, refusal, whether the group ties."""
-    pairs = value_counts(cells).join(modal_values(cells), list(GROUP))
+def judged(counted: DataFrame) -> DataFrame:
+    """Every value of ``counted`` against its group's modal one: relation, class, severity, refusal, whether the group ties."""
+    pairs = with_modal(counted)
     a, b = V.normalised(F.col("attr"), F.col("value")), V.normalised(F.col("attr"), F.col("modal"))
     pairs = pairs.withColumns({"a": a, "b": b})
     pairs = pairs.withColumn("relation", V.relation(F.col("a"), F.col("b"), F.col("value"), F.col("modal")))
     pairs = pairs.withColumn("c", V.classified(F.col("relation"), F.coalesce("a.kind", "b.kind")))
-    real = F.max((F.col("c.raises") & (F.col("value") != F.col("modal"))).cast("int")).over(Window.partitionBy(*GROUP)) == 1
+    stated = F.trim("value") != ""
+    real = F.max((F.col("c.raises") & stated & (F.col("value") != F.col("modal"))).cast("int")).over(Window.partitionBy(*GROUP)) == 1
     tie = (F.col("n_values") > 1) & (F.col("modal_n") <= F.col("runner_up")) & real
     return pairs.select(*GROUP, "value", "n", "modal", "modal_n", "n_values", "relation", F.col("c.cls").alias("cls"), F.col("c.raises").alias("raises"), F.col("c.severity").alias("severity"), F.coalesce("a.refusal", "b.refusal").alias("refusal"), tie.alias("tie"))
 
 
-def structural_outcomes(cells: DataFrame) -> DataFrame:
-    """sku, attr, check, outcome, value, proposed, cls, severity, reason for every cell that a sibling speaks to."""
-    judged = judged_values(cells)
-    verdict = judged.select(
-        *GROUP, "value", "modal", "cls", "severity",
-        F.when(F.col("tie"), "sibling_equal_rank").when(F.col("n_values") == 1, "sibling_agreement").when(F.col("value") == F.col("modal"), None)
-        .when(F.col("cls") == "undetermined", "sibling_contradiction").when(F.col("raises"), "sibling_contradiction").otherwise("sibling_agreement").alias("check"),
-        F.when(F.col("tie"), "declined").when(F.col("n_values") == 1, "resolved").when(F.col("cls") == "undetermined", "declined").when(F.col("raises"), "finding").otherwise("resolved").alias("outcome"),
-        F.when(F.col("tie"), "equal_rank_source_conflict").when((F.col("n_values") > 1) & (F.col("cls") == "undetermined"), "value_outside_known_grammar").alias("reason"),
-    ).filter(F.col("check").isNotNull())
-    none = F.lit(None).cast("string")
-    stated = cells.join(verdict, [*GROUP, "value"]).select(
-        "sku", "attr", "check", "outcome", "value",
-        F.when(F.col("outcome") == "finding", F.col("modal")).alias("proposed"),
-        F.when(F.col("outcome") == "finding", F.col("cls")).alias("cls"),
-        F.when(F.col("outcome") == "finding", F.col("severity")).otherwise(9).alias("severity"),
-        "reason",
+def judged_values(cells: DataFrame) -> DataFrame:
+    """Every stated value of a group against the modal one."""
+    return judged(value_counts(cells)).filter(F.trim("value") != "")
+
+
+def verdicts(cells: DataFrame) -> DataFrame:
+    """GROUP, value, n, outcomes: what is said of every value that a group states, judged once however many cells have it."""
+    tie, n_values, undetermined = F.col("tie"), F.col("n_values"), F.col("cls") == "undetermined"
+    check = (
+        F.when(tie, "sibling_equal_rank").when(n_values == 1, "sibling_agreement").when(F.col("value") == F.col("modal"), None)
+        .when(undetermined | F.col("raises"), "sibling_contradiction").otherwise("sibling_agreement")
     )
-    blank = cells.filter(F.trim("value") == "").join(modal_values(cells), list(GROUP))
-    gaps = blank.select("sku", "attr", F.lit("fill_gap").alias("check"), F.lit("finding").alias("outcome"), "value", F.col("modal").alias("proposed"), F.lit("catalog_null_evidence_present").alias("cls"), F.lit(2).alias("severity"), none.alias("reason"))
-    return stated.unionByName(gaps)
+    outcome = F.when(tie, "declined").when(n_values == 1, "resolved").when(undetermined, "declined").when(F.col("raises"), "finding").otherwise("resolved")
+    reason = F.when(tie, "equal_rank_source_conflict").when((n_values > 1) & undetermined, "value_outside_known_grammar")
+    found = outcome == "finding"
+
+    def said(check, outcome, proposed=None, cls=None, severity=None, reason=None):
+        parts = {"check": check, "outcome": outcome, "proposed": proposed, "cls": cls, "severity": severity, "reason": reason}
+        return F.struct(*[(F.lit(None) if c is None else c).cast("int" if k == "severity" else "string").alias(k) for k, c in parts.items()])
+
+    stated = F.trim("value") != ""
+    sibling = F.when(stated & check.isNotNull(), said(check, outcome, F.when(found, F.col("modal")), F.when(found, F.col("cls")), F.when(found, F.col("severity")).otherwise(9), reason))
+    gap = F.when(~stated, said(F.lit("fill_gap"), F.lit("finding"), F.col("modal"), F.lit("catalog_null_evidence_present"), F.lit(2)))
+    declared, dim = declared_and_found()
+    odd = F.when((declared != "") & (dim != declared), said(F.lit("unit_dimension"), F.lit("finding"), None, F.lit("contradiction"), F.lit(1)))
+    return judged(value_counts(cells)).select(*GROUP, "value", "n", F.array_compact(F.array(sibling, gap, odd)).alias("outcomes")).filter(F.size("outcomes") > 0)
+
+
+def declared_and_found():
+    """The dimension that an attribute's header declares ('' for none) and that of the value."""
+    return V.lookup({k: d or "" for k, (_, d) in V.ATTRIBUTES.items()}, F.col("attr")), V.quantity(F.col("value"))["dim"]
 
 
 def wrong_dimension(cells: DataFrame) -> DataFrame:
     """Quantities whose unit has another dimension than the attribute's header declares."""
-    declared = V.lookup({k: d or "" for k, (_, d) in V.ATTRIBUTES.items()}, F.col("attr"))
-    q = V.quantity(F.col("value"))
-    return cells.withColumns({"declared": declared, "found": q["dim"]}).filter("declared <> '' AND found <> declared").select("sku", "attr", "value", "found", "declared")
+    declared, found = declared_and_found()
+    return cells.withColumns({"declared": declared, "found": found}).filter("declared <> '' AND found <> declared").select("sku", "attr", "value", "found", "declared")
 
 
 def all_outcomes(cells: DataFrame) -> DataFrame:
-    odd = wrong_dimension(cells).select("sku", "attr", F.lit("unit_dimension").alias("check"), F.lit("finding").alias("outcome"), "value", F.lit(None).cast("string").alias("proposed"), F.lit("contradiction").alias("cls"), F.lit(1).alias("severity"), F.lit(None).cast("string").alias("reason"))
-    return structural_outcomes(cells).unionByName(odd)
+    """sku, attr, check, outcome, value, proposed, cls, severity, reason for every cell that a check speaks to. ``cells`` is read
+    twice: to count its values and to name the cells that have them."""
+    told = cells.join(verdicts(cells).drop("n"), [*GROUP, "value"]).select("sku", "attr", "value", F.explode("outcomes").alias("o"))
+    return told.select("sku", "attr", "o.check", "o.outcome", "value", "o.proposed", "o.cls", "o.severity", "o.reason")
+
+
+def outcome_counts(cells: DataFrame) -> DataFrame:
+    """check, outcome, reason, n: from the counts of values, without a look at the cells again."""
+    told = verdicts(cells).select("n", F.explode("outcomes").alias("o"))
+    return told.groupBy("o.check", "o.outcome", "o.reason").agg(F.sum("n").alias("n"))
 
 
 # --- the same in SQL -------------------------------------------------------------------------------------------
@@ -102,12 +131,12 @@ parsed AS (
     CASE attr WHEN 'rated_current' THEN 'quantity' WHEN 'weight' THEN 'quantity' WHEN 'poles' THEN 'count' ELSE 'packaging' END AS k
   FROM (SELECT DISTINCT attr, value FROM {source} WHERE value IS NOT NULL)
 ), looked AS (
-  SELECT p.*, d.dim AS qdim, one, (CASE WHEN sg = '-' THEN -1 ELSE 1 END) * (TRY_CAST(ip || fp AS BIGINT) * one // CAST(pow(10, length(fp)) AS BIGINT)) AS qmag, one // (2 * CAST(pow(10, length(fp)) AS BIGINT)) AS qhalf,
+  SELECT p.*, d.dim AS qdim, one, (CASE WHEN sg = '-' THEN -1 ELSE 1 END) * (TRY_CAST(TRY_CAST(ip || fp AS BIGINT)::HUGEINT * one AS BIGINT) // CAST(pow(10, length(fp)) AS BIGINT)) AS qmag, one // (2 * CAST(pow(10, length(fp)) AS BIGINT)) AS qhalf,
     CASE WHEN regexp_matches(low, '^(box|pack|carton|bag|set)\s+of\s+([0-9]+)$') THEN regexp_extract(low, '^(box|pack|carton|bag|set)\s+of\s+([0-9]+)$', 1) WHEN regexp_matches(low, '^([0-9]+)\s*(pcs|pc|pieces|piece)$') OR low IN ('ea', 'each', 'pc', 'piece') THEN 'each' END AS box,
     CASE WHEN regexp_matches(low, '^(box|pack|carton|bag|set)\s+of\s+([0-9]+)$') THEN TRY_CAST(regexp_extract(low, '^(box|pack|carton|bag|set)\s+of\s+([0-9]+)$', 2) AS BIGINT) WHEN regexp_matches(low, '^([0-9]+)\s*(pcs|pc|pieces|piece)$') THEN TRY_CAST(regexp_extract(low, '^([0-9]+)', 1) AS BIGINT) WHEN low IN ('ea', 'each', 'pc', 'piece') THEN 1 END AS box_n
-  FROM parsed p LEFT JOIN units d ON p.u = d.unit AND p.ip <> ''
+  FROM parsed p LEFT JOIN units d ON p.u = d.unit AND p.ip <> '' AND length(p.fp) <= 9
 ), norm AS (
-  SELECT attr, value, CASE WHEN low IN ({_NULLISH}) THEN 'empty' WHEN k = 'quantity' AND qdim IS NULL OR k = 'count' AND cnt = '' OR k = 'packaging' AND box_n IS NULL THEN 'no_grammar_match' END AS refusal,
+  SELECT attr, value, CASE WHEN low IN ({_NULLISH}) THEN 'empty' WHEN k = 'quantity' AND qdim IS NOT NULL AND qmag IS NULL THEN 'out_of_range' WHEN k = 'quantity' AND qdim IS NULL OR k = 'count' AND TRY_CAST(nullif(cnt, '') AS BIGINT) IS NULL OR k = 'packaging' AND box_n IS NULL THEN 'no_grammar_match' END AS refusal,
     k AS kind, qdim AS dim, CASE WHEN k = 'quantity' THEN u END AS unit, CASE k WHEN 'quantity' THEN qmag WHEN 'count' THEN TRY_CAST(nullif(cnt, '') AS BIGINT) ELSE box_n END AS mag,
     CASE WHEN k = 'quantity' THEN qhalf ELSE 0 END AS half, box AS container
   FROM looked
@@ -150,8 +179,13 @@ def _cells(spark, sf):
     return T.view(spark, sf, "cat_cells")
 
 
+def written_cells(spark, sf):
+    """The cells, written once for queries that read them again."""
+    return T.written(_cells(spark, sf), "cells")
+
+
 def _outcomes(spark, sf, check, outcome=None):
-    out = all_outcomes(_cells(spark, sf)).filter(F.col("check") == check)
+    out = all_outcomes(written_cells(spark, sf)).filter(F.col("check") == check)
     return out if outcome is None else out.filter(F.col("outcome") == outcome)
 
 
@@ -163,9 +197,11 @@ def norm_job(spark, sf):
 
 def compare_pairs(spark, sf, swap=False):
     """Every pair of values stated for one part and attribute, compared."""
-    counted = value_counts(_cells(spark, sf))
-    a, b = counted.select(*GROUP, F.col("value").alias("va")), counted.select(*GROUP, F.col("value").alias("vb"))
-    pairs = a.join(b, list(GROUP)).filter("va < vb").select("attr", "va", "vb").distinct()
+    counted = value_counts(_cells(spark, sf)).filter(F.trim("value") != "")
+    # groups that state the same values become one before any pair is built
+    lists = counted.groupBy(*GROUP).agg(F.array_sort(F.collect_set("value")).alias("vs")).filter(F.size("vs") > 1).select("attr", "vs").distinct()
+    each = lists.select("attr", "vs", F.explode("vs").alias("va"))
+    pairs = each.select("attr", "va", F.explode(F.filter("vs", lambda x: x > F.col("va"))).alias("vb")).distinct()
     x, y = (F.col("vb"), F.col("va")) if swap else (F.col("va"), F.col("vb"))
     pairs = pairs.withColumns({"a": V.normalised(F.col("attr"), x), "b": V.normalised(F.col("attr"), y)})
     pairs = pairs.withColumn("relation", V.relation(F.col("a"), F.col("b"), x, y))
@@ -214,7 +250,7 @@ QUERIES = {
     "t0_fill_gap": lambda s, d: _outcomes(s, d, "fill_gap"),
     "t0_equal_rank": lambda s, d: _outcomes(s, d, "sibling_equal_rank"),
     "flt_unit_dimension": lambda s, d: wrong_dimension(_cells(s, d)),
-    "t0_structural_run": lambda s, d: all_outcomes(_cells(s, d)).groupBy("check", "outcome", "reason").agg(F.count("*").alias("n")),
+    "t0_structural_run": lambda s, d: outcome_counts(_cells(s, d)),
     "norm_job": norm_job,
     "norm_quantity": lambda s, d: norm_job(s, d).filter("kind = 'quantity'").select("value", "dim", "unit", "mag", "half"),
     "norm_packaging": lambda s, d: norm_job(s, d).filter("attr = 'packaging_uom'").select("value", "container", "mag", "refusal"),

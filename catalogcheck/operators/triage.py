@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import values as V
 from ..sources import tables as T
 from . import structural as S
+from .numbering import numbered
 
+#: Name spaces of identifiers (fixed values).
 REDLINE_SPACE = "b6c4e2a1-7f38-5d90-a1b2-c3d4e5f60718"
 SIGNATURE_SPACE = "7a1c3e5d-2b4f-5068-9a7b-1c2d3e4f5061"
 STATUSES = ("groundable", "document_named_not_supplied", "document_unreadable", "no_document_named")
@@ -57,11 +59,8 @@ def queue(found: DataFrame) -> DataFrame:
 
 
 def ranked(q: DataFrame) -> DataFrame:
-    """Ranks without a window over one partition: values are few, so their offsets are, ids are ranked within them."""
-    per_value = q.groupBy("expected").agg(F.count("*").alias("n"))
-    before = per_value.withColumn("before", F.sum("n").over(Window.orderBy(F.desc("expected"))) - F.col("n")).drop("n")  # one row per distinct value
-    inside = F.row_number().over(Window.partitionBy("expected").orderBy("redline_id", "sku", "check"))
-    return q.withColumn("inside", inside).join(before, "expected").withColumn("rank", F.col("before") + F.col("inside"))
+    """Ranks by expected value and id."""
+    return numbered(q, ("expected", "redline_id", "sku", "check"), ("expected",)).withColumnRenamed("place", "rank")
 
 
 def _cells(s, d):
@@ -73,7 +72,8 @@ def _inv(s, d):
 
 
 def _found(s, d):
-    return findings(_cells(s, d))
+    """The findings, written once: clusters and ranks read them again."""
+    return T.written(findings(S.written_cells(s, d)), "findings")
 
 
 def audit_run(s, d) -> DataFrame:
@@ -83,7 +83,7 @@ def audit_run(s, d) -> DataFrame:
 
 def agg_coverage(s, d):
     """Judged cells of all stated cells."""
-    o = S.all_outcomes(_cells(s, d)).filter("outcome <> 'declined'").select("sku", "attr").distinct()
+    o = S.all_outcomes(S.written_cells(s, d)).filter("outcome <> 'declined'").select("sku", "attr").distinct()
     a = o.agg(F.count("*").alias("judged"))
     b = _cells(s, d).filter("value IS NOT NULL").agg(F.count("*").alias("considered"))
     return a.crossJoin(b).select("judged", "considered", F.round(F.col("judged") / F.col("considered"), 6).alias("coverage"))  # one row each
@@ -91,7 +91,7 @@ def agg_coverage(s, d):
 
 def agg_run_manifest(s, d):
     rows = T.view(s, d, "cat_rows").agg(F.count("*").alias("records"), F.countDistinct("mpn").alias("parts"))
-    o = S.all_outcomes(_cells(s, d)).agg(*[F.count_if(F.col("outcome") == x).alias(x) for x in ("finding", "resolved", "declined")])
+    o = S.outcome_counts(_cells(s, d)).agg(*[F.coalesce(F.sum(F.when(F.col("outcome") == x, F.col("n"))), F.lit(0)).alias(x) for x in ("finding", "resolved", "declined")])
     g = _inv(s, d).agg(F.count_if(F.col("status") == "groundable").alias("groundable"))
     return rows.crossJoin(o).crossJoin(g)  # one row each
 
@@ -144,7 +144,7 @@ QUERIES = {
     "agg_groundable_counts": lambda s, d: status_counts(_inv(s, d)).select("status", "n"),
     "agg_groundable_fraction": lambda s, d: status_counts(_inv(s, d)).select("status", F.col("n").alias("num"), F.col("total").alias("den")),
     "agg_recovery_leads": lambda s, d: _inv(s, d).filter("status = 'document_named_not_supplied'").groupBy("doc").agg(F.count("*").alias("unlocks")),
-    "agg_declined_by_reason": lambda s, d: S.all_outcomes(_cells(s, d)).filter("outcome = 'declined'").select("reason").unionByName(_inv(s, d).filter("status <> 'groundable'").select(F.col("status").alias("reason"))).groupBy("reason").agg(F.count("*").alias("n")),
+    "agg_declined_by_reason": lambda s, d: S.all_outcomes(S.written_cells(s, d)).filter("outcome = 'declined'").select("reason").unionByName(_inv(s, d).filter("status <> 'groundable'").select(F.col("status").alias("reason"))).groupBy("reason").agg(F.count("*").alias("n")),
     "agg_coverage": agg_coverage,
     "agg_signature_clusters": lambda s, d: clusters(_found(s, d)),
     "srt_cluster_order": lambda s, d: clusters(_found(s, d)).select("fingerprint", "size", F.row_number().over(Window.orderBy(F.desc("size"), "fingerprint")).alias("place")),
@@ -160,7 +160,7 @@ QUERIES = {
     "prj_queue_sentence": prj_queue_sentence,
     "flt_safety_class": lambda s, d: _cells(s, d).filter(V.is_safety(F.col("attr"))).groupBy("attr").agg(F.count("*").alias("cells")),
     "flt_presence": lambda s, d: _cells(s, d).groupBy("attr", V.present(F.col("value")).alias("present")).agg(F.count("*").alias("cells")),
-    "set_verdict_cells_union": lambda s, d: S.all_outcomes(_cells(s, d)).select("sku", "attr").union(_inv(s, d).filter("status = 'groundable'").select("sku", F.lit("datasheet"))).distinct().groupBy("attr").agg(F.count("*").alias("cells")),
+    "set_verdict_cells_union": lambda s, d: S.all_outcomes(S.written_cells(s, d)).select("sku", "attr").union(_inv(s, d).filter("status = 'groundable'").select("sku", F.lit("datasheet"))).distinct().groupBy("attr").agg(F.count("*").alias("cells")),
     "join_audit_document": lambda s, d: _inv(s, d).filter("status IN ('groundable', 'document_unreadable')").select("sku", "doc"),
 }
 

@@ -97,15 +97,25 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table, or a view over tables, as a DataFrame."""
     if name in TABLES:
         return table(spark, sf_dir, name)
+    if name == "cat_cells":  # as CAT_CELLS says, in one pass over the rows
+        return view(spark, sf_dir, "cat_rows").unpivot(["sku", "mpn", "manufacturer"], ["rated_current", "poles", "packaging_uom", "weight"], "attr", "value")
     text = VIEWS[name]
     parts = {n: view(spark, sf_dir, n) for n in set(re.findall(r"\{(\w+)\}", text))}
     return spark.sql(text, **parts)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from the cluster's settings; a local run has one of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder or "/tmp/checkpoints"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame written as Parquet in the folder that driver and executors share, and read again: its lineage ends there."""
     spark = df.sparkSession
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 

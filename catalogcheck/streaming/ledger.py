@@ -17,7 +17,7 @@ from ..sources import tables as T
 
 
 def shared(spark: SparkSession, name: str) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/{name}-{uuid.uuid4().hex}"
+    return f"{T.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ sys.path.insert(0, str(ROOT))
 os.environ["PYTHONPATH"] = os.pathsep.join(x for x in (str(ROOT), os.environ.get("PYTHONPATH")) if x)
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
 
@@ -42,7 +43,7 @@ def plain(frame):
     frame = frame[sorted(frame.columns)]
 
     def show(x):
-        if x is None or x != x or str(x) in ("<NA>", "NaT"):
+        if pd.api.types.is_scalar(x) and pd.isna(x):
             return None
         if isinstance(x, float):
             return str(int(x)) if x == int(x) else repr(round(x, 9))
