@@ -45,9 +45,10 @@ from .graph import components
 
 SHINGLE, PERCENT = 5, 80
 #: Class k + 1 of a shingle begins at LEAST[k] open sets that hold it.
-LEAST = (64, 1024)
-#: Length bands (from, groups of each frequent class); a set of 1.25 times a band's end is in both bands.
-BANDS = tuple((8 * 2**i, 2**i) for i in range(24))
+LEAST = (128, 4096)
+#: Length bands (from, groups of each frequent class); a set of 1.25 times a band's end is in both bands. Groups are at most a
+#: quarter of the shingles, so that a set never runs out of combinations: n - groups - 2 * groups is more than it may miss.
+BANDS = tuple((8 * 2**i, 2 * 2**i) for i in range(24))
 #: Factor of the finer length bands that buckets are cut by.
 FINE = 1.1
 #: Sets of one side of a block.
@@ -131,6 +132,25 @@ def joined_tokens(column) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint64), np.repeat(np.arange(len(raw)), size)
 
 
+def different_prefixes(held: DataFrame) -> DataFrame:
+    """prefix of every different set of ``held`` (set, prefix), once.
+
+    Only sets that several tasks have sent need an exchange; a filter of their hashes tells nearly all others.
+    """
+    copied = held.groupBy("set").agg(F.count("*").alias("times")).filter("times > 1").select("set")
+    bits = held.sparkSession.sparkContext.broadcast(tk.membership_filter(copied))  # fixed size
+
+    def part(maybe_copied: bool):
+        def run(batches):
+            for batch in batches:
+                k = tk.may_hold(bits.value, batch.column(0).to_numpy().view(np.uint64))
+                yield batch.filter(pa.array(k if maybe_copied else ~k))
+
+        return held.mapInArrow(run, held.schema)
+
+    return part(False).union(part(True).dropDuplicates(["set"])).select("prefix")
+
+
 def open_sets(sets: DataFrame) -> DataFrame:
     """set: those with as many shared hashes in their prefix as a similar set would share (and perhaps some others)."""
 
@@ -138,8 +158,9 @@ def open_sets(sets: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(joined_tokens(batch.column(0))[0].view(np.int64))], ["token"])
 
-    held = sets.filter("prefix IS NOT NULL")
-    shared = tk.written(held.select("prefix").mapInArrow(tokens, "token long").groupBy("token").agg(F.count("*").alias("times")).filter("times > 1").select("token"), "shared")
+    held = sets.filter("prefix IS NOT NULL").select("set", "n_shingles", "prefix")
+    once = different_prefixes(held.select("set", "prefix"))
+    shared = tk.written(once.mapInArrow(tokens, "token long").groupBy("token").agg(F.count("*").alias("times")).filter("times > 1").select("token"), "shared")
     bits = held.sparkSession.sparkContext.broadcast(tk.membership_filter(shared))  # fixed size
 
     def maybe(batches):
@@ -152,7 +173,8 @@ def open_sets(sets: DataFrame) -> DataFrame:
             at = at[k]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(token[k].view(np.int64)), pa.array(least[at])], ["set", "token", "least"])
 
-    found = held.select("set", "n_shingles", "prefix").mapInArrow(maybe, "set long, token long, least int")
+    found = held.mapInArrow(maybe, "set long, token long, least int")
+    # a set that several tasks have sent is counted as often, which may only leave it open
     return found.join(shared, "token", "left_semi").groupBy("set").agg(F.count("*").alias("n"), F.max("least").alias("least")).filter("n >= least").select("set")
 
 
