@@ -17,7 +17,8 @@ they span (about 280 for 85 starts).
 
 Membership filters of fixed size keep most rows out of the shuffles; they only drop rows that can't matter.
 
-Defined results: a null text is empty; texts under 200 bytes lose nothing; overlapping strings count; rows that are
+Defined results: a null text is empty; texts under 200 bytes lose nothing; a very long text is worked on slice
+by slice; overlapping strings count; rows that are
 repeated whole (same id and text) are copies of each other; documents are told apart by a hash of id and text, so
 a null or repeated id is no trouble; an empty table gives no rows; other columns are not read.
 """
@@ -39,6 +40,10 @@ CHUNK_BYTES, STEP = 1 << 19, 1 << 19
 #: An anchor is dealt to SALTS tasks from this many occurrences on; at most MOST_HOT anchors can pass.
 HOT, MOST_HOT, SALTS = 20_000, 100_000, 32
 _PLACE_BITS = np.uint64(28)
+#: Bytes that are worked on at once, of however long a text.
+SLICE = 1 << 24
+#: Longs of 60 bits for the starts of a stretch, of which there are at most LENGTH - ANCHOR + 1.
+MASKS = -(-(LENGTH - ANCHOR + 1) // 60)
 
 
 def window_least(v: np.ndarray, width: int) -> np.ndarray:
@@ -58,6 +63,13 @@ def stretches(data: np.ndarray, offsets: np.ndarray):
     size = np.diff(offsets)
     if not (size >= LENGTH).any():
         return none
+    if len(data) > SLICE + LENGTH - 1:  # slice by slice, each with the bytes that its last strings need
+        parts = []
+        for low in range(0, len(data), SLICE):
+            edges = np.clip(offsets, low, min(len(data), low + SLICE + LENGTH - 1)) - low
+            row, start, count, first, key, whole = stretches(data[low : low + edges[-1]], edges)
+            parts.append((row, start + edges[row] + low - offsets[row], count, first + low, key, whole))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
     h = tk.window_hashes(data, ANCHOR)
     packed = h >> _PLACE_BITS << _PLACE_BITS
     packed |= np.arange(len(h), dtype=np.uint64)
@@ -238,14 +250,38 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     elsewhere = apart.join(met, "hash", "left_semi")
     # a string stands for all its equals of the chunk only if they were marked there; others stand for themselves
     both = marks.filter("kind = 0").unionByName(elsewhere).select("key", "whole", "low", "high")
+    # one row for each stretch, so that a copy of it meets one row however many of its strings are repeated
+    both = both.groupBy("key", "whole").agg(*[F.bit_or(starts_mask(w)).alias(f"mask{w}") for w in range(MASKS)])
     joined = found.join(both, ["key", "whole"])
-    run = F.struct((F.col("start") + F.col("low")).alias("a"), (F.col("start") + F.col("high") - 1 + LENGTH).alias("b"))
-    return joined.groupBy("rid").agg(F.collect_list(run).alias("runs"))
+    return joined.groupBy("rid").agg(F.collect_list(F.struct("start", *[f"mask{w}" for w in range(MASKS)])).alias("runs"))
+
+
+def starts_mask(w: int):
+    """Bits of the starts low..high-1 of a stretch that lie in its w-th sixty, as a long."""
+    low = F.least(F.greatest(F.col("low") - 60 * w, F.lit(0)), F.lit(60))
+    high = F.least(F.greatest(F.col("high") - 60 * w, F.lit(0)), F.lit(60))
+    return power_of_two(high) - power_of_two(low)
+
+
+def power_of_two(n):
+    return F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int"))
 
 
 def merged(runs: list) -> list[tuple[int, int]]:
+    """The byte runs that the repeated starts of a document's stretches cover, from (start, masks)."""
+    covered = []
+    for r in runs or ():
+        bits = sum(r[f"mask{w}"] << 60 * w for w in range(MASKS))
+        at = r["start"]
+        while bits:
+            skip = (bits & -bits).bit_length() - 1
+            bits >>= skip
+            many = (~bits & bits + 1).bit_length() - 1  # ones in a row
+            bits >>= many
+            covered.append((at + skip, at + skip + many - 1 + LENGTH))
+            at += skip + many
     out: list[list[int]] = []
-    for r in sorted((r["a"], r["b"]) for r in runs or ()):
+    for r in sorted(covered):
         if out and r[0] <= out[-1][1]:
             out[-1][1] = max(out[-1][1], r[1])
         else:

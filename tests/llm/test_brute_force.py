@@ -163,6 +163,7 @@ def test_suffix_dedup(spark, texts, monkeypatch, small_chunks):
     if small_chunks:  # anchors are dealt apart and chunks cut, so strings meet by their hash
         monkeypatch.setattr(repeats, "CHUNK_BYTES", 2000)
         monkeypatch.setattr(repeats, "HOT", 3)
+        monkeypatch.setattr(repeats, "SLICE", 701)  # texts are worked on slice by slice
     raw = {i: t.encode() for i, t in texts.items()}
     seen = collections.Counter(b[j : j + 200] for b in raw.values() for j in range(len(b) - 199))
     got = {r["doc_id"]: tuple(r)[1:] for r in repeats.op5_suffix_dedup(spark, SMALL).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()}
@@ -268,7 +269,6 @@ def test_packing(spark, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.tokenizer_path())
-    t.encode_special_tokens = True
     want = {}
     for i, text in texts.items():
         ids = [*t.encode(text, add_special_tokens=False).ids, 1]
