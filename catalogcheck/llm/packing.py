@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 
 CAPACITY, CLOSING_ID, TOKENIZER = 4096, 1, "word_bpe_49k.json"
-#: Words whose ids a worker remembers.
-REMEMBERED = 500_000
+#: Bytes of remembered words' ids that a worker keeps, with OVERHEAD for each word; words that go to the tokenizer at once.
+REMEMBERED, OVERHEAD, AT_ONCE = 48 << 20, 160, 4096
 #: Stands between words that are encoded together; a character of the private use area.
 BETWEEN = "\ue000"
 
@@ -77,6 +77,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[int, bytes] = {}
+        self.held = 0
         self.between = np.array(self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids, "<u4")
 
     def encode_words(self, words: list[str]) -> list[bytes]:
@@ -120,15 +121,18 @@ class WordEncoder:
             start, end, row = start[own], end[own], row[own]
         start, end, row = apart(data, start, end, row)
         kinds, first, which = np.unique(tk.span_hashes(data, start, end), return_index=True, return_inverse=True) if len(start) else (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 2)
-        if len(self.known) > REMEMBERED:
-            self.known = {}
+        if self.held > REMEMBERED:
+            self.known, self.held = {}, 0
         keys = kinds.tolist()
         fresh = [i for i, k in enumerate(keys) if k not in self.known]
         if fresh:
             raw = data.tobytes()
-            words = [raw[start[first[i]] : end[first[i]]].decode("utf-8", "replace") for i in fresh]
-            for i, ids in zip(fresh, self.encode_words(words), strict=True):
-                self.known[keys[i]] = ids
+            for low in range(0, len(fresh), AT_ONCE):
+                part = fresh[low : low + AT_ONCE]
+                words = [raw[start[first[i]] : end[first[i]]].decode("utf-8", "replace") for i in part]
+                for i, ids in zip(part, self.encode_words(words), strict=True):
+                    self.known[keys[i]] = ids
+                    self.held += len(ids) + OVERHEAD
         coded = [self.known[k] for k in keys]
         flat = np.frombuffer(b"".join(coded), "<u4")
         size = np.array([len(c) // 4 for c in coded], np.int64)
