@@ -2,10 +2,11 @@
 
 A text's compression ratio (compressed / raw UTF-8 bytes) says how repetitive it is. Short texts compress badly
 whatever they hold, so each length band has its own limits; fixed chunks find a repetitive or random stretch in
-a text whose whole ratio looks ordinary.
+a text whose whole ratio looks ordinary. A text of one chunk or less is its own chunk; under CHUNK_LEAST bytes its length
+band alone judges it.
 
-Defined results: a null or empty text has no words, ratio null and is not kept (fewer than 20 words); rows are
-judged one by one, so ties and repeated rows don't matter; other columns pass through unread, and an input
+Defined results: a null or empty text has no words, ratio null and is not kept (fewer than 20 words); a very long text is
+measured whole; rows are judged one by one, so ties and repeated rows don't matter; an empty table gives no rows; other columns pass through unread, and an input
 column named like a result column is replaced.
 """
 
@@ -106,12 +107,11 @@ def measure(column) -> list[pa.Array]:
     for i in np.flatnonzero(np.diff(offsets) > 0):
         text = raw[offsets[i] : offsets[i + 1]]
         ratio[i] = len(press.compress(text)) / len(text)
-        chunks = [text[j : j + CHUNK_BYTES] for j in range(0, len(text), CHUNK_BYTES)]
-        chunks = [c for c in chunks if len(c) >= CHUNK_LEAST]
-        if len(chunks) == 1 and len(chunks[0]) == len(text):
-            bad = [not CHUNK_BAND[0] <= ratio[i] <= CHUNK_BAND[1]]
-        else:
-            bad = [not CHUNK_BAND[0] <= len(press.compress(c)) / len(c) <= CHUNK_BAND[1] for c in chunks]
+        if len(text) <= CHUNK_BYTES:
+            bad = [not CHUNK_BAND[0] <= ratio[i] <= CHUNK_BAND[1]] if len(text) >= CHUNK_LEAST else []
+        else:  # the last chunk reaches back into the one before, so that every byte is in a whole chunk
+            starts = [*range(0, len(text) - CHUNK_BYTES, CHUNK_BYTES), len(text) - CHUNK_BYTES]
+            bad = [not CHUNK_BAND[0] <= len(press.compress(text[j : j + CHUNK_BYTES])) / CHUNK_BYTES <= CHUNK_BAND[1] for j in starts]
         share[i] = sum(bad) / len(bad) if bad else 0.0
         kept[i] = not failed[i] and verdict(len(text), ratio[i], share[i])
     counts = [pa.array(x.astype(np.int64)) for x in (n_words, word_chars, n_symbols, dup_lines, repeats)]
