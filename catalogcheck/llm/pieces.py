@@ -1,14 +1,14 @@
 """SentencePiece encoding and decoding by streaming Viterbi.
 
 The vocabulary file is a SentencePiece model with byte fallback. Its scores are merge ranks, so a piece of rank r gets
-the log-probability of Zipf's law, -log(r + 2.7) (single characters without a rank: that of the last); a byte piece costs ``BYTE_COST`` more than the rarest piece. The
+the log-probability of Zipf's law, -log(r + 2.7) (single characters and runs of spaces, which have no rank: that of the last); a byte piece costs ``BYTE_COST`` more than the rarest piece. The
 encoding is the segmentation of the largest sum (ties: the longer last piece), which is not the merge order of the
 model's own encoder. White space follows the model: a space is U+2581, one is put before a text that isn't empty.
 
 The Viterbi pass keeps the scores of as many positions as the longest piece has characters. Whenever the backpointer
 paths of all these positions meet in one boundary, the ids up to it are final and are handed on, so memory doesn't
-grow with the text. No piece holds U+2581 behind another character, so every path has a boundary before it: a text is
-fed stretch by stretch, and short stretches' ids are remembered.
+grow with the text. No piece holds U+2581 behind any other character, so every path has a boundary before each run of them: a
+text is fed stretch by stretch (a run of spaces and the word behind it), and short stretches' ids are remembered.
 
 Defined results: a null or empty text has no ids; U+2581 in a text and characters without a piece become byte pieces, so
 decoding gives every text back exactly; ties and repeated rows are encoded each; other columns are not read.
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 import zlib
 
 import numpy as np
@@ -32,6 +33,8 @@ SPACE, BYTE_COST, UNUSED = "▁", 10.0, -1e8
 #: A non-character that stands for U+2581 of the text itself until it becomes byte pieces.
 HELD = "\ufffe"
 REMEMBERED, SHORT = 1_000_000, 48
+#: A run of spaces and the word behind it.
+STRETCH = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 
 def model_path() -> str:
@@ -45,7 +48,7 @@ class Vocabulary:
 
     def __init__(self, pieces: list[tuple[str, float, str]]):
         """``pieces``: (text, score, kind) by id; kind is "piece", "byte" or "other"."""
-        usable = [(i, p, s) for i, (p, s, kind) in enumerate(pieces) if kind == "piece" and (s > UNUSED or len(p) == 1) and SPACE not in p[1:]]
+        usable = [(i, p, s) for i, (p, s, kind) in enumerate(pieces) if kind == "piece" and (s > UNUSED or len(p) == 1 or not p.strip(SPACE))]
         best, least = max((s for *_, s in usable), default=0.0), min((s for *_, s in usable if s > UNUSED), default=0.0)
         # whole numbers, so that sums and ties don't depend on where a text was cut
         self.score = {p: (i, round(-math.log(best - max(s, least) + 2.7) * 2**20), (i,)) for i, p, s in usable}
@@ -173,19 +176,19 @@ class Encoder(dict):
             return b""
         if HELD in text:
             return self._by_bytes(text)
-        return b"".join(map(self.__getitem__, [SPACE + p for p in text.replace(SPACE, HELD).split(" ")]))
+        words = text.replace(SPACE, HELD).split(" ")
+        if "" not in words:  # no run of spaces
+            return b"".join(map(self.__getitem__, [SPACE + p for p in words]))
+        return b"".join(map(self.__getitem__, STRETCH.findall(SPACE + SPACE.join(words))))
 
     def _by_bytes(self, text: str) -> bytes:
         """A text with the non-character U+FFFE: the stretches between are encoded as ever, it by its bytes."""
         raw = np.array([self.v.byte_id[b] for b in HELD.encode()], "<u4").tobytes()
         out = []
-        for word in text.split(" "):
-            pieces = word.split(HELD)
-            for j, p in enumerate(pieces):
-                shown = (SPACE if j == 0 else "") + p.replace(SPACE, HELD)
-                out.append(self[shown] if shown else b"")
-                if j + 1 < len(pieces):
-                    out.append(raw)
+        for i, part in enumerate((" " + text).split(HELD)):
+            shown = part.replace(SPACE, HELD).replace(" ", SPACE)
+            head = re.match(f"[^{SPACE}]*", shown).group()
+            out += [raw] * (i > 0) + [self[x] for x in (head, *STRETCH.findall(shown)) if x]
         return b"".join(out)
 
 
