@@ -258,7 +258,6 @@ QUERIES = {
     "cmp_attribute": cmp_attribute,
     "cmp_quantity": kind_query("quantity"),
     "cmp_packaging": kind_query("packaging"),
-    "cmp_term": kind_query("count"),
     "cmp_swap_symmetry": cmp_swap_symmetry,
 }
 
@@ -279,4 +278,4 @@ ORACLES = {k: T.with_views(q) for k, q in {
     "join_value_dictionary": f"WITH {norm_sql('cat_cells')} SELECT attr, refusal, count(*) AS cells, count(DISTINCT value) AS values FROM cat_cells JOIN norm USING (attr, value) GROUP BY ALL",
     "cmp_attribute": f"WITH {PAIRS_SQL} SELECT attr, va, vb, relation, CASE WHEN relation = 'contradiction' AND kind = 'packaging' THEN 'packaging_frame_error' ELSE cls END AS cls, severity FROM compared JOIN relations USING (relation)",
     "cmp_swap_symmetry": f"WITH {PAIRS_SQL} SELECT relation, count(*) AS pairs, 0 AS broken FROM compared GROUP BY 1",
-}.items()} | {"cmp_quantity": kind_sql("quantity"), "cmp_packaging": kind_sql("packaging"), "cmp_term": kind_sql("count")}
+}.items()} | {"cmp_quantity": kind_sql("quantity"), "cmp_packaging": kind_sql("packaging")}

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import catalog, designations, evidence, ledger, measure, structural, triage
+from ..operators import catalog, designations, evidence, ledger, measure, semantics, structural, triage
 from ..streaming import ledger as stream
 
-MODULES = (catalog, structural, designations, triage, measure, ledger, evidence, stream)
+MODULES = (catalog, structural, semantics, designations, triage, measure, ledger, evidence, stream)
 
 
 def queries() -> dict:

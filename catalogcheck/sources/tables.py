@@ -86,7 +86,40 @@ FX_CLASSES = """
 SELECT concat(p_type, '/', p_brand) AS class_id, p_type AS parent_id, count(*) AS skus FROM {part} GROUP BY p_type, p_brand
 """
 
-VIEWS = {"cat_rows": CAT_ROWS, "cat_cells": CAT_CELLS, "fx_docs": FX_DOCS, "fx_eval": FX_EVAL, "fx_ledger": FX_LEDGER, "fx_chain": FX_CHAIN, "fx_labels": FX_LABELS, "fx_classes": FX_CLASSES}
+#: Pairs of designations, ten families of them: what a catalog states and what a document states.
+FX_PAIRS = """
+SELECT id, f AS family, CASE f
+  WHEN 0 THEN concat(CAST(q AS STRING), '.5 mm ± 0.', CAST(m AS STRING))
+  WHEN 1 THEN concat(CAST(q AS STRING), '..', CAST(q + m AS STRING), ' mm')
+  WHEN 2 THEN concat(CAST(q * 10 AS STRING), '/', CAST(q * 10 + 170 AS STRING), ' V')
+  WHEN 3 THEN concat(CAST(1 + 2 * (m % 4) AS STRING), '/8 in')
+  WHEN 4 THEN concat(CAST(m AS STRING), ',5 A')
+  WHEN 5 THEN CASE h % 3 WHEN 0 THEN 'Yes' WHEN 1 THEN 'no' ELSE 'TRUE' END
+  WHEN 6 THEN CASE q % 7 WHEN 0 THEN 'A4' WHEN 1 THEN '1.4401' WHEN 2 THEN '316' WHEN 3 THEN 'Brass' WHEN 4 THEN '304' WHEN 5 THEN 'zinc plated' ELSE 'steel' END
+  WHEN 7 THEN CASE q % 5 WHEN 0 THEN 'Type C' WHEN 1 THEN 'C curve' WHEN 2 THEN 'b' WHEN 3 THEN 'DIN rail' ELSE 'Class F' END
+  WHEN 8 THEN CASE q % 4 WHEN 0 THEN 'stainless steel' WHEN 1 THEN 'metal' WHEN 2 THEN 'any curve' ELSE 'number' END
+  ELSE CASE h % 4 WHEN 0 THEN concat(CAST(q AS STRING), ' °C') WHEN 1 THEN concat(CAST(q AS STRING), ' kΩ') WHEN 2 THEN concat(CAST(q AS STRING), '"') ELSE concat(CAST(q AS STRING), ' bar') END END AS a,
+  CASE f
+  WHEN 0 THEN CASE h % 4 WHEN 0 THEN concat(CAST(q AS STRING), '.5 mm +/- 0.', CAST(m AS STRING), ' mm') WHEN 1 THEN concat(CAST(q AS STRING), '.5 mm') WHEN 2 THEN concat(CAST(q AS STRING), '.5 mm +0.', CAST(m AS STRING), '/-0.1') ELSE concat(CAST(q + 3 AS STRING), ' mm ±5%') END
+  WHEN 1 THEN CASE h % 6 WHEN 0 THEN concat(CAST(q AS STRING), '–', CAST(q + m AS STRING), ' mm') WHEN 1 THEN concat(CAST(q AS STRING), ' mm … ', CAST(q + m + 5 AS STRING), ' mm') WHEN 2 THEN concat(CAST(q + 50 AS STRING), '..', CAST(q + 60 AS STRING), ' mm')
+    WHEN 3 THEN concat(CAST(q + m AS STRING), '..', CAST(q AS STRING), ' mm') WHEN 4 THEN concat(CAST(q + 1 AS STRING), ' mm') ELSE concat(CAST(q AS STRING), ' mm .. ', CAST(q + m AS STRING), ' cm') END
+  WHEN 2 THEN CASE h % 5 WHEN 0 THEN concat(CAST(q * 10 + 170 AS STRING), '/', CAST(q * 10 AS STRING), ' V') WHEN 1 THEN concat(CAST(q * 10 AS STRING), ' V') WHEN 2 THEN concat(CAST(q * 10 AS STRING), '/', CAST(q * 10 + 170 AS STRING), '/', CAST(q * 10 + 400 AS STRING), ' V')
+    WHEN 3 THEN concat(CAST(q * 10 + 1000 AS STRING), ' V') ELSE concat(CAST(q * 10 AS STRING), '/', CAST(q * 10 + 900 AS STRING), ' V') END
+  WHEN 3 THEN CASE h % 4 WHEN 0 THEN concat(CAST(CAST(floor((1 + 2 * (m % 4)) * 3175 / 1000) AS INT) AS STRING), '.', lpad(CAST((1 + 2 * (m % 4)) * 3175 % 1000 AS STRING), 3, '0'), ' mm') WHEN 1 THEN concat('1 ', CAST(1 + 2 * (m % 4) AS STRING), '/8 in') WHEN 2 THEN '⅜ in' ELSE concat(CAST(q AS STRING), '/400 in') END
+  WHEN 4 THEN CASE h % 4 WHEN 0 THEN concat(CAST(m AS STRING), '.5 A') WHEN 1 THEN concat(CAST(m AS STRING), ',500 A') WHEN 2 THEN concat(CAST(m AS STRING), ',234.5 A') ELSE concat(CAST(m AS STRING), ',000,000 mA') END
+  WHEN 5 THEN CASE m % 4 WHEN 0 THEN 'true' WHEN 1 THEN 'N' WHEN 2 THEN 'ja' ELSE 'maybe' END
+  WHEN 6 THEN CASE m % 7 WHEN 0 THEN 'a4' WHEN 1 THEN '1.4401' WHEN 2 THEN 'CuZn39' WHEN 3 THEN 'brass' WHEN 4 THEN 'copper' WHEN 5 THEN 'galvanised' ELSE 'A2' END
+  WHEN 7 THEN CASE m % 5 WHEN 0 THEN 'type-c' WHEN 1 THEN 'B curve' WHEN 2 THEN 'class b' WHEN 3 THEN 'panel' ELSE 'c' END
+  WHEN 8 THEN CASE m % 6 WHEN 0 THEN 'A4' WHEN 1 THEN 'brass' WHEN 2 THEN 'C curve' WHEN 3 THEN 'stainless' WHEN 4 THEN '16 A' ELSE 'Class F' END
+  ELSE CASE h % 4 WHEN 0 THEN concat(CAST(CAST(floor((q * 18 + 320) / 10) AS INT) AS STRING), '.', CAST((q * 18 + 320) % 10 AS STRING), ' °F') WHEN 1 THEN concat(CAST(q * 1000 AS STRING), ' ohm') WHEN 2 THEN concat(CAST(CAST(floor(q * 254 / 10) AS INT) AS STRING), '.', CAST(q * 254 % 10 AS STRING), ' mm') ELSE concat(CAST(q * 100 AS STRING), ' kPa') END END AS b
+FROM (
+  SELECT concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING)) AS id, 1 + l_partkey % 40 AS q, 1 + l_suppkey % 9 AS m,
+    (31 * l_orderkey + 17 * l_linenumber + 7 * l_partkey) % 97 AS h, (l_orderkey + 3 * l_linenumber + l_partkey) % 10 AS f
+  FROM {lineitem}
+) AS x
+"""
+
+VIEWS = {"fx_pairs": FX_PAIRS, "cat_rows": CAT_ROWS, "cat_cells": CAT_CELLS, "fx_docs": FX_DOCS, "fx_eval": FX_EVAL, "fx_ledger": FX_LEDGER, "fx_chain": FX_CHAIN, "fx_labels": FX_LABELS, "fx_classes": FX_CLASSES}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
