@@ -151,13 +151,8 @@ def audit_adjudicate(s, d):
     return out.select("sku", "attr", "kind", "signatures", F.when(refused, "refused_single_signature").otherwise("recorded").alias("result"))
 
 
-def event_ids(s, d):
-    return _events(s, d).select(V.uuid5(EVENT_SPACE, F.concat_ws("|", "kind", "sku", "attr", F.col("event_id").cast("string"))).alias("id"), "event_id")
-
-
 QUERIES = {
     "src_ledger_read": lambda s, d: _events(s, d).groupBy("kind").agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last")),
-    "sink_ledger_append": event_ids,
     "agg_latest_decision": lambda s, d: latest_decision(_events(s, d)),
     "join_open_queue": join_open_queue,
     "join_queue_decisions": join_queue_decisions,

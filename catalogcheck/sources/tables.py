@@ -119,7 +119,16 @@ FROM (
 ) AS x
 """
 
-VIEWS = {"fx_pairs": FX_PAIRS, "cat_rows": CAT_ROWS, "cat_cells": CAT_CELLS, "fx_docs": FX_DOCS, "fx_eval": FX_EVAL, "fx_ledger": FX_LEDGER, "fx_chain": FX_CHAIN, "fx_labels": FX_LABELS, "fx_classes": FX_CLASSES}
+#: Tables of the documents that records name: a row for each part, headers with units; some cells are merged with the one above.
+FX_DOC_CELLS = """
+SELECT concat('d', CAST((p_partkey * 7) % 1200 AS STRING), '.txt') AS doc, p_partkey AS row_no, concat('P', CAST(p_partkey AS STRING)) AS key_cell, header,
+  CASE header WHEN 'Rated current [A]' THEN CAST(6 + (p_partkey % 10) * 4 + CASE WHEN p_partkey % 23 = 0 THEN 2 ELSE 0 END AS STRING)
+    WHEN 'No. of poles' THEN CASE WHEN p_partkey % 29 = 0 THEN NULL ELSE CAST(1 + p_partkey % 4 AS STRING) END
+    WHEN 'Net weight [g]' THEN CAST(125 * (1 + p_partkey % 15) AS STRING) ELSE p_name END AS cell
+FROM {part} CROSS JOIN (VALUES ('Rated current [A]'), ('No. of poles'), ('Net weight [g]'), ('Description')) AS h(header)
+"""
+
+VIEWS = {"fx_pairs": FX_PAIRS, "fx_doc_cells": FX_DOC_CELLS, "cat_rows": CAT_ROWS, "cat_cells": CAT_CELLS, "fx_docs": FX_DOCS, "fx_eval": FX_EVAL, "fx_ledger": FX_LEDGER, "fx_chain": FX_CHAIN, "fx_labels": FX_LABELS, "fx_classes": FX_CLASSES}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
