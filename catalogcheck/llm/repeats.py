@@ -7,8 +7,8 @@ they span (about 280 for 85 starts).
 
 1. Count anchors over all documents (pre-aggregated in the tasks). An anchor that occurs once has no repeated string.
 2. Write the stretches of repeated anchors (place and hashes, no bytes), and collapse equal stretches to one
-   representative with its number of copies.
-3. Gather the representatives' bytes by anchor. Each task lays them end to end in chunks of bounded size, sorts their
+   representative with its number of copies. An anchor with one representative is settled: it has copies or nothing.
+3. Gather the other representatives' bytes by anchor. Each task lays them end to end in chunks of bounded size, sorts their
    suffixes in two stages (``suffixes``) and compares neighbours: a common prefix of 200 bytes, or a stretch that
    has copies, makes a start repeated.
 4. An anchor with very many different stretches is dealt to several tasks, and a stretch list longer than a chunk is
@@ -123,11 +123,12 @@ def occurrences(docs: DataFrame, repeated) -> DataFrame:
     return with_row_id(docs).mapInArrow(run, "key long, whole long, rid long, start int, count smallint")
 
 
-def stretch_bytes(docs: DataFrame, repeated, chosen) -> DataFrame:
-    """key, whole, rid, start, count, bytes of the stretches that may be representatives."""
+def stretch_bytes(docs: DataFrame, repeated, chosen, holders) -> DataFrame:
+    """key, whole, rid, start, count, bytes of the stretches that may be representatives, from the documents that may hold any."""
 
     def run(batches):
         for batch in tk.steps(batches, size=STEP):
+            batch = batch.filter(pa.array(tk.may_hold(holders.value, batch.column(0).to_numpy().view(np.uint64))))
             data, offsets = tk.text_bytes(batch.column(1))
             row, start, count, first, key, whole = stretches(data, offsets)
             rid = batch.column(0).to_numpy()[row]
@@ -236,20 +237,25 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     repeated = spark.sparkContext.broadcast(tk.membership_filter(counts.select("key")))  # fixed size
     hot = [r["key"] for r in counts.filter(F.col("n") > max(HOT, total // MOST_HOT)).select("key").collect()]
     found = tk.written(occurrences(docs, repeated), "stretches")
-    classes = found.groupBy("key", "whole").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "start")).alias("at"))
-    classes = tk.written(classes.select("key", "whole", "copies", "at.rid", "at.start"), "classes")
+    classes = found.groupBy("key", "whole").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "start", "count")).alias("at"))
+    classes = tk.written(classes.select("key", "whole", "copies", "at.rid", "at.start", "at.count"), "classes")
+    # an anchor whose stretches are all equal needs no sorting: each of their strings has the copies' to match
+    lone = classes.groupBy("key").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("whole", "copies", "count")]).filter("n = 1")
+    settled = lone.filter("copies > 1").select("key", "whole", F.lit(0).alias("low"), F.col("count").cast("int").alias("high"))
+    rest = tk.written(classes.join(lone.select("key"), "key", "left_anti"), "classes")
 
     def places(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([longs(place_hash(batch.column(0).to_numpy(), batch.column(1).to_numpy()))], ["h"])
 
-    chosen = spark.sparkContext.broadcast(tk.membership_filter(classes.select("rid", "start").mapInArrow(places, "h long")))  # fixed size
-    marks = tk.written(sorted_marks(stretch_bytes(docs, repeated, chosen), classes, hot, partitions), "marks")
+    chosen = spark.sparkContext.broadcast(tk.membership_filter(rest.select("rid", "start").mapInArrow(places, "h long")))  # fixed size
+    holders = spark.sparkContext.broadcast(tk.membership_filter(rest.select("rid").distinct()))  # fixed size
+    marks = tk.written(sorted_marks(stretch_bytes(docs, repeated, chosen, holders), rest, hot, partitions), "marks")
     apart = marks.filter("kind = 1")
     met = apart.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
     elsewhere = apart.join(met, "hash", "left_semi")
     # a string stands for all its equals of the chunk only if they were marked there; others stand for themselves
-    both = marks.filter("kind = 0").unionByName(elsewhere).select("key", "whole", "low", "high")
+    both = marks.filter("kind = 0").unionByName(elsewhere).select("key", "whole", "low", "high").unionByName(settled)
     # one row for each stretch, so that a copy of it meets one row however many of its strings are repeated
     both = both.groupBy("key", "whole").agg(*[F.bit_or(starts_mask(w)).alias(f"mask{w}") for w in range(MASKS)])
     joined = found.join(both, ["key", "whole"])
