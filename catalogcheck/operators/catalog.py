@@ -148,7 +148,7 @@ def policy(s, d) -> DataFrame:
 def volatile_free(s, d) -> DataFrame:
     """A digest of the outcomes without their ids and clocks that doesn't depend on row order."""
     o = S.all_outcomes(S.written_cells(s, d)).select("attr", "check", "outcome", "value", "proposed")
-    return o.groupBy("check").agg(F.count("*").alias("n"), F.bit_xor(F.crc32(F.concat_ws("|", "attr", "outcome", "value", F.coalesce("proposed", F.lit(""))))).alias("digest"))
+    return o.groupBy("check").agg(F.count("*").alias("n"), F.sum(F.conv(F.substr(F.md5(F.concat_ws("|", "attr", "outcome", "value", F.coalesce("proposed", F.lit("")))), F.lit(1), F.lit(8)), 16, 10).cast("bigint")).alias("digest"))
 
 
 QUERIES = {
@@ -181,6 +181,10 @@ QUERIES = {
 }
 
 _PAIR = "p AS (SELECT p_partkey, a, b, expect FROM (SELECT p_partkey, p_size || ' A' AS a, CAST(p_size AS BIGINT) * 1000 || ' mA' AS b, 'agree' AS expect FROM part UNION ALL SELECT p_partkey, p_size || ' A', CAST(p_size AS BIGINT) * 10 || ' A', 'finding' FROM part UNION ALL SELECT p_partkey, p_size || ' A', p_size || ' kg', 'abstain' FROM part))"
+_SUITE = f"""{_PAIR}, strings AS (SELECT 'rated_current' AS attr, a AS value FROM p UNION ALL SELECT 'rated_current', b FROM p), {S.norm_sql("strings")},
+rel AS (SELECT p.*, {S.relation_sql("x", "y")} AS relation FROM p JOIN norm x ON x.value = p.a JOIN norm y ON y.value = p.b),
+got AS (SELECT *, CASE relation WHEN 'incomparable' THEN 'abstain' WHEN 'contradiction' THEN 'finding' ELSE 'agree' END AS got FROM rel),
+suite AS (SELECT expect, CASE WHEN got = expect THEN 'pass' WHEN got = 'abstain' THEN 'unexpected_abstention' WHEN expect = 'finding' THEN 'false_negative' WHEN got = 'finding' THEN 'false_positive' ELSE 'over_resolved' END AS outcome, count(*) AS n FROM got GROUP BY 1, 2)"""
 _URI = "u AS (SELECT attr, count(*) AS cells, CASE attr WHEN 'rated_current' THEN 'etim:EF000227' WHEN 'poles' THEN 'etim:EF000003' ELSE 'customer:' || attr END AS uri FROM cat_cells GROUP BY 1)"
 _FOLD = r"regexp_replace(lower(string_split(p_type, ' ')[-1]), '[\s\-_]+', '', 'g')"
 _MAT = ", ".join(f"('{k}', '{g}', '{f}')" for k, (g, f) in MATERIALS.items())
@@ -188,6 +192,7 @@ _MATERIAL = f"SELECT x.alias, parts, grp, family FROM (SELECT {_FOLD} AS alias,
 
 ORACLES = {k: T.with_views(q) for k, q in {
     "src_record_from_row": "SELECT sku, CAST((description IS NOT NULL)::INT + (rated_current IS NOT NULL)::INT + (poles IS NOT NULL)::INT + (packaging_uom IS NOT NULL)::INT + (weight IS NOT NULL)::INT AS INT) AS n_attributes, weight FROM cat_rows",
+    "prj_volatile_strip": f"""WITH {S.OUTCOMES_SQL} SELECT "check", count(*) AS n, CAST(sum(CAST('0x' || substr(md5(concat_ws('|', attr, outcome, value, coalesce(proposed, ''))), 1, 8) AS BIGINT)) AS BIGINT) AS digest FROM outcomes GROUP BY 1""",
     "src_catalog_delimited": "SELECT sku, mpn, rated_current, weight FROM cat_rows",
     "src_catalog_json": "SELECT sku, mpn, rated_current FROM cat_rows",
     "src_feed_spans": "WITH c AS (SELECT sku, length(sku) AS a, length(mpn) AS b, length(coalesce(weight, '')) AS w FROM cat_rows) SELECT sku, 0 AS cell, 1 AS start, 1 + a AS \"end\" FROM c UNION ALL SELECT sku, 1, 2 + a, 2 + a + b FROM c UNION ALL SELECT sku, 2, 3 + a + b, 3 + a + b + w FROM c",
@@ -207,9 +212,9 @@ ORACLES = {k: T.with_views(q) for k, q in {
     "join_alias_lookup": _MATERIAL,
     "norm_material": _MATERIAL,
     "join_quantity_in_range": f"WITH {S.norm_sql('cat_cells')}, q AS (SELECT mag, half, (6 + CAST(regexp_extract(mpn, '^P([0-9]+)', 1) AS BIGINT) % 10 * 4) * 1000000000 AS c FROM cat_cells JOIN norm USING (attr, value) WHERE attr = 'rated_current' AND dim = 'current') SELECT mag + half >= c * 9 / 10 AND mag - half <= c * 11 / 10 AS inside, count(*) AS n FROM q GROUP BY 1",
-    "agg_suite_outcomes": f"WITH {_PAIR} SELECT expect, 'pass' AS outcome, count(*) AS n FROM p GROUP BY 1",
-    "agg_suite_rates": f"WITH {_PAIR} SELECT count(*) AS pairs, count(*) AS passed, 0 AS false_positives FROM p",
-    "cmp_independent_quantity": f"WITH {_PAIR} SELECT CASE expect WHEN 'agree' THEN 'equal' WHEN 'finding' THEN 'different' ELSE 'cannot_judge' END AS verdict, count(*) AS n FROM p GROUP BY 1",
+    "agg_suite_outcomes": f"WITH {_SUITE} SELECT * FROM suite",
+    "agg_suite_rates": f"WITH {_SUITE} SELECT CAST(sum(n) AS BIGINT) AS pairs, CAST(coalesce(sum(n) FILTER (outcome = 'pass'), 0) AS BIGINT) AS passed, CAST(coalesce(sum(n) FILTER (outcome = 'false_positive'), 0) AS BIGINT) AS false_positives FROM suite",
+    "cmp_independent_quantity": f"WITH {_PAIR}, q AS (SELECT split_part(a, ' ', 1)::BIGINT * CASE split_part(a, ' ', 2) WHEN 'mA' THEN 1 WHEN 'A' THEN 1000 END AS x, split_part(b, ' ', 1)::BIGINT * CASE split_part(b, ' ', 2) WHEN 'mA' THEN 1 WHEN 'A' THEN 1000 END AS y FROM p) SELECT CASE WHEN x = y THEN 'equal' WHEN x <> y THEN 'different' ELSE 'cannot_judge' END AS verdict, count(*) AS n FROM q GROUP BY 1",
     "audit_resolve_policy": f"WITH {S.MODAL_SQL} SELECT attr, CASE WHEN n_values = 1 THEN 'single_claim' WHEN attr IN ('rated_current', 'packaging_uom') THEN 'safety_escalation' WHEN modal_n > runner_up THEN 'rank' ELSE 'abstain' END AS rule, count(*) AS n FROM modal GROUP BY 1, 2",
     "top_limit_records": "SELECT sku, mpn FROM cat_rows ORDER BY feed_row, feed_line LIMIT 100",
 }.items()}
