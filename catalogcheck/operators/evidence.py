@@ -6,6 +6,8 @@ joined alone.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from ..sources import tables as T
 
 WINDOW = 8
 PAGE = 200
+#: Queries and vectors that one task of the embedding search holds, about.
+BLOCK, SHARD = 512, 20_000
 
 
 def words(docs: DataFrame) -> DataFrame:
@@ -81,13 +85,36 @@ def resolve_class(s, d) -> DataFrame:
 
 
 def embedding_search(vectors: DataFrame, k: int = 5) -> DataFrame:
-    """Cosine neighbours of every vector whose id is divisible by 20, against all vectors; the query set is filed once
-    per block of rows, and each block keeps its own k before the last cut."""
-    unit = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
-    v = vectors.select("vec_id", "embedding", unit.alias("norm"))
-    q = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("norm").alias("qn"))
-    dot = F.aggregate(F.zip_with("embedding", "q", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda a, x: a + x)
-    pairs = v.crossJoin(q).filter("vec_id <> query_id").select("query_id", "vec_id", F.round(dot / (F.col("norm") * F.col("qn")), 4).alias("cosine"))  # a stated query set against all rows
+    """Cosine neighbours of every vector whose id is divisible by 20, against all vectors (ties: the lesser id).
+
+    The query set is dealt to blocks of about BLOCK and the vectors to shards of about SHARD; a task holds one block and one
+    shard and keeps each query's k best of it, so what is exchanged after that is k rows for each query and shard.
+    """
+    v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    q = v.filter("vec_id % 20 = 0")
+    sizes = v.agg(F.count("*").alias("rows"), F.count_if(F.col("vec_id") % 20 == 0).alias("queries")).first()
+    blocks, shards = -(-max(1, sizes["queries"]) // BLOCK), -(-max(1, sizes["rows"]) // SHARD)
+
+    def dealt(frame: DataFrame, own: str, own_count: int, other: str, other_count: int) -> DataFrame:
+        number = F.pmod(F.xxhash64("vec_id"), F.lit(own_count)).cast("int")
+        return frame.select("*", number.alias(own), F.explode(F.sequence(F.lit(0), F.lit(other_count - 1))).alias(other))
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"query_id": [], "vec_id": [], "cosine": []}).astype({"query_id": "int64", "vec_id": "int64"})
+        if not len(left) or not len(right):
+            return empty
+        x, y = (np.stack(f["embedding"].to_numpy()) for f in (left, right))
+        x, y = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (x, y))
+        cosine, ids = np.round(x @ y.T, 4), right["vec_id"].to_numpy()
+        out = []
+        for i, one in enumerate(left["vec_id"]):
+            row = np.where(ids == one, -np.inf, cosine[i])
+            first = np.lexsort((ids, -row))[:k]
+            out += [(one, ids[j], row[j]) for j in first if ids[j] != one]
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "cosine"]) if out else empty
+
+    left, right = dealt(q, "block", blocks, "shard", shards), dealt(v, "shard", shards, "block", blocks)
+    pairs = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInPandas(best, "query_id long, vec_id long, cosine double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id"))
     return pairs.withColumn("place", place).filter(F.col("place") <= k)
 
