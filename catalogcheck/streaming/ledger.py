@@ -90,12 +90,33 @@ def stream_reviewer_sessions(spark, sf_dir: str) -> DataFrame:
     return out.select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("sku"), F.col("w.start").alias("first"), "n")
 
 
+def stream_late_chain(spark, sf_dir: str) -> DataFrame:
+    """Chains of claims that arrive late or out of order: each batch is stored, and only the chains that it touches are
+    evaluated again, from all that is stored of them."""
+    path = f"{sf_dir}/conversations.parquet"
+    raw = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 8).parquet(f"{sf_dir}/conversations.parque[t]")
+    claims = spark.sql(T.FX_CHAIN, conversations=raw).select("conv_id", "claim", "supersedes")
+    store, out, log = (shared(spark, f"chain-{x}") for x in ("claims", "depths", "log"))
+
+    def evaluate(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{store}/batch={number}")  # a batch that is tried again replaces itself
+        own = spark.read.parquet(f"{store}/batch={number}").select("conv_id").distinct()
+        known = spark.read.option("basePath", store).parquet(store).filter(F.col("batch") <= number)
+        depths = L.chain_depths(known.join(own, "conv_id", "left_semi").select("conv_id", "claim", "supersedes"))
+        depths.groupBy("conv_id").agg(F.max("depth").alias("depth"), F.count("*").alias("reached")).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    claims.writeStream.foreachBatch(evaluate).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.option("basePath", out).parquet(out).groupBy("conv_id").agg(F.max_by(F.struct("depth", "reached"), "batch").alias("m"))
+    return last.select("conv_id", "m.depth", "m.reached")
+
+
 _LOW, _HIGH = M._wilson_sql("hits", "n")
 
-QUERIES = {"stream_ledger_ingest": stream_ledger_ingest, "stream_latest_decision": stream_latest_decision, "stream_drift_alarm": stream_drift_alarm, "stream_reviewer_sessions": stream_reviewer_sessions}
+QUERIES = {"stream_ledger_ingest": stream_ledger_ingest, "stream_latest_decision": stream_latest_decision, "stream_drift_alarm": stream_drift_alarm, "stream_reviewer_sessions": stream_reviewer_sessions, "stream_late_chain": stream_late_chain}
 ORACLES = {k: T.with_views(q) for k, q in {
     "stream_ledger_ingest": "SELECT kind, count(*) AS n, count(DISTINCT event_id) AS ids FROM fx_ledger GROUP BY 1",
     "stream_latest_decision": f"SELECT sku, attr, kind, event_id FROM ({L._LATEST})",
     "stream_drift_alarm": f"WITH b AS (SELECT date_trunc('day', ts)::TIMESTAMP AS day, CAST(floor(event_id % 100 / 100.0 * 5) AS INT) AS bin, count(*) AS n, count_if(event_type = 'purchase') AS hits FROM events GROUP BY 1, 2) SELECT *, {_LOW} AS low, {_HIGH} AS high FROM b",
     "stream_reviewer_sessions": "WITH e AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY sku ORDER BY ts, event_id)) < 1800000000 THEN 0 ELSE 1 END AS n0 FROM fx_ledger WHERE kind IN ('accept', 'keep', 'escalate')), f AS (SELECT *, sum(n0) OVER (PARTITION BY sku ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM e) SELECT sku, min(ts) AS first, count(*) AS n FROM f GROUP BY sku, session",
 }.items()}
+ORACLES["stream_late_chain"] = L.ORACLES["audit_chain_depth"]
