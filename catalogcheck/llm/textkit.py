@@ -274,11 +274,3 @@ def written_by_key(df, name: str, key: str):
     out = df.repartition(count, key).write.format("parquet").bucketBy(count, key).sortBy(key)
     out.option("path", new_folder(spark, name)).saveAsTable(table)
     return spark.table(table)
-
-
-def release(spark) -> None:
-    """Let Spark delete the shuffle files of finished steps now, which it does once their plans are collected."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
