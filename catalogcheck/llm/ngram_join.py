@@ -132,35 +132,39 @@ def joined_tokens(column) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint64), np.repeat(np.arange(len(raw)), size)
 
 
-def different_prefixes(held: DataFrame) -> DataFrame:
-    """prefix of every different set of ``held`` (set, prefix), once.
+def prefix_tokens(held: DataFrame) -> DataFrame:
+    """token: the prefix hashes of every different set of ``held`` (set, prefix).
 
-    Only sets that several tasks have sent need an exchange; a filter of their hashes tells nearly all others.
+    Only sets that several tasks have sent need an exchange to be counted once; a filter of their hashes tells nearly all others.
     """
     copied = held.groupBy("set").agg(F.count("*").alias("times")).filter("times > 1").select("set")
     bits = held.sparkSession.sparkContext.broadcast(tk.membership_filter(copied))  # fixed size
 
-    def part(maybe_copied: bool):
-        def run(batches):
-            for batch in batches:
-                k = tk.may_hold(bits.value, batch.column(0).to_numpy().view(np.uint64))
-                yield batch.filter(pa.array(k if maybe_copied else ~k))
-
-        return held.mapInArrow(run, held.schema)
-
-    return part(False).union(part(True).dropDuplicates(["set"])).select("prefix")
+    def tokens_of(column):
+        return pa.RecordBatch.from_arrays([pa.array(joined_tokens(column)[0].view(np.int64))], ["token"])
 
+    def single(batches):
+        for batch in batches:
+            k = tk.may_hold(bits.value, batch.column(0).to_numpy().view(np.uint64))
+            yield tokens_of(batch.filter(pa.array(~k)).column(1))
 
-def open_sets(sets: DataFrame) -> DataFrame:
-    """set: those with as many shared hashes in their prefix as a similar set would share (and perhaps some others)."""
+    def doubtful(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(tk.may_hold(bits.value, batch.column(0).to_numpy().view(np.uint64))))
 
     def tokens(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(joined_tokens(batch.column(0))[0].view(np.int64))], ["token"])
+            yield tokens_of(batch.column(1))
+
+    once = held.mapInArrow(doubtful, held.schema).dropDuplicates(["set"])
+    return held.mapInArrow(single, "token long").union(once.mapInArrow(tokens, "token long"))
+
 
+def open_sets(sets: DataFrame) -> DataFrame:
+    """set: those with as many shared hashes in their prefix as a similar set would share (and perhaps some others)."""
     held = sets.filter("prefix IS NOT NULL").select("set", "n_shingles", "prefix")
-    once = different_prefixes(held.select("set", "prefix"))
-    shared = tk.written(once.mapInArrow(tokens, "token long").groupBy("token").agg(F.count("*").alias("times")).filter("times > 1").select("token"), "shared")
+    counted_ = prefix_tokens(held.select("set", "prefix")).groupBy("token").agg(F.count("*").alias("times"))
+    shared = tk.written(counted_.filter("times > 1").select("token"), "shared")
     bits = held.sparkSession.sparkContext.broadcast(tk.membership_filter(shared))  # fixed size
 
     def maybe(batches):

@@ -244,11 +244,10 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     settled = lone.filter("copies > 1").select("key", "whole", F.lit(0).alias("low"), F.col("count").cast("int").alias("high"))
     rest = tk.written(classes.join(lone.select("key"), "key", "left_anti"), "classes")
 
-    def places(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([longs(place_hash(batch.column(0).to_numpy(), batch.column(1).to_numpy()))], ["h"])
+    def places(batch):
+        return place_hash(batch.column(0).to_numpy(), batch.column(1).to_numpy())
 
-    chosen = spark.sparkContext.broadcast(tk.membership_filter(rest.select("rid", "start").mapInArrow(places, "h long")))  # fixed size
+    chosen = spark.sparkContext.broadcast(tk.membership_filter(rest.select("rid", "start"), places))  # fixed size
     holders = spark.sparkContext.broadcast(tk.membership_filter(rest.select("rid").distinct()))  # fixed size
     marks = tk.written(sorted_marks(stretch_bytes(docs, repeated, chosen, holders), rest, hot, partitions), "marks")
     apart = marks.filter("kind = 1")

@@ -6,13 +6,15 @@ task works through its record batches a bounded number of bytes at a time.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Text bytes that one vectorised step handles; a longer single text is handled alone.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 
 _MULT = 0x9E3779B97F4A7C15 | 1
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -56,6 +58,14 @@ def steps(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = S
             high = max(low + 1, int(np.searchsorted(at, at[low] + size, "right")) - 1)
             yield batch.slice(low, high - low)
             low = high
+    trim()
+
+
+def trim() -> None:
+    """Gives the memory that a finished task's arrays have left to the system: workers serve many tasks, of many operators."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -227,8 +237,12 @@ def may_hold(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (on(a) & on(b)).astype(bool)
 
 
-def membership_filter(values) -> np.ndarray:
-    """A fixed-size bit filter of a DataFrame's single long column, built on the executors.
+def first_long(batch) -> np.ndarray:
+    return batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+
+
+def membership_filter(values, hashed=first_long) -> np.ndarray:
+    """A fixed-size bit filter of a DataFrame's rows, by default of its single long column, built on the executors.
 
     Tasks turn values into (word, bits); bit_or merges them, at most 2 ** (FILTER_BITS - 6) rows in all.
     """
@@ -236,7 +250,7 @@ def membership_filter(values) -> np.ndarray:
 
     def run(batches):
         for batch in batches:
-            h = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            h = hashed(batch)
             p = np.concatenate(filter_places(h))
             word, bit = p >> np.uint64(6), np.uint64(1) << (p & np.uint64(63))
             kinds, at = np.unique(word, return_inverse=True)
