@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import catalog, designations, evidence, judgement, ledger, measure, semantics, structural, triage
+from ..operators import catalog, designations, evidence, judgement, ledger, measure, opinions, semantics, structural, triage
 from ..streaming import ledger as stream
 
-MODULES = (catalog, structural, semantics, designations, triage, measure, ledger, evidence, judgement, stream)
+MODULES = (catalog, structural, semantics, designations, triage, measure, ledger, evidence, judgement, opinions, stream)
 
 
 def queries() -> dict:
