@@ -54,10 +54,7 @@ def judge(s, d) -> DataFrame:
     docs = T.view(s, d, "fx_docs").select("doc", (F.length(F.trim("layer")) > 0).alias("readable"))
     told = cells.join(docs, "doc", "left").join(_derived(s, d).select("doc", "key_cell", "attr", F.col("value").alias("proposed")), ["doc", "key_cell", "attr"], "left")
     told = T.written(told.select("sku", "attr", "value", "proposed", "doc", "readable"), "told")
-    pairs = told.filter("value IS NOT NULL AND proposed IS NOT NULL").select("attr", "value", "proposed").distinct()
-    pairs = pairs.withColumns({"a": V.normalised(F.col("attr"), F.col("value")), "b": V.normalised(F.col("attr"), F.col("proposed"))})
-    pairs = pairs.withColumn("relation", V.relation(F.col("a"), F.col("b"), F.col("value"), F.col("proposed")))
-    pairs = pairs.withColumn("c", V.classified(F.col("relation"), F.coalesce("a.kind", "b.kind"))).select("attr", "value", "proposed", "c")
+    pairs = S.compared_values(told.filter("value IS NOT NULL AND proposed IS NOT NULL"), "value", "proposed").select("attr", "value", "proposed", "c")
     out = told.join(pairs, ["attr", "value", "proposed"], "left")
     status = F.when(F.col("doc").isNull(), triage.STATUSES[3]).when(F.col("readable").isNull(), triage.STATUSES[1]).when(~F.col("readable"), triage.STATUSES[2])
     why = status.otherwise(F.when(F.col("proposed").isNull(), "no_evidence").when((F.trim("value") != "") & (F.col("c.cls") == "undetermined"), "value_outside_known_grammar"))

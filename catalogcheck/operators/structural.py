@@ -49,13 +49,24 @@ def modal_values(cells: DataFrame) -> DataFrame:
     return with_modal(value_counts(cells)).filter("value = modal").select(*GROUP, "modal", "modal_n", "runner_up", "n_values")
 
 
+def dictionary(values: DataFrame) -> DataFrame:
+    """attr, value, v: each different value normalised once; written, so that what compares values reads structs and no patterns."""
+    return T.written(values.select("attr", "value").distinct().withColumn("v", V.normalised(F.col("attr"), F.col("value"))), "dictionary")
+
+
+def compared_values(pairs: DataFrame, x: str, y: str) -> DataFrame:
+    """The different pairs (attr, x, y) with a, b (normalised), relation and c (class, raises, severity)."""
+    pairs = pairs.select("attr", x, y).distinct()
+    norm = dictionary(pairs.select("attr", F.col(x).alias("value")).union(pairs.select("attr", F.col(y).alias("value"))))
+    both = pairs.join(norm.toDF("attr", x, "a"), ["attr", x]).join(norm.toDF("attr", y, "b"), ["attr", y])
+    both = both.withColumn("relation", V.relation(F.col("a"), F.col("b"), F.col(x), F.col(y)))
+    return both.withColumn("c", V.classified(F.col("relation"), F.coalesce("a.kind", "b.kind")))
+
+
 def judged(counted: DataFrame) -> DataFrame:
     """Every value of ``counted`` against its group's modal one: relation, class, severity, refusal, whether the group ties."""
-    pairs = with_modal(counted)
-    a, b = V.normalised(F.col("attr"), F.col("value")), V.normalised(F.col("attr"), F.col("modal"))
-    pairs = pairs.withColumns({"a": a, "b": b})
-    pairs = pairs.withColumn("relation", V.relation(F.col("a"), F.col("b"), F.col("value"), F.col("modal")))
-    pairs = pairs.withColumn("c", V.classified(F.col("relation"), F.coalesce("a.kind", "b.kind")))
+    valued = T.written(with_modal(counted), "valued")
+    pairs = valued.join(compared_values(valued, "value", "modal"), ["attr", "value", "modal"])
     stated = F.trim("value") != ""
     real = F.max((F.col("c.raises") & stated & (F.col("value") != F.col("modal"))).cast("int")).over(Window.partitionBy(*GROUP)) == 1
     tie = (F.col("n_values") > 1) & (F.col("modal_n") <= F.col("runner_up")) & real
@@ -202,10 +213,8 @@ def compare_pairs(spark, sf, swap=False):
     lists = counted.groupBy(*GROUP).agg(F.array_sort(F.collect_set("value")).alias("vs")).filter(F.size("vs") > 1).select("attr", "vs").distinct()
     each = lists.select("attr", "vs", F.explode("vs").alias("va"))
     pairs = each.select("attr", "va", F.explode(F.filter("vs", lambda x: x > F.col("va"))).alias("vb")).distinct()
-    x, y = (F.col("vb"), F.col("va")) if swap else (F.col("va"), F.col("vb"))
-    pairs = pairs.withColumns({"a": V.normalised(F.col("attr"), x), "b": V.normalised(F.col("attr"), y)})
-    pairs = pairs.withColumn("relation", V.relation(F.col("a"), F.col("b"), x, y))
-    return pairs.withColumn("c", V.classified(F.col("relation"), F.coalesce("a.kind", "b.kind")))
+    x, y = ("vb", "va") if swap else ("va", "vb")
+    return compared_values(T.written(pairs, "value-pairs"), x, y)
 
 
 def cmp_attribute(spark, sf):
