@@ -330,10 +330,13 @@ def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document without its repeated bytes (a code point cut in two goes too); n_chars follows."""
+    """Pipeline stage: every document without its repeated bytes (a code point cut in two goes too); it reads doc_id and text, and
+    n_chars, where there is one, follows the text."""
     tk.bounded_arrow(spark)
     out = dedup(docs, [c for c in docs.columns if c != "text"], False)
-    shown = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast(docs.schema["n_chars"].dataType)}
+    shown = {"text": F.col("kept_text")}
+    if "n_chars" in docs.columns:
+        shown["n_chars"] = F.length("kept_text").cast(docs.schema["n_chars"].dataType)
     return out.select(*[shown.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 

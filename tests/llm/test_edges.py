@@ -105,6 +105,25 @@ def test_stages_keep_the_columns(spark):
         out.collect()
 
 
+def test_stages_without_a_length_column(spark):
+    docs = spark.createDataFrame(ROWS, SCHEMA).drop("n_chars")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, "unused").columns == docs.columns, name
+
+
+@pytest.mark.parametrize("rows", [ROWS, []])
+def test_run_on_odd_tables(spark, tmp_path, rows):
+    """Nulls, repeated and empty rows, extra columns, and no rows at all: the packed pieces of what is kept."""
+    prose = "Every lamp on the quiet street was lit before the rain began to fall upon the old stone bridge near our house tonight"
+    more = [(9, prose, "en", "s", len(prose), 0.1, None, 3), (None, prose.replace("lamp", "door").replace("rain", "snow").replace("old", "new"), "en", "s", 1, None, None, None)] if rows else []
+    spark.createDataFrame(rows + more, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in out} >= ({9, None} if rows else set()) and all(0 < r["length"] <= 4096 for r in out)
+    assert bool(out) == bool(rows)
+    last = packing.stage(spark, spark.createDataFrame(rows, SCHEMA), "unused").collect()
+    assert sorted(str(r["doc_id"]) for r in last if r["piece"] == 0) == sorted(str(r[0]) for r in rows)
+
+
 def test_pipeline_by_hand(spark):
     """run() against its stages' plain versions: kept documents, one of each group, cut and masked texts."""
     from test_brute_force import plain_components
