@@ -76,7 +76,9 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # two generations: words of the older one that come again move to the newer, the others go with it
         self.known: dict[int, bytes] = {}
+        self.older: dict[int, bytes] = {}
         self.held = 0
         self.between = np.array(self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids, "<u4")
 
@@ -121,10 +123,16 @@ class WordEncoder:
             start, end, row = start[own], end[own], row[own]
         start, end, row = apart(data, start, end, row)
         kinds, first, which = np.unique(tk.span_hashes(data, start, end), return_index=True, return_inverse=True) if len(start) else (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 2)
-        if self.held > REMEMBERED:
-            self.known, self.held = {}, 0
+        if self.held > REMEMBERED // 2:
+            self.known, self.older, self.held = {}, self.known, 0
         keys = kinds.tolist()
-        fresh = [i for i, k in enumerate(keys) if k not in self.known]
+        fresh = []
+        for i in [i for i, k in enumerate(keys) if k not in self.known]:
+            if (ids := self.older.get(keys[i])) is None:
+                fresh.append(i)
+            else:
+                self.known[keys[i]] = ids
+                self.held += len(ids) + OVERHEAD
         if fresh:
             raw = data.tobytes()
             for low in range(0, len(fresh), AT_ONCE):
@@ -153,13 +161,23 @@ class WordEncoder:
         return out, edges
 
 
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """The worker's encoder of this tokenizer, with the words of the tasks before."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
 def pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: every document's ids cut into pieces of CAPACITY."""
     path = path or tokenizer_path()
     source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
 
     def run(batches):
-        encoder = WordEncoder(path)
+        encoder = encoder_of(path)
         for batch in tk.steps(batches):
             ids, edges = encoder.ids(batch.column(1))
             count = np.maximum(1, -(-np.diff(edges) // CAPACITY))
