@@ -128,10 +128,10 @@ def independent_quantity(s, d) -> DataFrame:
 
 def in_range(s, d) -> DataFrame:
     """Sibling quantities within ten percent of the part's declared current: an interval predicate on whole numbers."""
-    q = V.quantity(F.col("value"))
-    cells = _cells(s, d).filter("attr = 'rated_current'").select("sku", "mpn", q.alias("q")).filter("q.dim = 'current'")
+    cells = T.written(_cells(s, d).filter("attr = 'rated_current' AND value IS NOT NULL"), "currents")
+    cells = cells.join(S.dictionary(cells), ["attr", "value"]).filter("v.dim = 'current'")
     centre = (6 + F.pmod(F.regexp_extract("mpn", "^P([0-9]+)", 1).cast("bigint"), F.lit(10)) * 4) * 10**9
-    inside = (F.col("q.mag") + F.col("q.half") >= centre * 9 / 10) & (F.col("q.mag") - F.col("q.half") <= centre * 11 / 10)
+    inside = (F.col("v.mag") + F.col("v.half") >= centre * 9 / 10) & (F.col("v.mag") - F.col("v.half") <= centre * 11 / 10)
     return cells.groupBy(inside.alias("inside")).agg(F.count("*").alias("n"))
 
 
