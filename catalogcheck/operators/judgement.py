@@ -94,7 +94,8 @@ def rerank(s, d) -> DataFrame:
     size = c.groupBy("item_id").agg(F.count("*").alias("size"))
     met = short.select("doc_id", "item_id").join(c, "item_id").join(E.tokens(queries, "doc_id"), ["doc_id", "token"]).groupBy("doc_id", "item_id").agg(F.count("*").alias("met"))
     out = short.join(met, ["doc_id", "item_id"]).join(size, "item_id")
-    full = F.round(0.6 * F.col("score") + 0.3 * F.col("met") / F.col("size") + 0.1 * (F.col("met") == F.col("size")).cast("int"), 4)
+    # in whole hundred-thousandths, so that ties don't hang on the last bit
+    full = 6 * F.round(F.col("score") * 10000).cast("bigint") + F.call_function("div", 30000 * F.col("met"), F.col("size")) + 10000 * (F.col("met") == F.col("size")).cast("int")
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("rank_score"), "item_id"))  # SHORTLIST rows at most
     return out.select("doc_id", "item_id", full.alias("rank_score")).withColumn("place", place).filter(F.col("place") <= KEPT)
 
@@ -231,7 +232,7 @@ stated AS (SELECT DISTINCT split_part(mpn, '-', 1) AS key_cell, attr FROM cat_ce
 fit AS (SELECT key_cell, class_id, count(*) AS wanted, count(d.attr) AS declared FROM stated s JOIN p USING (key_cell) LEFT JOIN declared d USING (class_id, attr) GROUP BY 1, 2)"""
 _RERANK = f"""{E._R}, tok AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS token FROM documents), size AS (SELECT item_id, count(*) AS size FROM c GROUP BY 1),
 met AS (SELECT r.doc_id, r.item_id, score, count(*) AS met FROM r JOIN c ON r.item_id = c.item_id JOIN tok ON tok.doc_id = r.doc_id AND tok.token = c.token WHERE place <= 50 GROUP BY 1, 2, 3),
-full_ AS (SELECT doc_id, item_id, round(0.6 * score + 0.3 * met / size + 0.1 * CAST(met = size AS INT), 4) AS rank_score FROM met JOIN size USING (item_id)),
+full_ AS (SELECT doc_id, item_id, 6 * CAST(round(score * 10000) AS BIGINT) + 30000 * met // size + 10000 * CAST(met = size AS INT) AS rank_score FROM met JOIN size USING (item_id)),
 best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rank_score DESC, item_id) AS place FROM full_)"""
 _COST = triage._MANIFEST + """, u AS (SELECT records, groundable, finding, unnest(['T0', 'T1', 'T3']) AS tier, unnest([(finding + resolved + declined) * 0.000001::DOUBLE, groundable * 3 * 0.00002::DOUBLE, finding * 0.01::DOUBLE]) AS cost FROM m)
 SELECT tier, round(cost, 6) AS cost, round(coalesce(cost / nullif(records, 0), 0), 9) AS per_record, round(coalesce(cost / nullif(groundable, 0), 0), 9) AS per_document, round(coalesce(cost / nullif(finding, 0), 0), 9) AS per_finding FROM u"""
