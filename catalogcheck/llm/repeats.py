@@ -200,7 +200,7 @@ def sorted_marks(stretch: DataFrame, classes: DataFrame, hot: list[int], partiti
     names = ["key", "whole", "low", "high", "hash", "kind"]
 
     def run(batches):
-        chunk, last, cut, head, taken = Chunk(), None, False, None, False
+        chunk, last, cut, head, taken, own = Chunk(), None, False, None, False, 0
 
         def flush():
             if chunk.rows:
@@ -217,11 +217,12 @@ def sorted_marks(stretch: DataFrame, classes: DataFrame, hot: list[int], partiti
                 if key != last:
                     if chunk.size >= CHUNK_BYTES:
                         yield from flush()
-                    last, cut = key, key in salted
-                elif chunk.size >= 2 * CHUNK_BYTES:  # one anchor alone is longer than a chunk
+                    last, cut, own = key, key in salted, 0
+                elif own >= 3 * CHUNK_BYTES:  # one anchor alone is longer than a chunk
                     chunk.rows = [(*r[:4], r[4] or r[0] == key) for r in chunk.rows]
                     yield from flush()
-                    cut = True
+                    cut, own = True, 0
+                own += len(data)
                 chunk.add(key, whole, head[4], data, cut)
         yield from flush()
 
