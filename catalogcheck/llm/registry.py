@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, ngram_join, packing, pieces, pii, ppm, quality, repeats, toxicity, urls, weighted, whitening
+from . import chat, ngram_join, packing, pieces, pii, ppm, quality, repeats, spelling, toxicity, urls, weighted, whitening
 
-MODULES = (quality, toxicity, ngram_join, weighted, repeats, pieces, pii, chat, packing, urls, ppm, whitening)
+MODULES = (quality, toxicity, ngram_join, weighted, repeats, pieces, pii, chat, packing, urls, spelling, ppm, whitening)
 
 
 def queries() -> dict:

@@ -7,7 +7,7 @@ driver holds only matrices of (dimension x subspace). Each round
 
 1. takes Ritz pairs of the subspace (Rayleigh-Ritz) and locks the leading ones whose residual is at rounding level,
 2. solves the correction equation (I - QQ')(V - theta I)(I - QQ') t = -r of every next target by a few steps of MINRES,
-   all targets in step, so that a step is one job; Q holds the locked vectors and the target itself,
+   all targets in step, so that a step is one job; Q holds the locked vectors and the Ritz vectors of all wanted pairs,
 3. adds the corrections, made orthogonal, to the subspace, which restarts from its best Ritz vectors when it is full,
 
 until ``COMPONENTS`` pairs (or as many as there are dimensions) are locked.
@@ -204,7 +204,8 @@ def eigenpairs(product, dim: int, wanted: int = COMPONENTS, block: int = BLOCK,
     wanted = min(wanted, dim)
     most, least = min(dim, wanted + 2 * block), min(dim, wanted + block // 2)
     locked, locked_product, values = np.zeros((dim, 0)), np.zeros((dim, 0)), []
-    basis = orthogonal(np.random.default_rng(seed).standard_normal((dim, min(block, dim))))
+    # as many random columns as pairs are wanted, so that an eigenvalue may fill all of them
+    basis = orthogonal(np.random.default_rng(seed).standard_normal((dim, wanted)))
     image = product(basis)
     scale = 0.0
     for _ in range(ROUNDS):
@@ -233,11 +234,11 @@ def eigenpairs(product, dim: int, wanted: int = COMPONENTS, block: int = BLOCK,
         open_ = np.flatnonzero(size[: wanted - len(values)] > max(32, dim) * EPS * scale)[:block]
         fresh = np.zeros((dim, 0))
         if len(open_):
-            target, shift, r = basis[:, open_], theta[open_], residual[:, open_]
+            # all wanted Ritz vectors are projected out, not one's own alone: near copies of an eigenvalue make the equation singular
+            shift, r, known = theta[open_], residual[:, open_], np.hstack([locked, basis[:, : wanted - len(values)]])
 
-            def project(t, target=target, locked=locked):
-                t = t - locked @ (locked.T @ t)
-                return t - target * np.einsum("ij,ij->j", target, t)
+            def project(t, known=known):
+                return t - known @ (known.T @ t)
 
             def apply(t, project=project, shift=shift):
                 t = project(t)
