@@ -205,8 +205,13 @@ def search(index: Index, asked: np.ndarray, size: np.ndarray, exact: np.ndarray,
                 ahead = more(ahead, new)
             else:
                 wrong = more(wrong, new)
-        # after the error: to the end of the question, then its delimiter
+        # after the error: to the end of the question, then its delimiter; errors at several places can lead to one range
         wq, wl, wh = wrong
+        if len(wq) > 4 * n:
+            order = np.lexsort((wh, wl, wq))
+            wq, wl, wh = wq[order], wl[order], wh[order]
+            one = np.append(True, (np.diff(wq) != 0) | (np.diff(wl) != 0) | (np.diff(wh) != 0))
+            wq, wl, wh = wq[one], wl[one], wh[one]
         over = size[wq] == j
         l, h = index.step(np.zeros(int(over.sum()), np.int64), wl[over], wh[over])
         found_q.append(wq[over][h > l])

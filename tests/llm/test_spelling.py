@@ -83,7 +83,7 @@ def test_chains_of_forms(spark):
 def test_odd_texts(spark):
     rows = [
         (1, None), (2, ""), (3, "1234 ... \n"), (None, "Apparent APPARENT apparent"), (4, "apparent apparant apparant"), (4, "apparent apparant apparant"),
-        (5, "cafÉtérias cafÉtérias ×÷×÷×÷× ×÷×÷×÷×"), (6, "x" * 100_000 + " " + "x" * 100_000 + " " + "x" * 99_999 + " " + "x" * 99_999),
+        (5, "cafÉtérias cafÉtérias ×÷×÷×÷× ×÷×÷×÷×"), (6, "x" * 3000 + " " + "x" * 3000 + " " + "x" * 2999 + " " + "x" * 2999),
         (7, "náivety中longer longerone longerone"), (8, "abcdefg abcdefg abcdefgh abcdefgh abcdef abcdef bcdefg")]
     check(spark, rows)
     assert spelling.variants(spark.createDataFrame([], "doc_id long, text string")).collect() == []
