@@ -25,13 +25,15 @@ Defined results: null and empty texts, and texts of white space alone, are one e
 training rows (crc32 of no text is 0), and repeated rows and ids are rows of their own; without training rows every
 symbol has 1 / ``ALPHABET`` and the base is log10(1/1) a token; an empty table gives no rows; a very long text
 is a block of its own and is scored whole; columns other than doc_id and text are not read. Words of the base
-score are told apart by 64-bit hashes.
+score are told apart by 64-bit hashes. Log probabilities travel as 32-bit floats and are summed as doubles: a score's relative
+error is below 1e-7.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,8 +140,23 @@ class Lookup:
         return self.values[at]
 
 
-def row_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(values, first)
+def packed(values: np.ndarray) -> bytes:
+    """The bytes of numbers, all first bytes, then all second ones and so on, compressed."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    return packed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data, np.uint64), dtype=np.uint64)
 
 
 _BLOCKS = "block long, shard int, ids array<long>, training array<boolean>, data binary, counts binary"
@@ -171,7 +188,7 @@ def text_blocks(docs: DataFrame, shards: int) -> DataFrame:
                 edges = np.searchsorted(of[order], np.arange(shards + 1))
                 for s in np.flatnonzero(np.diff(edges)):
                     part = order[edges[s] : edges[s + 1]]
-                    yield _row(block, base + s, None, None, keys[part].tobytes(), counts[part].tobytes())
+                    yield _row(block, base + s, None, None, packed_keys(keys[part]), packed(counts[part]))
 
         for step in tk.steps(batches, size=STEP):
             stream, bounds, word, row = streams(step.column(1))
@@ -179,7 +196,7 @@ def text_blocks(docs: DataFrame, shards: int) -> DataFrame:
             g, first = strings(stream, bounds)
             grams.count(g, np.repeat(training, np.diff(np.append(first, len(g)))))
             words.count(word, training[row])
-            yield _row(block, None, step.column(0).to_pylist(), training.tolist(), stream.tobytes(), None)
+            yield _row(block, None, step.column(0).to_pylist(), training.tolist(), zstandard.ZstdCompressor(level=3).compress(stream.tobytes()), None)
             size += len(stream)
             if size >= BLOCK_BYTES:
                 yield from lists()
@@ -209,7 +226,7 @@ def counted(blocks: DataFrame) -> DataFrame:
                     if at is not None:
                         yield from out()
                     at, tally = shard, Tally()
-                tally.add(np.frombuffer(data, np.uint64), np.frombuffer(counts, np.int64))
+                tally.add(unpacked_keys(data), unpacked(counts, np.int64))
         if at is not None:
             yield from out()
         tk.trim()
@@ -249,8 +266,9 @@ def probabilities(grams: DataFrame, order: int = ORDER, alphabet: int = ALPHABET
     return done.select("key", "p")
 
 
-def answered(blocks: DataFrame, values: DataFrame) -> DataFrame:
-    """block, shard, data, counts: every list again, with its keys' values (doubles) in place of its counts."""
+def answered(blocks: DataFrame, values: DataFrame, shards: int) -> DataFrame:
+    """block, shard, data, counts: every list again, with its keys' values in place of its counts: 32-bit log probabilities
+    of strings, counts of words as doubles."""
     lists = blocks.where("shard IS NOT NULL").select("shard", "block", "data")
     known = values.select("shard", F.lit(None).cast("long").alias("block"), F.lit(None).cast("binary").alias("data"), "key", "value")
     both = lists.withColumns({"key": F.lit(None).cast("long"), "value": F.lit(None).cast("double")}).unionByName(known)
@@ -274,8 +292,8 @@ def answered(blocks: DataFrame, values: DataFrame) -> DataFrame:
                     order = np.argsort(k)
                     table, keys, numbers = Lookup(k[order], v[order]), [], []
                 data = batch.column(2)[low].as_py()
-                found = table(np.frombuffer(data, np.uint64))
-                yield _row(batch.column(1)[low].as_py(), int(at), None, None, data, found.tobytes())
+                found = table(unpacked_keys(data)).astype(np.float32 if at < shards else np.float64)
+                yield _row(batch.column(1)[low].as_py(), int(at), None, None, data, packed(found))
         tk.trim()
 
     return dealt.mapInArrow(run, _BLOCKS)
@@ -296,7 +314,7 @@ def scores(docs: DataFrame) -> DataFrame:
     total, kinds = (total or 0) + ends, kinds + (ends > 0)
     logs = probabilities(grams).select(F.pmod("key", F.lit(shards)).cast("int").alias("shard"), "key", F.log10("p").alias("value"))
     values = logs.unionByName(words.select("shard", "key", F.col("n").cast("double").alias("value")))
-    both = blocks.where("shard IS NULL").unionByName(answered(blocks, values))
+    both = blocks.where("shard IS NULL").unionByName(answered(blocks, values, shards))
     dealt = both.repartition("block").sortWithinPartitions("block", F.col("shard").asc_nulls_last())
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
@@ -314,16 +332,16 @@ def scores(docs: DataFrame) -> DataFrame:
                     at, held, tables = row["block"], ([], [], [], []), None
                 if row["shard"] is not None:
                     base = 2 * (row["shard"] >= shards)
-                    held[base].append(np.frombuffer(row["data"], np.uint64))
-                    held[base + 1].append(np.frombuffer(row["counts"], np.float64))
+                    held[base].append(unpacked_keys(row["data"]))
+                    held[base + 1].append(unpacked(row["counts"], np.float64 if base else np.float32))
                     continue
                 if tables is None:
                     tables, held = (table(*held[:2]), table(*held[2:])), ([], [], [], [])
-                stream = np.frombuffer(row["data"], np.uint8)
+                stream = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["data"]), np.uint8)
                 # a stream ends with its only end byte and begins with zeros
                 bounds = np.append(0, np.flatnonzero(stream == END) + 1)
                 g, first = strings(stream, bounds)
-                score = row_sums(tables[0](g), first)
+                score = np.add.reduceat(tables[0](g).astype(np.float64), first)
                 at_word = bounds[:-1] + ORDER
                 solid = (stream != 32) & (stream != END)
                 for i in range(ORDER):

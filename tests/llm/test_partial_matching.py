@@ -76,7 +76,7 @@ def check(spark, rows, parts=3):
     assert len(got) == len(want)
     for g, w in zip(sorted(got, key=lambda r: (repr(r[:5]), r[6])), sorted(want, key=lambda r: (repr(r[:5]), r[6])), strict=True):
         assert g[:5] == w[:5]
-        assert g[5:] == pytest.approx(w[5:], rel=1e-9, abs=1e-9)
+        assert g[5:] == pytest.approx(w[5:], rel=1e-7, abs=1e-9)
     return got
 
 
