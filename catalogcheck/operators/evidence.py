@@ -162,7 +162,6 @@ def _window(s, d):
 
 QUERIES = {
     "win_word_offsets": lambda s, d: word_offsets(T.table(s, d, "documents")).groupBy("doc_id").agg(F.count("*").alias("words"), F.max("end").alias("last_end"), F.sum("start").cast("long").alias("starts")),
-    "join_words_in_box": lambda s, d: _words(s, d).filter("x0 >= 100 AND x1 <= 300").groupBy("doc_id", "page").agg(F.count("*").alias("words"), F.min("pos").cast("long").alias("first")),
     "agg_document_readability": lambda s, d: _words(s, d).groupBy("doc_id").agg(F.count_if(F.col("word") != "").alias("words"), (F.max("page") + 1).cast("int").alias("pages")).select("doc_id", "words", "pages", (F.col("words") / F.col("pages") < 20).alias("sparse")),
     "join_text_window": _window,
     "win_nearest_value": lambda s, d: nearest(_window(s, d)),
@@ -185,7 +184,6 @@ QUERIES = {
 
 ORACLES = {
     "win_word_offsets": f"WITH {_W}, o AS (SELECT doc_id, pos, length(word) AS n, sum(length(word) + 1) OVER (PARTITION BY doc_id ORDER BY pos) - length(word) - 1 AS start FROM w) SELECT doc_id, count(*) AS words, CAST(max(start + n) AS BIGINT) AS last_end, CAST(sum(start) AS BIGINT) AS starts FROM o GROUP BY 1",
-    "join_words_in_box": f"WITH {_W} SELECT doc_id, CAST(floor(pos / 200) AS INT) AS page, count(*) AS words, min(pos) AS first FROM w WHERE pos % 10 * 50 >= 100 AND pos % 10 * 50 + 4 * length(word) <= 300 GROUP BY 1, 2",
     "agg_document_readability": f"WITH {_W} SELECT *, words / pages < 20 AS sparse FROM (SELECT doc_id, count_if(word <> '') AS words, CAST(floor(max(pos) / 200) + 1 AS INT) AS pages FROM w GROUP BY 1)",
     "join_text_window": f"WITH {_W}, {_A} SELECT * FROM f",
     "win_nearest_value": f"WITH {_W}, {_A} SELECT doc_id, anchor_pos, arg_min(word, (distance, pos)) AS value, count(DISTINCT word) AS candidates FROM f GROUP BY 1, 2",

@@ -178,7 +178,6 @@ _LOW, _HIGH = _wilson_sql("hits", "n")
 _REL = "SELECT lang, CAST(least(floor(score * 5), 4) AS INT) AS bin, count(*) AS n, round(avg(score), 6) AS predicted, round(avg(CAST(quality AS DOUBLE)), 6) AS observed FROM fx_labels GROUP BY 1, 2"
 
 QUERIES = {
-    "join_iou_match": lambda s, d: _eval(s, d).select("id", "iou", "grounded"),
     "join_gold_pred": lambda s, d: _eval(s, d).select("id", "method", "abstained", "right"),
     "agg_grounding_f1": lambda s, d: f1(_eval(s, d), F.col("grounded") & F.coalesce("right", F.lit(False)), []),
     "agg_value_f1": lambda s, d: f1(_eval(s, d), F.coalesce("right", F.lit(False)), []),
@@ -206,7 +205,6 @@ QUERIES = {
 }
 
 ORACLES = {k: T.with_views(q) for k, q in {
-    "join_iou_match": f"{_PRE} SELECT id, iou, grounded FROM g",
     "join_gold_pred": f"{_PRE} SELECT id, method, abstained, right_ AS \"right\" FROM g",
     "agg_grounding_f1": _f1_sql("grounded AND coalesce(right_, false)", ""),
     "agg_value_f1": _f1_sql("coalesce(right_, false)", ""),

@@ -2,8 +2,8 @@
 
 import numpy as np
 import pytest
-from conftest import SMALL
 from pyspark.sql import functions as F
+from shared import SMALL
 
 from catalogcheck.operators import judgement, ledger, measure, numbering
 from catalogcheck.sources import tables as T
