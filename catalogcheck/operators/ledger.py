@@ -98,12 +98,6 @@ def reviewer_report(events: DataFrame) -> DataFrame:
     return e.groupBy("kind").agg(F.count("*").alias("n"), *[c.alias(k) for k, c in cols.items()])
 
 
-def egress_guard(events: DataFrame, allowed: tuple[str, ...] = ("k",)) -> DataFrame:
-    """Key paths of JSON payloads, each record, aggregate or unknown; only aggregates may leave."""
-    keys = events.select(F.explode(F.json_object_keys("props")).alias("path"))
-    return keys.groupBy("path").agg(F.count("*").alias("n")).withColumn("verdict", F.when(F.col("path").isin(list(allowed)), "aggregate").otherwise("unknown"))
-
-
 def identifier_scan(docs: DataFrame) -> DataFrame:
     """How often strings shaped like dictionary identifiers occur, per source."""
     found = docs.select("source", F.explode(F.regexp_extract_all("text", F.lit(r"[0-9]{4}-[0-9]{4,}|AKIA[A-Z0-9]{12,}|[0-9]{12,19}"), 0)).alias("x"))
@@ -169,7 +163,6 @@ QUERIES = {
     "agg_reviewer_report": lambda s, d: reviewer_report(_events(s, d)),
     "agg_calibration_labels": lambda s, d: _events(s, d).filter("kind IN ('accept', 'keep')").select("event_id", F.coalesce("seconds", F.lit(0.5)).alias("score"), (F.col("kind") == "accept").cast("int").alias("label")),
     "agg_calibration_state": lambda s, d: _events(s, d).agg(F.count_if(F.col("kind").isin("accept", "keep")).alias("usable"), F.count_if(F.col("kind") == "accept").alias("accepted"), F.count_if(F.col("kind") == "keep").alias("kept")).withColumn("fit_possible", (F.col("accepted") > 0) & (F.col("kept") > 0)),
-    "flt_egress_guard": lambda s, d: egress_guard(T.table(s, d, "events")),
     "flt_identifier_scan": lambda s, d: identifier_scan(T.table(s, d, "documents")),
 }
 
@@ -191,6 +184,5 @@ ORACLES = {k: T.with_views(q) for k, q in {
     "agg_reviewer_report": "WITH e AS (SELECT kind, seconds, row_number() OVER (PARTITION BY kind ORDER BY seconds, event_id) AS k, count(*) OVER (PARTITION BY kind) AS n FROM fx_ledger WHERE kind IN ('accept', 'keep', 'escalate') AND seconds IS NOT NULL), q AS (SELECT kind, count(*) AS n, list(seconds ORDER BY k) AS v FROM e WHERE n >= 3 GROUP BY 1) SELECT kind, n, " + ", ".join(f"round(v[CAST(floor((n + 1) * {q}) AS INT)] + (coalesce(v[CAST(floor((n + 1) * {q}) AS INT) + 1], v[CAST(floor((n + 1) * {q}) AS INT)]) - v[CAST(floor((n + 1) * {q}) AS INT)]) * ((n + 1) * {q} - floor((n + 1) * {q})), 6) AS {c}" for c, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))) + " FROM q",
     "agg_calibration_labels": "SELECT event_id, coalesce(seconds, 0.5) AS score, CASE kind WHEN 'accept' THEN 1 ELSE 0 END AS label FROM fx_ledger WHERE kind IN ('accept', 'keep')",
     "agg_calibration_state": "SELECT *, accepted > 0 AND kept > 0 AS fit_possible FROM (SELECT count_if(kind IN ('accept', 'keep')) AS usable, count_if(kind = 'accept') AS accepted, count_if(kind = 'keep') AS kept FROM fx_ledger)",
-    "flt_egress_guard": "SELECT path, count(*) AS n, CASE path WHEN 'k' THEN 'aggregate' ELSE 'unknown' END AS verdict FROM (SELECT unnest(json_keys(props)) AS path FROM events) GROUP BY 1",
     "flt_identifier_scan": "SELECT source, count(*) AS hits, count(DISTINCT x) AS different FROM (SELECT source, unnest(regexp_extract_all(text, '[0-9]{4}-[0-9]{4,}|AKIA[A-Z0-9]{12,}|[0-9]{12,19}')) AS x FROM documents) GROUP BY 1",
 }.items()}

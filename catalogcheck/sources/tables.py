@@ -128,7 +128,20 @@ SELECT concat('d', CAST((p_partkey * 7) % 1200 AS STRING), '.txt') AS doc, p_par
 FROM {part} CROSS JOIN (VALUES ('Rated current [A]'), ('No. of poles'), ('Net weight [g]'), ('Description')) AS h(header)
 """
 
-VIEWS = {"fx_pairs": FX_PAIRS, "fx_doc_cells": FX_DOC_CELLS, "cat_rows": CAT_ROWS, "cat_cells": CAT_CELLS, "fx_docs": FX_DOCS, "fx_eval": FX_EVAL, "fx_ledger": FX_LEDGER, "fx_chain": FX_CHAIN, "fx_labels": FX_LABELS, "fx_classes": FX_CLASSES}
+#: Payloads offered for leaving, eight kinds of them; < and > stand for braces until the end.
+FX_PAYLOADS = """
+SELECT o_orderkey AS id, translate(CASE o_orderkey % 8
+  WHEN 0 THEN concat('<"batch_id": "', lpad(CAST(o_orderkey AS STRING), 8, '0'), '-0000-4000-8000-', lpad(CAST(o_custkey AS STRING), 12, '0'), '", "records": ', CAST(o_custkey AS STRING), ', "notes": ["ok", "run 5", null]>')
+  WHEN 1 THEN concat('<"records": 3, "clusters": [<"sku_id": "S', CAST(o_orderkey AS STRING), '", "cents": 3>, <"cents": 4.50>, 7]>')
+  WHEN 2 THEN concat('<"notes": ["first", "doc.1::S', CAST(o_custkey AS STRING), '-amps"], "records": true>')
+  WHEN 3 THEN concat('<"priced_cost": <"tiers": [<"tier": "T0", "seconds": 1.5, "extra": <"deep": [1, <"mpn": "P1">]>>], "note": "x::y">, "total": ', CAST(o_custkey AS STRING), '>')
+  WHEN 4 THEN '<"Queue": [1, 2], "Catalog": "a::b", "records": <"records": <"records": <"records": <"SKU": 1>>>>>'
+  WHEN 5 THEN concat('<"notes": [[["', lpad(CAST(o_orderkey AS STRING), 8, 'f'), '-00aa-4000-8000-00000000000F"]], [], <>]>')
+  WHEN 6 THEN concat('<"records": ', CAST(o_custkey AS STRING))
+  ELSE '["a::b", <"records": 1, "unheard": []>]' END, '<>', concat(chr(123), chr(125))) AS payload FROM {orders}
+"""
+
+VIEWS = {"fx_payloads": FX_PAYLOADS, "fx_pairs": FX_PAIRS, "fx_doc_cells": FX_DOC_CELLS, "cat_rows": CAT_ROWS, "cat_cells": CAT_CELLS, "fx_docs": FX_DOCS, "fx_eval": FX_EVAL, "fx_ledger": FX_LEDGER, "fx_chain": FX_CHAIN, "fx_labels": FX_LABELS, "fx_classes": FX_CLASSES}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
