@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import boxes, catalog, designations, evidence, guard, judgement, ledger, measure, opinions, semantics, structural, triage
+from ..operators import boxes, catalog, designations, evidence, guard, judgement, ledger, measure, opinions, rulings, semantics, structural, triage
 from ..streaming import ledger as stream
 
-MODULES = (catalog, structural, semantics, designations, triage, measure, ledger, evidence, judgement, opinions, boxes, guard, stream)
+MODULES = (catalog, structural, semantics, designations, triage, measure, ledger, evidence, judgement, opinions, boxes, guard, rulings, stream)
 
 
 def queries() -> dict:

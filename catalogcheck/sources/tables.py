@@ -141,7 +141,28 @@ SELECT o_orderkey AS id, translate(CASE o_orderkey % 8
   ELSE '["a::b", <"records": 1, "unheard": []>]' END, '<>', concat(chr(123), chr(125))) AS payload FROM {orders}
 """
 
-VIEWS = {"fx_payloads": FX_PAYLOADS, "fx_pairs": FX_PAIRS, "fx_doc_cells": FX_DOC_CELLS, "cat_rows": CAT_ROWS, "cat_cells": CAT_CELLS, "fx_docs": FX_DOCS, "fx_eval": FX_EVAL, "fx_ledger": FX_LEDGER, "fx_chain": FX_CHAIN, "fx_labels": FX_LABELS, "fx_classes": FX_CLASSES}
+#: Labelled pairs of designations of several systems, for the sources that may rule on them.
+FX_CASES = """
+SELECT o_orderkey AS id, CASE o_orderkey % 6
+  WHEN 0 THEN concat('IP', CAST(o_custkey % 7 AS STRING), CAST(o_custkey % 9 AS STRING))
+  WHEN 1 THEN CASE o_custkey % 4 WHEN 0 THEN 'M8' WHEN 1 THEN 'M10' WHEN 2 THEN 'M8x1' ELSE 'M12' END
+  WHEN 2 THEN CASE o_custkey % 8 WHEN 0 THEN '1/4-20 UNC' WHEN 1 THEN '#10-24' WHEN 2 THEN '3/8 UNC' WHEN 3 THEN '0.375-16' WHEN 4 THEN '1 1/4-7 UNC' WHEN 5 THEN 'No. 10 UNF' WHEN 6 THEN '2-4.5 UNC' ELSE '0.6875 unef' END
+  WHEN 3 THEN CASE o_custkey % 5 WHEN 0 THEN 'Type C' WHEN 1 THEN 'C curve' WHEN 2 THEN 'b' WHEN 3 THEN 'DIN rail' ELSE 'Class F' END
+  WHEN 4 THEN CASE o_custkey % 4 WHEN 0 THEN 'Box' WHEN 1 THEN 'Each' WHEN 2 THEN 'pack' ELSE 'Box of 10' END
+  ELSE concat(CAST(o_custkey AS STRING), ' mm') END AS a,
+  CASE o_orderkey % 6
+  WHEN 0 THEN CASE (o_custkey + o_orderkey) % 5 WHEN 0 THEN concat('IPX', CAST(o_custkey % 9 AS STRING)) WHEN 1 THEN concat('IP', CAST(o_custkey % 7 AS STRING), '7') WHEN 2 THEN concat('IP', CAST(o_custkey % 7 AS STRING), '9K') ELSE concat('IP', CAST(o_custkey % 7 AS STRING), CAST(o_custkey % 9 AS STRING)) END
+  WHEN 1 THEN CASE (o_custkey + o_orderkey) % 6 WHEN 0 THEN 'M8x1.25' WHEN 1 THEN 'M10x1.5' WHEN 2 THEN 'M8' WHEN 3 THEN 'M10x50' WHEN 4 THEN 'M9' ELSE 'M12x1.75' END
+  WHEN 2 THEN CASE (o_custkey + o_orderkey) % 11 WHEN 0 THEN '0.25-20' WHEN 1 THEN '#10-32 UNF' WHEN 2 THEN '3/8-16 UNC' WHEN 3 THEN '1/4 UNF' WHEN 4 THEN '1/4-20 UNC-2A' WHEN 5 THEN '3/8 UNC LH' WHEN 6 THEN '1/4 NPT'
+    WHEN 7 THEN '1  1/4 UNC' WHEN 8 THEN '0.50' WHEN 9 THEN '2 UNC' ELSE '11/16-24.0' END
+  WHEN 3 THEN CASE (o_custkey + o_orderkey) % 5 WHEN 0 THEN 'type-c' WHEN 1 THEN 'B curve' WHEN 2 THEN 'class b' WHEN 3 THEN 'panel' ELSE 'c' END
+  WHEN 4 THEN CASE (o_custkey + o_orderkey) % 5 WHEN 0 THEN 'BOX' WHEN 1 THEN 'carton' WHEN 2 THEN ' ea ' WHEN 3 THEN '10 pcs' ELSE 'Pack' END
+  ELSE concat('0.0', CAST(o_custkey AS STRING), ' m') END AS b,
+  CASE (o_orderkey + o_custkey) % 3 WHEN 0 THEN 'equivalent' WHEN 1 THEN 'contradiction' ELSE 'unknown' END AS label
+FROM {orders}
+"""
+
+VIEWS = {"fx_cases": FX_CASES, "fx_payloads": FX_PAYLOADS, "fx_pairs": FX_PAIRS, "fx_doc_cells": FX_DOC_CELLS, "cat_rows": CAT_ROWS, "cat_cells": CAT_CELLS, "fx_docs": FX_DOCS, "fx_eval": FX_EVAL, "fx_ledger": FX_LEDGER, "fx_chain": FX_CHAIN, "fx_labels": FX_LABELS, "fx_classes": FX_CLASSES}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
