@@ -136,15 +136,6 @@ def join_reversal(s, d):
     return done.join(later, (done["sku"] == later["sku"]) & (done["attr"] == later["attr"]) & (F.col("later") > F.col("ts")), "left_anti")
 
 
-def audit_adjudicate(s, d):
-    """Decisions applied to the queue; safety attributes need a second, different decision before they count."""
-    q, _ = _open(s, d)
-    made = decisions(_events(s, d)).groupBy("sku", "attr").agg(F.count("*").alias("signatures"), F.max_by("kind", F.struct("ts", "event_id")).alias("kind"))
-    out = q.join(made, ["sku", "attr"])
-    refused = (F.col("attr") == "a0") & (F.col("signatures") < 2)
-    return out.select("sku", "attr", "kind", "signatures", F.when(refused, "refused_single_signature").otherwise("recorded").alias("result"))
-
-
 QUERIES = {
     "src_ledger_read": lambda s, d: _events(s, d).groupBy("kind").agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last")),
     "agg_latest_decision": lambda s, d: latest_decision(_events(s, d)),
@@ -152,7 +143,6 @@ QUERIES = {
     "join_queue_decisions": join_queue_decisions,
     "agg_progress": agg_progress,
     "join_reversal": join_reversal,
-    "audit_adjudicate": audit_adjudicate,
     "audit_history": lambda s, d: _events(s, d).select("sku", "event_id", "ts", "kind", "attr").orderBy("sku", "ts", "event_id"),
     "audit_claim_chains": lambda s, d: chain_faults(T.view(s, d, "fx_chain")),
     "audit_chain_depth": lambda s, d: chain_depths(T.view(s, d, "fx_chain")).groupBy("conv_id").agg(F.max("depth").alias("depth"), F.count("*").alias("reached")),
@@ -173,7 +163,6 @@ ORACLES = {k: T.with_views(q) for k, q in {
     "join_queue_decisions": f"{_QUEUE} SELECT q.*, kind FROM q LEFT JOIN ({_LATEST}) l USING (sku, attr)",
     "agg_progress": f"{_QUEUE} SELECT count(kind) AS decided, count(*) AS total FROM q LEFT JOIN ({_LATEST}) l USING (sku, attr)",
     "join_reversal": f"WITH l AS ({_LATEST}) SELECT sku, attr, ts FROM l WHERE kind = 'accept' AND NOT EXISTS (SELECT 1 FROM fx_ledger b WHERE b.kind = 'batch' AND b.sku = l.sku AND b.attr = l.attr AND b.ts > l.ts)",
-    "audit_adjudicate": f"{_QUEUE}, m AS ({_LATEST}) SELECT q.sku, q.attr, kind, n AS signatures, CASE WHEN q.attr = 'a0' AND n < 2 THEN 'refused_single_signature' ELSE 'recorded' END AS result FROM q JOIN m USING (sku, attr)",
     "audit_history": "SELECT sku, event_id, ts, kind, attr FROM fx_ledger",
     "audit_claim_chains": "SELECT conv_id, count(*) AS claims, count_if(supersedes IS NULL) AS roots, (SELECT count(*) FROM (SELECT supersedes FROM fx_chain f WHERE f.conv_id = c.conv_id AND supersedes IS NOT NULL GROUP BY 1 HAVING count(*) > 1)) AS forks, (SELECT count(*) FROM fx_chain f WHERE f.conv_id = c.conv_id AND supersedes IS NOT NULL AND supersedes NOT IN (SELECT claim FROM fx_chain g WHERE g.conv_id = c.conv_id)) AS dangling, (SELECT count(*) FROM fx_chain f WHERE f.conv_id = c.conv_id AND claim NOT IN (SELECT supersedes FROM fx_chain g WHERE g.conv_id = c.conv_id AND supersedes IS NOT NULL)) AS heads FROM fx_chain c GROUP BY conv_id",
     "audit_chain_depth": "WITH RECURSIVE fx AS (SELECT * FROM ({chain})), walk(conv_id, claim, depth) AS (SELECT conv_id, claim, 1 FROM fx WHERE supersedes IS NULL UNION ALL SELECT c.conv_id, c.claim, depth + 1 FROM fx c JOIN walk w ON c.conv_id = w.conv_id AND c.supersedes = w.claim) SELECT conv_id, max(depth) AS depth, count(*) AS reached FROM walk GROUP BY 1".replace("{chain}", T.FX_CHAIN.replace("{conversations}", "conversations")),

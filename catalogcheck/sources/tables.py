@@ -162,7 +162,32 @@ SELECT o_orderkey AS id, CASE o_orderkey % 6
 FROM {orders}
 """
 
-VIEWS = {"fx_cases": FX_CASES, "fx_payloads": FX_PAYLOADS, "fx_pairs": FX_PAIRS, "fx_doc_cells": FX_DOC_CELLS, "cat_rows": CAT_ROWS, "cat_cells": CAT_CELLS, "fx_docs": FX_DOCS, "fx_eval": FX_EVAL, "fx_ledger": FX_LEDGER, "fx_chain": FX_CHAIN, "fx_labels": FX_LABELS, "fx_classes": FX_CLASSES}
+#: Codes of two digits for a region, four for a nation, ten for a supplier.
+FX_CODES = """
+SELECT s_suppkey, n_nationkey, r_regionkey, lpad(CAST(r_regionkey AS STRING), 2, '0') AS region_code, concat(lpad(CAST(r_regionkey AS STRING), 2, '0'), lpad(CAST(n_nationkey AS STRING), 2, '0')) AS nation_code,
+  concat(lpad(CAST(r_regionkey AS STRING), 2, '0'), lpad(CAST(n_nationkey AS STRING), 2, '0'), lpad(CAST(s_suppkey AS STRING), 6, '0')) AS code
+FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey
+"""
+
+#: Judged mappings of codes to part classes: most suppliers have their own, some nations and one region have one for all below.
+FX_BRIDGE = """
+SELECT code, s_suppkey * 10 AS ord, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE concat(p_type, '/', p_brand) END AS class_id,
+  CASE s_suppkey % 7 WHEN 0 THEN 'no_match' WHEN 1 THEN 'declined' WHEN 2 THEN 'broader' ELSE 'exact' END AS relation FROM {fx_codes} JOIN {part} ON p_partkey = s_suppkey WHERE s_suppkey % 7 < 6
+UNION ALL SELECT code, s_suppkey * 10 + 1, concat(p_type, '/', p_brand), 'narrower' FROM {fx_codes} JOIN {part} ON p_partkey = s_suppkey + 7 WHERE s_suppkey % 7 = 5 OR s_suppkey % 35 = 1
+UNION ALL SELECT code, s_suppkey * 10 + 2, 'no/such class', 'exact' FROM {fx_codes} WHERE s_suppkey % 35 = 20
+UNION ALL SELECT nation_code, n_nationkey, concat(p_type, '/', p_brand), 'broader' FROM (SELECT DISTINCT nation_code, n_nationkey FROM {fx_codes}) n JOIN {part} ON p_partkey = n_nationkey + 1 WHERE n_nationkey % 3 = 0
+UNION ALL SELECT region_code, r_regionkey, CAST(NULL AS STRING), 'no_match' FROM (SELECT DISTINCT region_code, r_regionkey FROM {fx_codes}) r WHERE r_regionkey % 2 = 1
+"""
+
+#: Ledger events with who signed them; claims carry a class and a proposed value, and about half of all pairs have a claim.
+FX_SIGNED = """
+SELECT event_id, ts, CASE WHEN event_id % 3 = 0 THEN 'claim' WHEN event_type = 'purchase' THEN 'accept' WHEN event_type = 'view' THEN 'keep' WHEN event_type = 'error' THEN 'escalate' WHEN event_type = 'click' THEN 'accept' ELSE 'shrug' END AS kind,
+  concat('U', CAST(user_id AS STRING)) AS sku, CASE user_id % 4 WHEN 0 THEN 'rated_current' WHEN 1 THEN 'colour' WHEN 2 THEN 'packaging_uom' ELSE 'poles' END AS attr, concat('r', CAST(event_id % 5 AS STRING)) AS signer,
+  CASE user_id % 11 WHEN 0 THEN 'agreement' WHEN 1 THEN 'undetermined' WHEN 2 THEN 'precision_mismatch' WHEN 3 THEN 'catalog_null_evidence_present' WHEN 4 THEN NULL ELSE 'contradiction' END AS cls,
+  CASE WHEN event_id % 7 = 0 THEN ' ' WHEN event_id % 7 = 1 THEN NULL ELSE CAST(event_id % 97 AS STRING) END AS proposed FROM {events}
+"""
+
+VIEWS = {"fx_codes": FX_CODES, "fx_bridge": FX_BRIDGE, "fx_signed": FX_SIGNED, "fx_cases": FX_CASES, "fx_payloads": FX_PAYLOADS, "fx_pairs": FX_PAIRS, "fx_doc_cells": FX_DOC_CELLS, "cat_rows": CAT_ROWS, "cat_cells": CAT_CELLS, "fx_docs": FX_DOCS, "fx_eval": FX_EVAL, "fx_ledger": FX_LEDGER, "fx_chain": FX_CHAIN, "fx_labels": FX_LABELS, "fx_classes": FX_CLASSES}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
