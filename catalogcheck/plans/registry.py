@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import boxes, catalog, crosswalk, designations, evidence, guard, judgement, ledger, measure, opinions, rules, rulings, semantics, structural, triage
+from ..operators import boxes, catalog, crosswalk, designations, evidence, guard, judgement, ledger, measure, metrics, opinions, rules, rulings, semantics, shortlists, structural, triage
 from ..streaming import ledger as stream
 
-MODULES = (catalog, structural, semantics, designations, triage, measure, ledger, evidence, judgement, opinions, boxes, guard, rulings, crosswalk, rules, stream)
+MODULES = (catalog, structural, semantics, designations, triage, measure, ledger, evidence, judgement, opinions, boxes, guard, rulings, crosswalk, rules, metrics, shortlists, stream)
 
 
 def queries() -> dict:
