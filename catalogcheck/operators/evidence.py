@@ -160,10 +160,16 @@ def _window(s, d):
     return near_anchor(_words(s, d), "from", "^[a-z]{2}$")
 
 
+def window_digest(found: DataFrame) -> DataFrame:
+    """What was found in each document: pairs, different words, and sums that no order changes but any other pair would."""
+    mark = (F.col("anchor_pos") * 7919 + F.col("pos") * 104729 + F.length("word") * 31) % 1000003
+    return found.groupBy("doc_id").agg(F.count("*").alias("pairs"), F.countDistinct("word").alias("different"), F.sum("distance").cast("long").alias("distances"), F.sum(mark).cast("long").alias("mark"))
+
+
 QUERIES = {
     "win_word_offsets": lambda s, d: word_offsets(T.table(s, d, "documents")).groupBy("doc_id").agg(F.count("*").alias("words"), F.max("end").alias("last_end"), F.sum("start").cast("long").alias("starts")),
     "agg_document_readability": lambda s, d: _words(s, d).groupBy("doc_id").agg(F.count_if(F.col("word") != "").alias("words"), (F.max("page") + 1).cast("int").alias("pages")).select("doc_id", "words", "pages", (F.col("words") / F.col("pages") < 20).alias("sparse")),
-    "join_text_window": _window,
+    "join_text_window": lambda s, d: window_digest(_window(s, d)),
     "win_nearest_value": lambda s, d: nearest(_window(s, d)),
     "audit_derive_window": lambda s, d: nearest(_window(s, d)).select("doc_id", "anchor_pos", F.when(F.col("candidates") == 1, F.col("value")).alias("value"), F.when(F.col("candidates") > 1, "several_values").alias("declined")),
     "audit_raw_confidence": lambda s, d: _window(s, d).withColumn("c", F.count("*").over(Window.partitionBy("doc_id", "anchor_pos"))).select("doc_id", "anchor_pos", "pos", F.round(0.6 * 0.5 / (1 + 0.25 * F.col("distance")) / F.sqrt("c"), 6).alias("confidence")),
@@ -178,14 +184,13 @@ QUERIES = {
     "src_code_hierarchy": lambda s, d: T.table(s, d, "nation").join(T.table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.format_string("%02d%02d", "r_regionkey", "n_nationkey").alias("code"), F.format_string("%02d", "r_regionkey").alias("parent"), F.col("n_name").alias("title")),
     "join_crosswalk_validate": lambda s, d: T.table(s, d, "supplier").join(T.table(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left").select("s_suppkey", F.when(F.col("n_nationkey").isNull(), "unknown_code").when(F.col("s_acctbal") < 0, "one_sided").alias("problem")).filter("problem IS NOT NULL"),
     "join_split_leak": lambda s, d: T.table(s, d, "documents").select("doc_id", "source").join(T.table(s, d, "labels").select("doc_id"), "doc_id", "left_semi").groupBy("source").agg(F.count("*").alias("leaks")),
-    "set_frozen_split": lambda s, d: T.table(s, d, "documents").select("doc_id").exceptAll(T.table(s, d, "labels").select("doc_id")).agg(F.count("*").alias("held_out"), F.sum("doc_id").alias("mark")),
     "set_run_diff": lambda s, d: (lambda a, b: a.exceptAll(b).withColumn("side", F.lit("first")).unionByName(b.exceptAll(a).withColumn("side", F.lit("second"))))(T.table(s, d, "part").select("p_partkey", "p_size"), T.table(s, d, "part").select("p_partkey", (F.col("p_size") + (F.col("p_partkey") % 50 == 0).cast("int")).alias("p_size"))),
 }
 
 ORACLES = {
     "win_word_offsets": f"WITH {_W}, o AS (SELECT doc_id, pos, length(word) AS n, sum(length(word) + 1) OVER (PARTITION BY doc_id ORDER BY pos) - length(word) - 1 AS start FROM w) SELECT doc_id, count(*) AS words, CAST(max(start + n) AS BIGINT) AS last_end, CAST(sum(start) AS BIGINT) AS starts FROM o GROUP BY 1",
     "agg_document_readability": f"WITH {_W} SELECT *, words / pages < 20 AS sparse FROM (SELECT doc_id, count_if(word <> '') AS words, CAST(floor(max(pos) / 200) + 1 AS INT) AS pages FROM w GROUP BY 1)",
-    "join_text_window": f"WITH {_W}, {_A} SELECT * FROM f",
+    "join_text_window": f"WITH {_W}, {_A} SELECT doc_id, count(*) AS pairs, count(DISTINCT word) AS different, CAST(sum(distance) AS BIGINT) AS distances, CAST(sum((anchor_pos * 7919 + pos * 104729 + length(word) * 31) % 1000003) AS BIGINT) AS mark FROM f GROUP BY 1",
     "win_nearest_value": f"WITH {_W}, {_A} SELECT doc_id, anchor_pos, arg_min(word, (distance, pos)) AS value, count(DISTINCT word) AS candidates FROM f GROUP BY 1, 2",
     "audit_derive_window": f"WITH {_W}, {_A} SELECT doc_id, anchor_pos, CASE WHEN count(DISTINCT word) = 1 THEN min(word) END AS value, CASE WHEN count(DISTINCT word) > 1 THEN 'several_values' END AS declined FROM f GROUP BY 1, 2",
     "audit_raw_confidence": f"WITH {_W}, {_A} SELECT doc_id, anchor_pos, pos, round(0.3 / (1 + 0.25 * distance) / sqrt(count(*) OVER (PARTITION BY doc_id, anchor_pos)), 6) AS confidence FROM f",
@@ -200,6 +205,5 @@ ORACLES = {
     "src_code_hierarchy": "SELECT printf('%02d%02d', r_regionkey, n_nationkey) AS code, printf('%02d', r_regionkey) AS parent, n_name AS title FROM nation JOIN region ON n_regionkey = r_regionkey",
     "join_crosswalk_validate": "SELECT s_suppkey, CASE WHEN n_nationkey IS NULL THEN 'unknown_code' WHEN s_acctbal < 0 THEN 'one_sided' END AS problem FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey WHERE n_nationkey IS NULL OR s_acctbal < 0",
     "join_split_leak": "SELECT source, count(*) AS leaks FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY 1",
-    "set_frozen_split": "SELECT count(*) AS held_out, CAST(sum(doc_id) AS BIGINT) AS mark FROM (SELECT doc_id FROM documents EXCEPT ALL SELECT doc_id FROM labels)",
     "set_run_diff": "WITH a AS (SELECT p_partkey, p_size FROM part), b AS (SELECT p_partkey, CAST(p_size + CASE WHEN p_partkey % 50 = 0 THEN 1 ELSE 0 END AS INT) AS p_size FROM part) SELECT *, 'first' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'second' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)",
 }

@@ -33,6 +33,9 @@ WANT = {  # raw: (kind, unit, intervals, id, refusal)
     "1.4401": ("material", None, None, "metal/steel/stainless/1.4401", None),
     "Ja": ("boolean", None, None, "true", None),
     "": (None, None, None, None, "no_grammar_match"),
+    "5 mm ±0.1 in": (None, None, None, None, "malformed"),
+    "5 mm +0.1/-0.2 cm": (None, None, None, None, "malformed"),
+    "5 mm ±0.1 mm": ("quantity", "mm", [(4_900_000, 5_100_000)], None, None),
     "foo 12": (None, None, None, None, "no_grammar_match"),
 }
 #: (catalog, document, relation)
