@@ -9,7 +9,7 @@ CHOSEN = (
     "src_cells_long agg_modal_value t0_structural_run norm_job cmp_attribute cmp_swap_symmetry audit_run agg_run_manifest agg_groundable_fraction "
     "win_risk_coverage win_selective_accuracy agg_cohen_kappa win_largest_remainder win_drift_window agg_latest_decision audit_claim_chains audit_chain_depth "
     "win_revision_chain agg_reviewer_report join_text_window audit_class_resolve join_merged_cell udf_embedding_retrieve stream_latest_decision stream_drift_alarm "
-    "norm_dispatch cmp_dispatch cmp_quantity_set join_generic_subsumption audit_derive audit_judge set_union_tiers top_rerank_k sink_ledger_append audit_reverse_batch stream_late_chain set_distinct_claims eval_budget_allocate"
+    "norm_dispatch cmp_dispatch cmp_quantity_set join_generic_subsumption audit_derive audit_judge set_union_tiers top_rerank_k sink_ledger_append audit_reverse_batch stream_late_chain set_distinct_claims eval_budget_allocate agg_platt_fit audit_calibrate"
 ).split()
 
 

@@ -1,4 +1,4 @@
-"""Operators that plain SQL doesn't express, against numpy or by their own laws."""
+"""Operators against numpy or by their own laws."""
 
 import numpy as np
 import pytest
