@@ -174,7 +174,7 @@ QUERIES = {
     "join_quantity_in_range": in_range,
     "agg_suite_outcomes": suite_outcomes,
     "cmp_independent_quantity": independent_quantity,
-    "audit_resolve_policy": policy,
+    "audit_modal_policy": policy,
     "prj_volatile_strip": volatile_free,
     "top_limit_records": lambda s, d: _rows(s, d).orderBy("feed_row", "feed_line").limit(100).select("sku", "mpn"),
 }
@@ -213,6 +213,6 @@ ORACLES = {k: T.with_views(q) for k, q in {
     "join_quantity_in_range": f"WITH {S.norm_sql('cat_cells')}, q AS (SELECT mag, half, (6 + CAST(regexp_extract(mpn, '^P([0-9]+)', 1) AS BIGINT) % 10 * 4) * 1000000000 AS c FROM cat_cells JOIN norm USING (attr, value) WHERE attr = 'rated_current' AND dim = 'current') SELECT mag + half >= c * 9 / 10 AND mag - half <= c * 11 / 10 AS inside, count(*) AS n FROM q GROUP BY 1",
     "agg_suite_outcomes": f"WITH {_SUITE} SELECT * FROM suite",
     "cmp_independent_quantity": f"WITH {_PAIR}, q AS (SELECT split_part(a, ' ', 1)::BIGINT * CASE split_part(a, ' ', 2) WHEN 'mA' THEN 1 WHEN 'A' THEN 1000 END AS x, split_part(b, ' ', 1)::BIGINT * CASE split_part(b, ' ', 2) WHEN 'mA' THEN 1 WHEN 'A' THEN 1000 END AS y FROM p) SELECT CASE WHEN x = y THEN 'equal' WHEN x <> y THEN 'different' ELSE 'cannot_judge' END AS verdict, count(*) AS n FROM q GROUP BY 1",
-    "audit_resolve_policy": f"WITH {S.MODAL_SQL} SELECT attr, CASE WHEN n_values = 1 THEN 'single_claim' WHEN attr IN ('rated_current', 'packaging_uom') THEN 'safety_escalation' WHEN modal_n > runner_up THEN 'rank' ELSE 'abstain' END AS rule, count(*) AS n FROM modal GROUP BY 1, 2",
+    "audit_modal_policy": f"WITH {S.MODAL_SQL} SELECT attr, CASE WHEN n_values = 1 THEN 'single_claim' WHEN attr IN ('rated_current', 'packaging_uom') THEN 'safety_escalation' WHEN modal_n > runner_up THEN 'rank' ELSE 'abstain' END AS rule, count(*) AS n FROM modal GROUP BY 1, 2",
     "top_limit_records": "SELECT sku, mpn FROM cat_rows ORDER BY feed_row, feed_line LIMIT 100",
 }.items()}

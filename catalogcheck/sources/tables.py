@@ -187,7 +187,15 @@ SELECT event_id, ts, CASE WHEN event_id % 3 = 0 THEN 'claim' WHEN event_type = '
   CASE WHEN event_id % 7 = 0 THEN ' ' WHEN event_id % 7 = 1 THEN NULL ELSE CAST(event_id % 97 AS STRING) END AS proposed FROM {events}
 """
 
-VIEWS = {"fx_codes": FX_CODES, "fx_bridge": FX_BRIDGE, "fx_signed": FX_SIGNED, "fx_cases": FX_CASES, "fx_payloads": FX_PAYLOADS, "fx_pairs": FX_PAIRS, "fx_doc_cells": FX_DOC_CELLS, "cat_rows": CAT_ROWS, "cat_cells": CAT_CELLS, "fx_docs": FX_DOCS, "fx_eval": FX_EVAL, "fx_ledger": FX_LEDGER, "fx_chain": FX_CHAIN, "fx_labels": FX_LABELS, "fx_classes": FX_CLASSES}
+#: Claims of two sources about the cells of a part, one cell for each family of designations; days run over three years.
+FX_CLAIMS = """
+SELECT concat(CAST(family AS STRING), '-', split_part(id, '-', 3)) AS cell, CASE family WHEN 4 THEN 'rated_current' ELSE concat('family_', CAST(family AS STRING)) END AS attr,
+  CAST(split_part(id, '-', 1) AS BIGINT) * 16 + CAST(split_part(id, '-', 2) AS BIGINT) * 2 + side AS claim_id, value,
+  CASE WHEN side = 1 OR CAST(split_part(id, '-', 2) AS BIGINT) % 2 = 0 THEN 2 ELSE 1 END AS rank, DATE '2023-01-01' + CAST(CAST(split_part(id, '-', 1) AS BIGINT) * 7 % 1000 + side * (CAST(split_part(id, '-', 2) AS BIGINT) % 3) AS INT) AS asserted_at
+FROM (SELECT id, family, 0 AS side, a AS value FROM {fx_pairs} UNION ALL SELECT id, family, 1, b FROM {fx_pairs}) AS x
+"""
+
+VIEWS = {"fx_claims": FX_CLAIMS, "fx_codes": FX_CODES, "fx_bridge": FX_BRIDGE, "fx_signed": FX_SIGNED, "fx_cases": FX_CASES, "fx_payloads": FX_PAYLOADS, "fx_pairs": FX_PAIRS, "fx_doc_cells": FX_DOC_CELLS, "cat_rows": CAT_ROWS, "cat_cells": CAT_CELLS, "fx_docs": FX_DOCS, "fx_eval": FX_EVAL, "fx_ledger": FX_LEDGER, "fx_chain": FX_CHAIN, "fx_labels": FX_LABELS, "fx_classes": FX_CLASSES}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
