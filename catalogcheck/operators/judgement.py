@@ -14,6 +14,8 @@ from . import triage
 
 #: attribute -> how its column headers look.
 HEADERS = {"rated_current": "%rated current%", "poles": "%poles%", "weight": "%weight%"}
+#: The attribute that documents state beside an anchor in their text.
+WINDOWED = "packaging_uom"
 CLAIM_SPACE = "5f0c1b2d-3e4a-5b6c-8d7e-9f0a1b2c3d4e"
 DRAIN, SHORTLIST, KEPT = 200, 50, 5
 RATES = {"T0": 0.000001, "T1": 0.00002, "T3": 0.01}
@@ -46,13 +48,15 @@ def _derived(s, d) -> DataFrame:
 
 
 def judge(s, d) -> DataFrame:
-    """Every cell of the feed against what its document's table says of it; pairs of values are compared once each."""
+    """Every cell of the feed against what its document's table says of it, or its text where no table has that attribute; pairs of
+    values are compared once each."""
     rows = T.view(s, d, "cat_rows")
     doc = F.when(F.trim("datasheet") != "", F.element_at(F.split("datasheet", "/"), -1))
-    wide = rows.select("sku", F.split_part("mpn", F.lit("-"), F.lit(1)).alias("key_cell"), doc.alias("doc"), *HEADERS)
-    cells = wide.unpivot(["sku", "key_cell", "doc"], list(HEADERS), "attr", "value")
+    wide = rows.select("sku", F.split_part("mpn", F.lit("-"), F.lit(1)).alias("key_cell"), doc.alias("doc"), *HEADERS, WINDOWED)
+    cells = wide.unpivot(["sku", "key_cell", "doc"], [*HEADERS, WINDOWED], "attr", "value")
     docs = T.view(s, d, "fx_docs").select("doc", (F.length(F.trim("layer")) > 0).alias("readable"))
-    told = cells.join(docs, "doc", "left").join(_derived(s, d).select("doc", "key_cell", "attr", F.col("value").alias("proposed")), ["doc", "key_cell", "attr"], "left")
+    told = cells.join(docs, "doc", "left").join(_derived(s, d).select("doc", "key_cell", "attr", F.col("value").alias("by_cell")), ["doc", "key_cell", "attr"], "left")
+    told = told.join(windows(s, d).select("doc", F.lit(WINDOWED).alias("attr"), F.col("value").alias("by_window")), ["doc", "attr"], "left").withColumn("proposed", F.coalesce("by_cell", "by_window"))
     told = T.written(told.select("sku", "attr", "value", "proposed", "doc", "readable"), "told")
     pairs = S.compared_values(told.filter("value IS NOT NULL AND proposed IS NOT NULL"), "value", "proposed").select("attr", "value", "proposed", "c")
     out = told.join(pairs, ["attr", "value", "proposed"], "left")
@@ -71,12 +75,18 @@ def union_tiers(s, d) -> DataFrame:
     return t0.unionByName(t1)
 
 
-def derive(s, d) -> DataFrame:
-    """doc, key_cell, attr, value, method: table cells first; where a document has none for its key, the one value beside an anchor."""
+def windows(s, d) -> DataFrame:
+    """doc, value: the one value beside an anchor in each readable document, of the first anchor that has just one."""
     readable = T.view(s, d, "fx_docs").filter("length(trim(layer)) > 0").select("doc", "doc_id")
-    cell = _derived(s, d).join(readable.select("doc"), "doc", "left_semi").select("doc", "key_cell", "attr", "value", F.lit("table_cell").alias("method"))
     near = E.nearest(E._window(s, d)).filter("candidates = 1").groupBy("doc_id").agg(F.min_by("value", "anchor_pos").alias("value"))
-    window = near.join(readable, "doc_id").select("doc", F.lit(None).cast("string").alias("key_cell"), F.lit("packaging_uom").alias("attr"), "value", F.lit("text_window").alias("method"))
+    return near.join(readable, "doc_id").select("doc", "value")
+
+
+def derive(s, d) -> DataFrame:
+    """doc, key_cell, attr, value, method: table cells first; where a document has none for its key, the one value beside an anchor."""
+    readable = T.view(s, d, "fx_docs").filter("length(trim(layer)) > 0").select("doc")
+    cell = _derived(s, d).join(readable, "doc", "left_semi").select("doc", "key_cell", "attr", "value", F.lit("table_cell").alias("method"))
+    window = windows(s, d).select("doc", F.lit(None).cast("string").alias("key_cell"), F.lit(WINDOWED).alias("attr"), "value", F.lit("text_window").alias("method"))
     return cell.unionByName(window)
 
 
@@ -218,12 +228,14 @@ QUERIES = {
 _DERIVED = """known AS (SELECT doc, row_no, key_cell, cell, split_part(split_part(header, '[', 2), ']', 1) AS unit, CASE WHEN lower(header) LIKE '%weight%' THEN 'weight' WHEN lower(header) LIKE '%poles%' THEN 'poles' WHEN lower(header) LIKE '%rated current%' THEN 'rated_current' END AS attr FROM fx_doc_cells),
 filled AS (SELECT *, cell IS NULL AS merged, last_value(cell IGNORE NULLS) OVER (PARTITION BY doc, attr ORDER BY row_no ROWS UNBOUNDED PRECEDING) AS txt FROM known WHERE attr IS NOT NULL),
 derived AS (SELECT doc, key_cell, attr, CASE WHEN unit <> '' THEN txt || ' ' || unit ELSE txt END AS value, merged FROM filled WHERE txt IS NOT NULL)"""
-_JUDGE = f"""{_DERIVED}, feed AS (SELECT c.sku, split_part(c.mpn, '-', 1) AS key_cell, CASE WHEN trim(datasheet) <> '' THEN string_split(datasheet, '/')[-1] END AS doc, attr, value FROM cat_cells c JOIN cat_rows r ON c.sku = r.sku WHERE attr <> 'packaging_uom'),
-told AS (SELECT f.*, v.value AS proposed, CASE WHEN f.doc IS NULL THEN 'no_document_named' WHEN x.doc IS NULL THEN 'document_named_not_supplied' WHEN length(trim(layer)) = 0 THEN 'document_unreadable' END AS status
-  FROM feed f LEFT JOIN fx_docs x ON f.doc = x.doc LEFT JOIN derived v ON f.doc = v.doc AND f.key_cell = v.key_cell AND f.attr = v.attr),
+_JUDGE = f"""{_DERIVED}, feed AS (SELECT c.sku, split_part(c.mpn, '-', 1) AS key_cell, CASE WHEN trim(datasheet) <> '' THEN string_split(datasheet, '/')[-1] END AS doc, attr, value FROM cat_cells c JOIN cat_rows r ON c.sku = r.sku),
+beside AS (SELECT * FROM (WITH {E._W}, {E._A}, n AS (SELECT doc_id, anchor_pos, min(word) AS value FROM f GROUP BY 1, 2 HAVING count(DISTINCT word) = 1), o AS (SELECT doc_id, arg_min(value, anchor_pos) AS value FROM n GROUP BY 1)
+  SELECT doc, value FROM o JOIN fx_docs USING (doc_id) WHERE length(trim(layer)) > 0) q),
+told AS (SELECT f.*, coalesce(v.value, e.value) AS proposed, CASE WHEN f.doc IS NULL THEN 'no_document_named' WHEN x.doc IS NULL THEN 'document_named_not_supplied' WHEN length(trim(layer)) = 0 THEN 'document_unreadable' END AS status
+  FROM feed f LEFT JOIN fx_docs x ON f.doc = x.doc LEFT JOIN derived v ON f.doc = v.doc AND f.key_cell = v.key_cell AND f.attr = v.attr LEFT JOIN beside e ON f.doc = e.doc AND f.attr = 'packaging_uom'),
 strings AS (SELECT attr, value FROM told UNION ALL SELECT attr, proposed FROM told),
 {S.norm_sql("strings")}, compared AS (SELECT t.*, {S.relation_sql("a", "b")} AS relation FROM told t LEFT JOIN norm a ON a.attr = t.attr AND a.value = t.value LEFT JOIN norm b ON b.attr = t.attr AND b.value = t.proposed),
-why AS (SELECT c.*, r.cls, r.raises, coalesce(status, CASE WHEN proposed IS NULL THEN 'no_evidence' WHEN trim(value) <> '' AND cls = 'undetermined' THEN 'value_outside_known_grammar' END) AS why FROM compared c LEFT JOIN relations r ON c.relation = r.relation AND c.value IS NOT NULL AND c.proposed IS NOT NULL),
+why AS (SELECT c.*, CASE WHEN c.relation = 'contradiction' AND attr = 'packaging_uom' THEN 'packaging_frame_error' ELSE r.cls END AS cls, r.raises, coalesce(status, CASE WHEN proposed IS NULL THEN 'no_evidence' WHEN trim(value) <> '' AND cls = 'undetermined' THEN 'value_outside_known_grammar' END) AS why FROM compared c LEFT JOIN relations r ON c.relation = r.relation AND c.value IS NOT NULL AND c.proposed IS NOT NULL),
 judged1 AS (SELECT *, CASE WHEN value IS NULL THEN 'not_in_feed' WHEN why IS NOT NULL THEN 'declined' WHEN trim(value) = '' OR raises THEN 'finding' ELSE 'resolved' END AS outcome FROM why),
 judged2 AS (SELECT sku, attr, outcome, CASE WHEN outcome = 'declined' THEN why END AS reason, CASE WHEN outcome = 'finding' THEN CASE WHEN trim(value) = '' THEN 'catalog_null_evidence_present' ELSE cls END END AS cls, value, CASE WHEN outcome = 'finding' THEN proposed END AS proposed FROM judged1)"""
 _FIT = f"""{_DERIVED}, p AS (SELECT concat(p_type, '/', p_brand) AS class_id, concat('P', CAST(p_partkey AS VARCHAR)) AS key_cell FROM part),

@@ -33,17 +33,22 @@ def status_counts(inv: DataFrame) -> DataFrame:
     return counted.withColumn("total", F.sum("n").over(Window.partitionBy()))  # four rows
 
 
-def findings(cells: DataFrame) -> DataFrame:
-    """Findings with their content-addressed id, attribute uri, shape, fingerprint and signature id."""
-    f = S.all_outcomes(cells).filter("outcome = 'finding'")
-    f = f.withColumn("uri", F.concat(F.lit("customer:"), F.col("attr")))
+def identified(found: DataFrame) -> DataFrame:
+    """Findings (sku, attr, value, proposed, cls, source, tier, ...) with content-addressed id, attribute uri, shape, fingerprint and
+    signature id."""
+    f = found.withColumn("uri", F.concat(F.lit("customer:"), F.col("attr")))
     proposed = F.coalesce("proposed", F.lit(""))
-    f = f.withColumn("redline_id", V.uuid5(REDLINE_SPACE, F.concat_ws("|", F.lit("feed"), "sku", "uri", "value", proposed)))
+    f = f.withColumn("redline_id", V.uuid5(REDLINE_SPACE, F.concat_ws("|", "source", "sku", "uri", "value", proposed)))
     f = f.withColumn("shape", V.defect_shape(F.col("value"), F.col("proposed")))
-    f = f.withColumn("fingerprint", F.concat_ws("|", "cls", "uri", "shape", F.lit("feed"), "attr", F.lit("T0")))
+    f = f.withColumn("fingerprint", F.concat_ws("|", "cls", "uri", "shape", "source", "attr", "tier"))
     return f.withColumn("signature_id", V.uuid5(SIGNATURE_SPACE, F.col("fingerprint")))
 
 
+def findings(cells: DataFrame) -> DataFrame:
+    """Findings of the first tier, identified."""
+    return identified(S.all_outcomes(cells).filter("outcome = 'finding'").withColumns({"source": F.lit("feed"), "tier": F.lit("T0")}))
+
+
 def clusters(found: DataFrame) -> DataFrame:
     """Findings by error signature; members stay in their own long table, so no unbounded list is built."""
     return found.groupBy("signature_id", "fingerprint").agg(F.count("*").alias("size"), F.countDistinct("sku").alias("skus"), F.min("redline_id").alias("first_member"))
@@ -76,11 +81,6 @@ def _found(s, d):
     return T.written(findings(S.written_cells(s, d)), "findings")
 
 
-def audit_run(s, d) -> DataFrame:
-    """The flagship: catalog to ranked queue, one row per finding."""
-    return ranked(queue(_found(s, d))).select("rank", "redline_id", "sku", "attr", "check", "cls", "severity", "value", "proposed", "shape", "signature_id", "multiplicity", "expected")
-
-
 def agg_coverage(s, d):
     """Judged cells of all stated cells."""
     o = S.all_outcomes(S.written_cells(s, d)).filter("outcome <> 'declined'").select("sku", "attr").distinct()
@@ -122,16 +122,17 @@ def _uuid_sql(space: str, key: str) -> str:
     return f"""(substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-' || substr('89ab', CAST(('0x' || substr({h}, 17, 1)) AS INT) % 4 + 1, 1) || substr({h}, 18, 3) || '-' || substr({h}, 21, 12))"""
 
 
-FINDINGS_SQL = rf"""{S.OUTCOMES_SQL},
-found0 AS (SELECT *, 'customer:' || attr AS uri, regexp_extract(trim(value), '-?[0-9]+([.,][0-9]+)?') AS na, regexp_extract(trim(coalesce(proposed, '')), '-?[0-9]+([.,][0-9]+)?') AS nb FROM outcomes WHERE outcome = 'finding'),
+#: CTEs from ``told`` (findings with source and tier) to identified and valued findings.
+IDENTIFIED_SQL = rf"""found0 AS (SELECT *, 'customer:' || attr AS uri, regexp_extract(trim(value), '-?[0-9]+([.,][0-9]+)?') AS na, regexp_extract(trim(coalesce(proposed, '')), '-?[0-9]+([.,][0-9]+)?') AS nb FROM told),
 found1 AS (SELECT *, lower(trim(substr(trim(value), strpos(trim(value), na) + length(na)))) AS ta, lower(trim(substr(trim(coalesce(proposed, '')), strpos(trim(coalesce(proposed, '')), nb) + length(nb)))) AS tb,
   try_cast(replace(na, ',', '.') AS DECIMAL(38, 9)) AS xa, try_cast(replace(nb, ',', '.') AS DECIMAL(38, 9)) AS xb,
   array_to_string(list_sort(string_split(regexp_replace(na, '[^0-9]', '', 'g'), '')), '') AS da, array_to_string(list_sort(string_split(regexp_replace(nb, '[^0-9]', '', 'g'), '')), '') AS db FROM found0),
 found2 AS (SELECT *, {_SHAPE} AS shape FROM found1),
-found3 AS (SELECT *, concat_ws('|', cls, uri, shape, 'feed', attr, 'T0') AS fingerprint FROM found2),
-found AS (SELECT *, {_uuid_sql(REDLINE_SPACE, "concat_ws('|', 'feed', sku, uri, value, coalesce(proposed, ''))")} AS redline_id, {_uuid_sql(SIGNATURE_SPACE, "fingerprint")} AS signature_id FROM found3),
+found3 AS (SELECT *, concat_ws('|', cls, uri, shape, source, attr, tier) AS fingerprint FROM found2),
+found AS (SELECT *, {_uuid_sql(REDLINE_SPACE, "concat_ws('|', source, sku, uri, value, coalesce(proposed, ''))")} AS redline_id, {_uuid_sql(SIGNATURE_SPACE, "fingerprint")} AS signature_id FROM found3),
 sized AS (SELECT *, count(*) OVER (PARTITION BY signature_id) AS multiplicity FROM found),
 valued AS (SELECT *, 0.5 * (CASE WHEN attr IN ('rated_current', 'packaging_uom') THEN 25.0 ELSE 1.0 END) * multiplicity AS expected FROM sized)"""
+FINDINGS_SQL = f"{S.OUTCOMES_SQL}, told AS (SELECT *, 'feed' AS source, 'T0' AS tier FROM outcomes WHERE outcome = 'finding'), {IDENTIFIED_SQL}"
 
 _INV = """inv AS (SELECT sku, r.doc, CASE WHEN r.doc IS NULL THEN 'no_document_named' WHEN d.doc IS NULL THEN 'document_named_not_supplied' WHEN length(trim(layer)) = 0 THEN 'document_unreadable' ELSE 'groundable' END AS status
   FROM (SELECT sku, CASE WHEN trim(datasheet) <> '' THEN string_split(datasheet, '/')[-1] END AS doc FROM cat_rows) r LEFT JOIN fx_docs d ON r.doc = d.doc)"""
@@ -154,7 +155,6 @@ QUERIES = {
     "audit_triage": lambda s, d: queue(_found(s, d)).groupBy("expected", "safety", "multiplicity").agg(F.count("*").alias("n")),
     "win_rank_queue": lambda s, d: ranked(queue(_found(s, d))).select("rank", "redline_id", "expected"),
     "top_queue_n": lambda s, d: queue(_found(s, d)).orderBy(F.desc("expected"), "redline_id", "sku", "check").limit(25).select("redline_id", "sku", "expected"),
-    "audit_run": audit_run,
     "agg_run_manifest": agg_run_manifest,
     "agg_tier_cost": agg_tier_cost,
     "prj_queue_sentence": prj_queue_sentence,
@@ -180,7 +180,6 @@ ORACLES = {k: T.with_views(q) for k, q in {
     "audit_triage": f"WITH {FINDINGS_SQL} SELECT expected, CASE WHEN attr IN ('rated_current', 'packaging_uom') THEN 25.0 ELSE 1.0 END AS safety, multiplicity, count(*) AS n FROM valued GROUP BY ALL",
     "win_rank_queue": f"WITH {FINDINGS_SQL} SELECT row_number() OVER (ORDER BY expected DESC, redline_id, sku, \"check\") AS rank, redline_id, expected FROM valued",
     "top_queue_n": f"WITH {FINDINGS_SQL} SELECT redline_id, sku, expected FROM valued ORDER BY expected DESC, redline_id, sku, \"check\" LIMIT 25",
-    "audit_run": f"WITH {FINDINGS_SQL} SELECT row_number() OVER (ORDER BY expected DESC, redline_id, sku, \"check\") AS rank, redline_id, sku, attr, \"check\", cls, severity, value, proposed, shape, signature_id, multiplicity, expected FROM valued",
     "agg_run_manifest": f"{_MANIFEST} SELECT * FROM m",
     "agg_tier_cost": f"{_MANIFEST}, t AS (SELECT 'T0' AS tier, finding + resolved + declined AS units, 0.000001 AS rate FROM m UNION ALL SELECT 'T1', groundable * 4, 0.00002 FROM m UNION ALL SELECT 'T2', 0, 0.001 FROM m UNION ALL SELECT 'T3', finding, 0.01 FROM m) SELECT tier, units, CAST(round(units * rate, 6) AS DOUBLE) AS cost FROM t",
     "prj_queue_sentence": f"WITH {FINDINGS_SQL} SELECT redline_id, sku, \"check\", sku || ': ' || attr || ' states ''' || value || ''', ' || coalesce('siblings state ''' || proposed || '''', 'no sibling value') || ' (' || replace(shape, '_', ' ') || ')' AS sentence FROM found",

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import boxes, catalog, claims, crosswalk, designations, evidence, guard, judgement, ledger, measure, metrics, opinions, rules, rulings, semantics, shortlists, splits, structural, triage
+from ..operators import boxes, catalog, claims, crosswalk, designations, evidence, guard, judgement, ledger, measure, metrics, opinions, rules, rulings, run, semantics, shortlists, splits, structural, triage
 from ..streaming import ledger as stream
 
-MODULES = (catalog, structural, semantics, designations, triage, measure, ledger, evidence, judgement, opinions, boxes, guard, rulings, crosswalk, rules, metrics, shortlists, splits, claims, stream)
+MODULES = (catalog, structural, semantics, designations, triage, measure, ledger, evidence, judgement, opinions, boxes, guard, rulings, crosswalk, rules, metrics, shortlists, splits, claims, run, stream)
 
 
 def queries() -> dict:
@@ -19,5 +19,5 @@ def oracles() -> dict:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Catalog to ranked review queue: structural checks, identities, clusters, expected value, rank."""
-    return triage.audit_run(spark, sf_dir)
+    """Catalog to ranked review queue: structural and document checks, identities, clusters, expected value, rank."""
+    return run.audit_run(spark, sf_dir)
