@@ -1,16 +1,20 @@
 """Personal data: fixed patterns, and a skip-chain conditional random field that adds what they miss.
 
 The patterns find e-mail addresses, IP addresses, card numbers and phone numbers. The random field labels every word
-that holds a digit or an @ (no other word can be personal data of these kinds) with one of the kinds or none.
-Its factors: the word's own shape and surroundings; the neighbour in the text; and, as skip links, the previous
-word of the document with the same digits or address, or with ALIKE or more characters of them of which one differs, however
-far away, so that one entity gets one label through the whole document. Words inside pattern matches are observed. Loopy belief propagation over all documents of a batch gives
-marginals; words without a match whose kind has a marginal of ``SURE`` or more become added spans.
+that holds a digit or an @ (no other word can be personal data of these kinds) with one of the kinds or none; the words of
+a match, or of a number written in several words, are labelled as one.
+Its factors: the candidate's own shape and surroundings; the neighbour in the text; and, as skip links, the previous
+candidate of the document with the same digits or address, or with ALIKE or more characters of them of which one differs,
+however far away, so that one entity gets one label through the whole document. Matches are observed. Loopy belief
+propagation over all documents of a batch gives marginals; of the candidates without a match that links tie to a match,
+those whose kind has a marginal of ``SURE`` or more become added spans.
 
 It is trained in pieces on a bounded sample (``SAMPLE_DOCS`` documents of at most ``SAMPLE_CHARS`` characters that
-hold a digit or @, by a hash of the text), with the patterns' matches as labels: a softmax over the words' features, and
-the link factors from how often labels meet. A word without a match whose digits or address a pattern matches
-elsewhere in the document has no label there: it is what the skip links are to decide, so it is no example of none.
+hold a digit or @, by a hash of the text), with the patterns' matches as labels: a softmax over the features, and
+the link factors from how often labels meet. One of ``MASKED`` matches, by a hash of its digits, is learnt a second time
+without the marks that made it match, so that a bare number can be of a kind. A candidate without a match whose digits or
+address a pattern matches elsewhere in the document has no label there: it is what the skip links are to decide, so it is
+no example of none.
 
 Defined results: a null or empty text has no spans; long texts are scanned whole, in time proportional to their length;
 every row is judged by itself; an empty table gives no rows; other columns are not read by the query and are passed
@@ -35,6 +39,9 @@ SAMPLE_DOCS, SAMPLE_CHARS, SURE = 3000, 8000, 0.9
 HASH_BITS, EPOCHS, ROUNDS = 14, 80, 12
 NEAR = 2  # words between neighbours that are linked, at most
 ALIKE = 9  # characters of keys that are linked if they differ in one of them, at least
+LONGEST = 19  # digits of a number, at most
+TIES = (2, 5, 4)  # log factor of each tie, at most
+MASKED = 2  # every how manyth match is learnt a second time without its marks
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -43,6 +50,8 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 HINT = re.compile(r"[0-9@]")
+BARE = re.compile(r"[0-9+().,:;!?/\-]*[0-9][0-9+().,:;!?/\-]*")
+DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+){3,}")  # addresses keep their dots: other numbers may have the same digits
 EDGE = ".,;:!?\"'()[]{}<>$%&*#|="
 
 
@@ -99,67 +108,121 @@ def halves(key: str) -> list[tuple[int, int, str]]:
     return [(len(key), 0, key[:m]), (len(key), 1, key[m:])]
 
 
+def altered(one: str, other: str) -> bool:
+    """Whether two keys of one length differ in just one character."""
+    return len(one) == len(other) and sum(x != y for x, y in zip(one, other, strict=True)) == 1
+
+
+def core_of(word: re.Match) -> tuple[int, int]:
+    """Where a word's text without punctuation at its edges starts and ends."""
+    raw = word.group()
+    core = raw.strip(EDGE) or raw
+    start = word.start() + raw.index(core)
+    return start, start + len(core)
+
+
 def _bucket(kind: int, value: str) -> int:
     return zlib.crc32(f"{kind}:{value}".encode()) & (1 << HASH_BITS) - 1
 
 
 class Words:
-    """The candidate words of some documents, their features, links and observed labels (0 none, kinds from 1)."""
+    """The candidate words of some documents, their features, links and observed labels (0 none, kinds from 1).
+
+    The words that one match covers are one candidate. So are adjacent words of digits and marks alone that together have the
+    digits of a number matched in the document, or of one that differs in one digit; every other word stands by itself.
+    """
 
     def __init__(self):
-        self.doc, self.start, self.end, self.feats, self.seen = [], [], [], [], []
+        self.doc, self.start, self.end, self.feats, self.seen, self.keys = [], [], [], [], [], []
         self.near, self.skip = [], []
-        self.open: list[int] = []  # words without a match whose digits or address a pattern matches elsewhere in the document
+        self.tie: list[int] = []  # for each skip link: 0 equal keys, 1 equal keys of ALIKE characters or more, 2 one character differs
+        self.open: list[int] = []  # candidates without a match whose digits or address a pattern matches elsewhere in the document
 
     def add(self, doc: int, text: str, found: list[tuple[int, int, int]]) -> None:
         words = [m for m in WORD.finditer(text)]
         shapes: dict[int, str] = {i: shape(m.group()) for i, m in enumerate(words) if HINT.search(m.group())}
-        last_place, last_node, by_key, by_half, k = None, None, {}, {}, 0
+        digits = {i: re.sub(r"[^0-9]", "", words[i].group()) if BARE.fullmatch(words[i].group()) else None for i in shapes}
+        matched = {re.sub(r"[^0-9]", "", text[a:b]) for a, kind, b in found if kind > 1}
+        like = {h for key in matched if len(key) >= ALIKE for h in halves(key)}
+
+        def run(i: int) -> int:
+            """The last word of the longest run from word i that has the digits of a match, or nearly; i if there is none."""
+            key, j, best = "", i, i
+            while digits.get(j) and len(key) + len(digits[j]) <= LONGEST:
+                key += digits[j]
+                if j > i and len(key) >= ALIKE and (key in matched or any(h in like for h in halves(key)) and any(altered(key, m) for m in matched)):
+                    best = j
+                j += 1
+            return best
+
+        last_place, last_node, by_key, by_half, k, i = None, None, {}, {}, 0, -1
         keyed: dict[str, list[int]] = {}
         alike: list[tuple[str, str]] = []
-        for i, s in shapes.items():
-            raw = words[i].group()
-            core = raw.strip(EDGE) or raw
-            start = words[i].start() + raw.index(core)
-            end = start + len(core)
-            before = words[i - 1].group().lower() if i else ""
-            feats = [
-                _bucket(0, s), _bucket(1, shape(core)), _bucket(2, before if i - 1 not in shapes else shapes[i - 1]),
-                _bucket(3, shapes.get(i + 1, "")), _bucket(4, shapes.get(i - 1, "") + "|" + s), _bucket(5, s + "|" + shapes.get(i + 1, "")),
-            ]
+        for first in shapes:
+            if first <= i:  # in the last candidate already
+                continue
+            start, end = core_of(words[first])
             while k < len(found) and found[k][2] <= start:
                 k += 1
-            label = next((kind + 1 for a, kind, b in found[k : k + 8] if a < end and b > start), 0)
+            match = next((m for m in found[k : k + 8] if m[0] < end and m[2] > start), None)
+            i = first
+            if match:
+                while i + 1 in shapes and core_of(words[i + 1])[0] < match[2]:
+                    i += 1
+            elif matched and digits[first]:
+                i = run(first)
+                if i > first and any(m[0] < core_of(words[i])[1] and m[2] > start for m in found[k : k + 8]):
+                    i = first  # a match begins inside
+            end = core_of(words[i])[1]
+            core = text[start:end]
+            s = shape(text[words[first].start() : words[i].end()])
+            label = match[1] + 1 if match else 0
+            spoken = text[match[0] : match[2]] if match and match[1] else core
+            key = core.lower() if "@" in core else spoken if DOTTED.fullmatch(spoken) else re.sub(r"[^0-9]", "", spoken)
+            before = words[first - 1].group().lower() if first else ""
+            feats = self.features(s, shape(core), before if first - 1 not in shapes else shapes[first - 1], shapes.get(first - 1, ""), shapes.get(i + 1, ""))
             node = len(self.doc)
             self.doc.append(doc)
             self.start.append(start)
             self.end.append(end)
             self.feats.append(feats)
             self.seen.append(label)
-            if last_place is not None and i - last_place <= NEAR:
+            self.keys.append((key, before if first - 1 not in shapes else shapes[first - 1], shapes.get(first - 1, ""), shapes.get(i + 1, "")))
+            if last_place is not None and first - last_place <= NEAR:
                 self.near.append((last_node, node))
             last_place, last_node = i, node
-            key = core.lower() if "@" in core else re.sub(r"[^0-9]", "", core)
             if len(key) >= 4:
                 if key in by_key:
                     self.skip.append((by_key[key], node))
+                    self.tie.append(int(len(key) >= ALIKE))
                 elif len(key) >= ALIKE:  # a new key: linked with the last ones that differ in one character
-                    for like in {by_half.get(h) for h in halves(key)} - {None}:
-                        if sum(x != y for x, y in zip(like, key, strict=True)) == 1:
-                            self.skip.append((by_key[like], node))
-                            alike.append((like, key))
+                    for other in {by_half.get(h) for h in halves(key)} - {None}:
+                        if altered(other, key):
+                            self.skip.append((by_key[other], node))
+                            self.tie.append(2)
+                            alike.append((other, key))
                 for h in halves(key):
                     by_half[h] = key
                 by_key[key] = node
                 keyed.setdefault(key, []).append(node)
-        matched = {key for key, nodes in keyed.items() if any(self.seen[n] for n in nodes)}
-        matched |= {y for x, y in alike if x in matched} | {x for x, y in alike if y in matched}
-        for key in matched:
+        known = {key for key, nodes in keyed.items() if any(self.seen[n] for n in nodes)}
+        known |= {y for x, y in alike if x in known} | {x for x, y in alike if y in known}
+        for key in known:
             self.open += [n for n in keyed[key] if not self.seen[n]]
 
+    @staticmethod
+    def features(whole: str, core: str, before: str, left: str, right: str) -> list[int]:
+        return [_bucket(0, whole), _bucket(1, core), _bucket(2, before), _bucket(3, right), _bucket(4, left + "|" + whole), _bucket(5, whole + "|" + right)]
+
+    def unmarked(self, node: int) -> list[int]:
+        """The features that a matched number would have without the marks that made it match."""
+        key, before, left, right = self.keys[node]
+        return self.features(shape(key), shape(key), before, left, right)
+
 
 class Field:
-    """Word weights (features x labels), and log factors of neighbours and of skip links (label x label)."""
+    """Word weights (features x labels), and log factors (label x label) of neighbours and of skip links, one for all or one for
+    each tie."""
 
     def __init__(self, weights, near, skip):
         self.weights, self.near, self.skip = weights, near, skip
@@ -175,7 +238,8 @@ class Field:
         if not len(links):
             p = np.exp(own)
             return p / p.sum(1, keepdims=True)
-        factor = np.concatenate([np.repeat(self.near[None], len(w.near), 0), np.repeat(self.skip[None], len(w.skip), 0)])
+        skip = self.skip[np.array(w.tie, np.int64)] if self.skip.ndim == 3 else np.repeat(self.skip[None], len(w.skip), 0)
+        factor = np.concatenate([np.repeat(self.near[None], len(w.near), 0), skip])
         source, target = np.concatenate([links[:, 0], links[:, 1]]), np.concatenate([links[:, 1], links[:, 0]])
         factor = np.exp(np.concatenate([factor, factor.transpose(0, 2, 1)]))
         back = np.concatenate([np.arange(len(links)) + len(links), np.arange(len(links))])
@@ -206,7 +270,9 @@ def fit(texts: list[str]) -> Field:
     weights[:, 0] = 0.05
     if w.doc:
         known = np.setdiff1d(np.arange(len(w.doc)), w.open)
-        feats, gold = np.array(w.feats)[known], np.eye(labels)[np.array(w.seen)[known]]
+        hidden = [n for n in known[np.array(w.seen)[known] > 2] if _bucket(6, w.keys[n][0]) % MASKED == 0]
+        feats = np.concatenate([np.array(w.feats)[known], np.array([w.unmarked(n) for n in hidden], np.int64).reshape(-1, 6)])
+        gold = np.eye(labels)[np.concatenate([np.array(w.seen)[known], np.array(w.seen)[hidden]]).astype(np.int64)]
         past = np.full(weights.shape, 1e-6)
         for _ in range(EPOCHS):
             z = weights[feats].sum(1)
@@ -221,21 +287,25 @@ def fit(texts: list[str]) -> Field:
 
     unknown = set(w.open)
 
-    def factor(pairs):
+    def factor(pairs, most=2):
         seen = np.array(w.seen, np.int64)
         n = np.full((labels, labels), 0.5) + np.eye(labels)
         for a, b in pairs:
             if a not in unknown and b not in unknown:
                 n[seen[a], seen[b]] += 1
         joint = n / n.sum()
-        return np.clip(np.log(joint / (joint.sum(1, keepdims=True) * joint.sum(0, keepdims=True))), -2, 2)
+        return np.clip(np.log(joint / (joint.sum(1, keepdims=True) * joint.sum(0, keepdims=True))), -most, most)
+
+    def attracting(pairs, most):
+        """Equal labels attract; labels that no link showed together repel, however rare each of them is."""
+        met = np.zeros((labels, labels), bool)
+        for a, b in pairs:
+            met[w.seen[a], w.seen[b]] |= a not in unknown and b not in unknown
+        f = factor(pairs, most)
+        return np.where(np.eye(labels, dtype=bool), np.maximum(f, 0), np.where(met, np.minimum(f, 0), -most))
 
-    skip, met = factor(w.skip), np.zeros((labels, labels), bool)
-    for a, b in w.skip:
-        met[w.seen[a], w.seen[b]] |= a not in unknown and b not in unknown
-    # equal labels attract; labels that no link showed together repel, however rare each of them is
-    skip = np.where(np.eye(labels, dtype=bool), np.maximum(skip, 0), np.where(met, np.minimum(skip, 0), -2))
-    return Field(weights, factor(w.near), skip)
+    ties = [attracting([link for link, t in zip(w.skip, w.tie, strict=True) if t == tie], most) for tie, most in enumerate(TIES)]
+    return Field(weights, factor(w.near), np.stack(ties))
 
 
 def find_all(texts: list[str | None], field: Field) -> list[tuple[list, list]]:
@@ -250,7 +320,9 @@ def find_all(texts: list[str | None], field: Field) -> list[tuple[list, list]]:
         return found
     chance = field.marginals(w)
     best = chance.argmax(1)
-    sure = (best > 0) & (chance.max(1) >= SURE) & (np.array(w.seen) == 0)
+    sure = np.zeros(len(w.doc), bool)
+    sure[w.open] = True  # what no link ties to a match has nothing to be consistent with
+    sure &= (best > 0) & (chance.max(1) >= SURE)
     linked = set(w.near)
     last = None
     for n in np.flatnonzero(sure):

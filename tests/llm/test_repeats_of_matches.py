@@ -7,7 +7,7 @@ from catalogcheck.llm import pii
 PROSE = "word " * 30
 CLEAN = [f"order {1000 + i * 37} of item {5000 + i * 91} weighs {200 + i} g, order {1000 + i * 37} again" for i in range(60)]
 FORMS = {
-    "in words": (lambda i: f"+1 (213) 555-{i:04d}", lambda i: f"1 (213) 555-{i:04d}", lambda i: f"555-{i:04d}"),
+    "in words": (lambda i: f"+1 (213) 555-{i:04d}", lambda i: f"1 (213) 555-{i:04d}", lambda i: f"1 (213) 555-{i:04d}"),
     "in one word": (lambda i: f"+12135550{i:03d}", lambda i: f"12135550{i:03d}", lambda i: f"12135550{i:03d}"),
 }
 
