@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import boxes, catalog, claims, crosswalk, designations, evidence, guard, judgement, ledger, measure, metrics, opinions, rules, rulings, run, semantics, shortlists, splits, structural, triage
+from ..operators import boxes, catalog, claims, crosswalk, designations, evidence, extensions, guard, judgement, ledger, measure, metrics, opinions, rules, rulings, run, semantics, shortlists, splits, structural, triage
 from ..streaming import ledger as stream
 
-MODULES = (catalog, structural, semantics, designations, triage, measure, ledger, evidence, judgement, opinions, boxes, guard, rulings, crosswalk, rules, metrics, shortlists, splits, claims, run, stream)
+MODULES = (catalog, structural, semantics, designations, triage, measure, ledger, evidence, judgement, opinions, boxes, guard, rulings, crosswalk, rules, metrics, shortlists, splits, claims, run, extensions, stream)
 
 
 def queries() -> dict:
