@@ -29,11 +29,21 @@ def ascending(data: np.ndarray) -> np.ndarray:
     return up[last]
 
 
-def _words_at(padded: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place, as one number that orders like them."""
-    out = np.zeros(len(at), np.uint64)
-    for i in range(8):
-        out = (out << np.uint64(8)) | padded[at + i]
+def _words(data: np.ndarray, more: int) -> np.ndarray:
+    """The eight bytes from each place of the data and ``more`` zero bytes, as one number that orders like them."""
+    padded = np.zeros(len(data) + more + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + more + 1,), ">u8", padded, strides=(1,))
+
+
+def _by_key(key: np.ndarray, group: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The order by group, in which the rows stand already, and by key in each; most groups are pairs."""
+    out = np.arange(len(key))
+    pair = first[size == 2]
+    pair = pair[key[pair] > key[pair + 1]]
+    out[pair], out[pair + 1] = pair + 1, pair
+    more = np.flatnonzero(np.repeat(size > 2, size))
+    out[more] = more[np.lexsort((key[more], group[more]))]
     return out
 
 
@@ -41,15 +51,14 @@ def sort_directly(data: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     """``at`` in the order of the strings of ``depth`` bytes that start there (the end counts as zero bytes, before all)."""
     if not len(at):
         return at
-    padded = np.zeros(len(data) + depth + STRIDE + 16, np.uint64)
-    padded[: len(data)] = data
-    total = tk.running_hash(padded[: len(data) + depth + STRIDE].astype(np.uint8))
+    words = _words(data, depth + STRIDE + 8)
+    total = tk.running_hash(np.append(data, np.zeros(depth + STRIDE, np.uint8)))
     back = tk.powers(len(total), tk._INVERSE)
 
     def hashed(place, width):
         return (total[place + width] - total[place]) * back[place]
 
-    key = _words_at(padded, at)
+    key = words[at].astype(np.uint64)
     order = np.argsort(key, kind="stable")
     key = key[order]
     edge = np.append(True, key[1:] != key[:-1])
@@ -71,8 +80,8 @@ def sort_directly(data: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
         h = hashed(at[sub] + done, STRIDE)
         skip = np.repeat(np.minimum.reduceat(h, first) == np.maximum.reduceat(h, first), size)
         done[skip] += STRIDE
-        key = _words_at(padded, at[sub] + done)
-        again = np.lexsort((key, group))
+        key = words[at[sub] + done].astype(np.uint64)
+        again = _by_key(key, group, first, size)
         order[slot] = sub[again]
         key = key[again]
         done += 8
@@ -122,11 +131,10 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
 
 def common_prefix(data: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     """The length of the common prefix of the suffixes at a and b, up to ``most``."""
-    padded = np.zeros(len(data) + most + 16, np.uint64)
-    padded[: len(data)] = data
+    words = _words(data, most + 8)
     out, live = np.full(len(a), most, np.int64), np.arange(len(a))
     for i in range(0, most, 8):
-        x = _words_at(padded, a[live] + i) ^ _words_at(padded, b[live] + i)
+        x = words[a[live] + i].astype(np.uint64) ^ words[b[live] + i].astype(np.uint64)
         differ = np.flatnonzero(x)
         if len(differ):
             bits = np.floor(np.log2(x[differ].astype(np.float64))).astype(np.int64)  # the byte is all that matters

@@ -70,9 +70,12 @@ def trim() -> None:
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: each input bit reaches each output bit."""
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= _M1
+    x ^= x >> np.uint64(27)
+    x *= _M2
+    x ^= x >> np.uint64(31)
+    return x
 
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
