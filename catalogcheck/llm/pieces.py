@@ -8,7 +8,9 @@ model's own encoder. White space follows the model: a space is U+2581, one is pu
 The Viterbi pass keeps the scores of as many positions as the longest piece has characters. Whenever the backpointer
 paths of all these positions meet in one boundary, the ids up to it are final and are handed on, so memory doesn't
 grow with the text. No piece holds U+2581 behind any other character, so every path has a boundary before each run of them: a
-text is fed stretch by stretch (a run of spaces and the word behind it), and short stretches' ids are remembered.
+text is fed stretch by stretch (a run of spaces and the word behind it), and short stretches' ids are remembered. Short
+stretches that aren't known yet are passed side by side, one position of all of them at a time, by the same recursion in
+whole numbers; their window is the stretch. Longer ones are streamed one by one.
 
 Defined results: a null or empty text has no ids; U+2581 in a text and characters without a piece become byte pieces, so
 decoding gives every text back exactly; ties and repeated rows are encoded each; other columns are not read.
@@ -16,7 +18,9 @@ decoding gives every text back exactly; ties and repeated rows are encoded each;
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -33,6 +37,10 @@ SPACE, BYTE_COST, UNUSED = "▁", 10.0, -1e8
 #: A non-character that stands for U+2581 of the text itself until it becomes byte pieces.
 HELD = "\ufffe"
 REMEMBERED, SHORT = 1_000_000, 48
+#: Stretches that are passed side by side, and stretches looked up between two looks at how many are remembered.
+ABREAST, SLICE = 1 << 14, 1 << 17
+#: Sums that no path has: of a boundary not reached yet, and (less, so that it never wins) of a beginning that is no piece.
+OPEN, NO_PIECE = -(1 << 61), -(1 << 62)
 #: A run of spaces and the word behind it.
 STRETCH = re.compile(f"{SPACE}+[^{SPACE}]*")
 
@@ -58,6 +66,12 @@ class Vocabulary:
         self.longest = max(map(len, self.score), default=1)
         # every beginning of a piece: its entry if it is one itself, else None
         self.beginnings = {p[:n]: None for p in self.score for n in range(1, len(p) + 1)} | self.score
+        # the beginnings as a trie in order of length and characters, the root first: numbers of parents and code points ascend
+        nodes = sorted(self.beginnings, key=lambda p: (len(p), p))
+        at = {p: i for i, p in enumerate(["", *nodes])}
+        self.edges = np.array([at[p[:-1]] << 21 | ord(p[-1]) for p in nodes] + [2**63 - 1], np.int64)
+        self.node_score = np.array([NO_PIECE] + [self.score[p][1] if p in self.score else NO_PIECE for p in nodes], np.int64)
+        self.node_id = np.array([0] + [self.score[p][0] if p in self.score else 0 for p in nodes], np.int64)
         self.bytes_of = [b""] * len(pieces)
         for i, (p, _, kind) in enumerate(pieces):
             self.bytes_of[i] = bytes([int(p[3:5], 16)]) if kind == "byte" else p.replace(SPACE, " ").encode() if kind == "piece" else b""
@@ -70,6 +84,16 @@ class Vocabulary:
         kinds = ["byte" if m.is_byte(i) else "other" if m.is_control(i) or m.is_unknown(i) or m.is_unused(i) else "piece" for i in range(m.vocab_size())]
         return cls([(m.id_to_piece(i), m.get_score(i), kinds[i]) for i in range(m.vocab_size())])
 
+    def raw_ids(self, char: str) -> tuple[int, ...]:
+        """The byte pieces of a character."""
+        return tuple(map(self.byte_id.__getitem__, (SPACE if char == HELD else char).encode()))
+
+
+@functools.lru_cache(1)
+def vocabulary(path: str) -> Vocabulary:
+    """Read once in each worker, which serves many tasks."""
+    return Vocabulary.read(path)
+
 
 class StreamingViterbi:
     """Feed text in any parts; ids come out as soon as they are certain. ``finish`` gives the rest."""
@@ -117,10 +141,10 @@ class StreamingViterbi:
                         break
                 n = i + 1
                 if text[i] not in score:
-                    raw = text[i].encode() if text[i] != HELD else SPACE.encode()
+                    raw = v.raw_ids(text[i])
                     total = at + v.byte_score * len(raw)
                     if best[n] is None or total > best[n]:
-                        best[n], back[n] = total, (i, tuple(map(v.byte_id.__getitem__, raw)))
+                        best[n], back[n] = total, (i, raw)
             self.seen = end
             if end < size:
                 out += self._commit()
@@ -153,13 +177,74 @@ class StreamingViterbi:
         return [i for ids in reversed(steps) for i in ids]
 
 
+def side_by_side(stretches: list[str], v: Vocabulary) -> list[bytes]:
+    """Ids (as little-endian 32-bit bytes) of stretches that aren't empty, the longest first: StreamingViterbi's, all at once."""
+    size = np.fromiter(map(len, stretches), np.int64, len(stretches))
+    code = np.frombuffer("".join(stretches).encode("utf-32-le"), "<u4").astype(np.int64)
+    first = np.cumsum(size) - size
+    most = int(size[0])
+    longer = np.searchsorted(-size, -np.arange(most + 1))  # by n: how many have more than n characters
+    best = np.full((most + 1, len(size)), OPEN)
+    best[0] = 0
+    node = np.zeros(best.shape, np.int32)  # of the last piece; of byte pieces the complement of the code point
+    step = np.zeros(best.shape, np.int8)  # the last piece's characters
+
+    def offer(end, who, total, last, width):
+        better = total > best[end, who]
+        who = who[better]
+        best[end, who], node[end, who], step[end, who] = total[better], last[better], width
+
+    for i in range(most):
+        who = np.arange(longer[i])
+        last = np.zeros(len(who), np.int64)
+        for k in range(i, min(i + v.longest, most)):
+            who = who[: np.searchsorted(who, longer[k])]
+            char = code[first[who] + k]
+            edge = last[: len(who)] << 21 | char
+            at = np.searchsorted(v.edges, edge)
+            found = v.edges[at] == edge
+            if k == i:
+                bare = ~found | (v.node_score[np.where(found, at + 1, 0)] == NO_PIECE)
+                if bare.any():
+                    c = char[bare]
+                    n_bytes = 1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)
+                    offer(i + 1, who[bare], best[i, who[bare]] + v.byte_score * n_bytes, ~c, 1)
+            who, last = who[found], at[found] + 1
+            if not len(who):
+                break
+            offer(k + 1, who, best[i, who] + v.node_score[last], last, k + 1 - i)
+
+    who, end, found = np.arange(len(size)), size, []
+    while len(who):
+        found.append((who, node[end, who]))
+        end = end - step[end, who]
+        who, end = who[end > 0], end[end > 0]
+    who, last = (np.concatenate(x) for x in zip(*reversed(found), strict=True))
+    order = np.argsort(who, kind="stable")
+    who, last = who[order], last[order].astype(np.int64)
+    # a node's id, or a character's byte pieces, out of one table
+    chars, which = np.unique(last[last < 0], return_inverse=True)
+    raw = [v.raw_ids(chr(~c)) for c in chars.tolist()]
+    width = np.fromiter(map(len, raw), np.int64, len(raw))
+    table = np.concatenate([v.node_id, np.array([i for ids in raw for i in ids], np.int64)])
+    many = np.ones(len(last), np.int64)
+    many[last < 0] = width[which]
+    last[last < 0] = (len(v.node_id) + np.cumsum(width) - width)[which]
+    ends = np.cumsum(many)
+    ids = table[np.repeat(last - ends + many, many) + np.arange(ends[-1])].astype("<u4").tobytes()
+    cuts = [0, *(4 * ends[np.searchsorted(who, np.arange(len(size)), "right") - 1]).tolist()]
+    return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 class Encoder(dict):
-    """Ids (as little-endian 32-bit bytes) of stretches; a missing short one is encoded and remembered."""
+    """Ids (as little-endian 32-bit bytes) of stretches; short ones are learnt together and remembered, long ones streamed."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
 
     def __missing__(self, stretch: str) -> bytes:
+        if not stretch:  # U+FFFE itself
+            return np.array([self.v.byte_id[b] for b in HELD.encode()], "<u4").tobytes()
         viterbi = StreamingViterbi(self.v)
         ids = []
         for i in range(0, len(stretch), 4096):
@@ -171,25 +256,45 @@ class Encoder(dict):
             self[stretch] = ids
         return ids
 
+    def learn(self, stretches: list[str]) -> None:
+        """Remembers the ids of those short stretches that aren't known."""
+        new = sorted((x for x in set(stretches) if x not in self and 0 < len(x) <= SHORT), key=len, reverse=True)
+        for i in range(0, len(new), ABREAST):
+            self.update(zip(new[i : i + ABREAST], side_by_side(new[i : i + ABREAST], self.v), strict=True))
+
     def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        cut = [self._stretches(t) if HELD not in t else self._with_held(t) for t in texts]
+        flat = list(itertools.chain.from_iterable(cut))
+        ids = []
+        for i in range(0, len(flat), SLICE):
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self.learn(flat[i : i + SLICE])
+            ids += map(self.__getitem__, flat[i : i + SLICE])
+        ends = [0, *itertools.accumulate(map(len, cut))]
+        return [b"".join(ids[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+    @staticmethod
+    def _stretches(text: str) -> list[str]:
         if not text:
-            return b""
-        if HELD in text:
-            return self._by_bytes(text)
+            return []
         words = text.replace(SPACE, HELD).split(" ")
         if "" not in words:  # no run of spaces
-            return b"".join(map(self.__getitem__, [SPACE + p for p in words]))
-        return b"".join(map(self.__getitem__, STRETCH.findall(SPACE + SPACE.join(words))))
+            return [SPACE + p for p in words]
+        return STRETCH.findall(SPACE + SPACE.join(words))
 
-    def _by_bytes(self, text: str) -> bytes:
-        """A text with the non-character U+FFFE: the stretches between are encoded as ever, it by its bytes."""
-        raw = np.array([self.v.byte_id[b] for b in HELD.encode()], "<u4").tobytes()
+    @staticmethod
+    def _with_held(text: str) -> list[str]:
+        """A text with the non-character U+FFFE: the stretches between, and an empty one for each of it."""
         out = []
         for i, part in enumerate((" " + text).split(HELD)):
             shown = part.replace(SPACE, HELD).replace(" ", SPACE)
             head = re.match(f"[^{SPACE}]*", shown).group()
-            out += [raw] * (i > 0) + [self[x] for x in (head, *STRETCH.findall(shown)) if x]
-        return b"".join(out)
+            out += [""] * (i > 0) + [x for x in (head, *STRETCH.findall(shown)) if x]
+        return out
 
 
 def decode(ids: bytes, vocabulary: Vocabulary) -> str:
@@ -202,10 +307,10 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or model_path()
 
     def run(batches):
-        v = Vocabulary.read(path)
+        v = vocabulary(path)
         encoder = Encoder(v)
         for batch in tk.steps(batches):
-            ids = [encoder.encode(t or "") for t in batch.column(1).to_pylist()]
+            ids = encoder.encode_all([t or "" for t in batch.column(1).to_pylist()])
             flat = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
             edges = pa.array(np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(edges, flat), pa.array([decode(x, v) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
@@ -219,15 +324,15 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or model_path()
 
     def run(batches):
-        v = Vocabulary.read(path)
+        v = vocabulary(path)
         encoder = Encoder(v)
         kinds = [pa.int64()] * 3 + [pa.string(), pa.bool_()]
         for batch in tk.steps(batches):
             out = []
-            for t in batch.column(1).to_pylist():
-                ids = encoder.encode(t or "")
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for t, ids in zip(texts, encoder.encode_all(texts), strict=True):
                 back = decode(ids, v)
-                out.append((len(t or ""), len(ids) // 4, zlib.crc32(ids), hashlib.sha256(back.encode()).hexdigest(), back == (t or "")))
+                out.append((len(t), len(ids) // 4, zlib.crc32(ids), hashlib.sha256(back.encode()).hexdigest(), back == t))
             arrays = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "n_chars", "n_ids", "ids_crc32", "decoded_sha256", "round_trip"])
 
