@@ -63,7 +63,7 @@ def test_odd_rows_are_there(spark, odd):
     assert by[-1] == "manufacturer" and rows.count() == odd[1].execute(T.with_views("SELECT count(sku) FROM cat_rows")).fetchone()[0]
 
 
-@pytest.mark.parametrize("name", ["audit_run"])
+@pytest.mark.parametrize("name", ["audit_run", "set_verdict_cells_union", "agg_signature_clusters"])
 def test_query_over_odd_rows_equals_sql(spark, odd, name):
     assert against_sql(spark, odd, name)
 
@@ -78,7 +78,12 @@ def test_alike_rows_stand_for_all(spark):
 CELLS = {"cells", "valued", "told"}
 
 
-def test_the_run_moves_few_rows(moved):
-    rows, tables = moved("audit_run")
-    assert not tables & CELLS
-    assert rows < 40_000  # of 6,000 line items and 200 documents; with every cell it was 96,760
+#: Most rows that a query's shuffles may write for the 6,000 line items and 200 documents; with every cell audit_run moved 96,760 and
+#: set_verdict_cells_union 59,293.
+MOST = {"audit_run": 40_000, "set_verdict_cells_union": 35_000}
+
+
+@pytest.mark.parametrize("name", MOST)
+def test_few_rows_are_moved(moved, name):
+    rows, tables = moved(name)
+    assert not tables & CELLS and rows < MOST[name], (rows, tables)
